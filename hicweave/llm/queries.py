@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import merkle, quality, secrets
+from . import bpe, merkle, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op5_url_filters": urls.query,
+    "op7_bpe_encoding": bpe.query,
+    "op8_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
     "op10_document_fingerprints": merkle.query,
 }
-ORACLE_SQL = {"op1_quality_rules": quality.ORACLE}
+ORACLE_SQL = {"op1_quality_rules": quality.ORACLE, "op5_url_filters": urls.ORACLE}
