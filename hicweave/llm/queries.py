@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, merkle, quality, secrets, sharding, substrings, urls
+from . import bpe, merkle, packing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_packing": packing.query,
     "op3_substring_dedup": substrings.query,
     "op5_url_filters": urls.query,
     "op7_bpe_encoding": bpe.query,
