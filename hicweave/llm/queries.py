@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, merkle, packing, quality, secrets, sharding, substrings, urls
+from . import bpe, jaccard, merkle, packing, quality, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_packing": packing.query,
     "op3_substring_dedup": substrings.query,
     "op5_url_filters": urls.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_bpe_encoding": bpe.query,
     "op8_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
