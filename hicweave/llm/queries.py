@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, merkle, packing, quality, secrets, sharding, substrings, urls
+from . import bpe, jaccard, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_packing": packing.query,
     "op3_substring_dedup": substrings.query,
+    "op4_token_counts": tokencounts.query,
     "op5_url_filters": urls.query,
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_bpe_encoding": bpe.query,
