@@ -1,10 +1,427 @@
-"""Registered queries of the scaffolding operators."""
+"""Registered queries of the scaffolding operators and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .functions import floor_div, reverse_complement
+from .operators import contacts as C
+from .operators import correct, density, layout, score, stats
+from .operators import graph as G
+from .plans import Config, average_links, linked, one_round, pair_scores, scaffold
+from .sources import derived as D
+from .sources import text as S
+
+B, T = 10_000, 3
+CONFIG = Config(clusters=5, bin_size=B, triangle=T)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Common tables of the oracles, each over those before it.
+VIEWS = {
+    "contigs": "SELECT concat('ctg', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS contig, CAST(100000 AS BIGINT) AS len FROM supplier WHERE s_suppkey < 20",
+    "contacts": """SELECT concat('ctg', lpad(CAST(k1 AS VARCHAR), 6, '0')) AS chr1, CASE WHEN k1 % 3 = 1 THEN 100000 - o1 ELSE o1 + 1 END AS pos1,
+        concat('ctg', lpad(CAST(k2 AS VARCHAR), 6, '0')) AS chr2, CASE WHEN k2 % 3 = 1 THEN 100000 - o2 ELSE o2 + 1 END AS pos2
+      FROM (SELECT k1, o1, k1 + CAST(floor((o1 + d) / 100000) AS BIGINT) AS k2, (o1 + d) % 100000 AS o2
+        FROM (SELECT CAST(l_suppkey AS BIGINT) % 20 AS k1, (CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863) % 100000 AS o1,
+          CASE WHEN l_quantity <= 35 THEN CAST(l_quantity AS BIGINT) * 200 + l_orderkey % 200
+               ELSE (CAST(l_quantity AS BIGINT) - 35) * (CAST(l_quantity AS BIGINT) - 35) * 300 + l_orderkey % 300 END AS d FROM lineitem))
+      WHERE floor(k1 / 5) = floor(k2 / 5)""",
+    "parts": """SELECT concat('chr', CAST(CAST(floor(k / 5) AS BIGINT) AS VARCHAR)) AS chrom, k % 5 + 1 AS ord, contig, len, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS orient
+      FROM (SELECT *, CAST(substr(contig, 4) AS BIGINT) AS k FROM contigs)""",
+    "placed": """SELECT *, start + len - 1 AS "end" FROM (SELECT *, 1 + coalesce(sum(len + 100) OVER (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts)""",
+    "canon": """SELECT CASE WHEN chr1 > chr2 THEN chr2 ELSE chr1 END AS chr1, CASE WHEN chr1 > chr2 THEN pos2 ELSE pos1 END AS pos1,
+        CASE WHEN chr1 > chr2 THEN chr1 ELSE chr2 END AS chr2, CASE WHEN chr1 > chr2 THEN pos1 ELSE pos2 END AS pos2 FROM contacts""",
+    "diagonal": """SELECT g.contig, g.bin, CAST(coalesce(n, 0) AS BIGINT) AS n
+      FROM (SELECT contig, unnest(range(CAST(floor(len / 10000) AS BIGINT) + 1)) AS bin FROM contigs) g
+      LEFT JOIN (SELECT chr1 AS contig, CAST(floor(pos1 / 10000) AS BIGINT) AS bin, count(*) AS n FROM contacts
+        WHERE chr1 = chr2 AND floor(pos1 / 10000) = floor(pos2 / 10000) GROUP BY 1, 2) c ON g.contig = c.contig AND g.bin = c.bin""",
+    "average": "SELECT median(n) AS average_links FROM diagonal JOIN contigs USING (contig) WHERE bin < floor(len / 10000)",
+    "ends": """SELECT contig, e, bin, count(*) AS n FROM (
+        SELECT chr1 AS contig, 0 AS e, CAST(floor(least(pos1, len) / 10000) AS BIGINT) AS bin FROM contacts JOIN contigs ON chr1 = contig WHERE chr1 = chr2
+        UNION ALL SELECT chr1, 1, CAST(floor((len - least(pos1, len) + 1) / 10000) AS BIGINT) FROM contacts JOIN contigs ON chr1 = contig WHERE chr1 = chr2)
+      WHERE bin < 30 GROUP BY 1, 2, 3""",
+    "dense": """SELECT contig, e, bin, n, average_links / (n + 1) AS w, row_number() OVER (PARTITION BY contig, e ORDER BY bin) - 1 AS rank
+      FROM ends, average WHERE n >= greatest(0.3 * average_links, 30)""",
+    "cells": """SELECT c.chr1 AS x, c.chr2 AS y, ex.e AS ex, ey.e AS ey,
+        CASE WHEN ex.e = 0 THEN CAST(floor(c.pos1 / 10000) AS BIGINT) ELSE CAST(floor((a.len - c.pos1 + 1) / 10000) AS BIGINT) END AS bx,
+        CASE WHEN ey.e = 0 THEN CAST(floor(c.pos2 / 10000) AS BIGINT) ELSE CAST(floor((b.len - c.pos2 + 1) / 10000) AS BIGINT) END AS by_
+      FROM canon c JOIN contigs a ON c.chr1 = a.contig JOIN contigs b ON c.chr2 = b.contig, (VALUES (0), (1)) ex(e), (VALUES (0), (1)) ey(e) WHERE c.chr1 <> c.chr2""",
+    "scores": """SELECT x, y, ex + 2 * ey AS code, CAST(round_even(sum(dx.w * dy.w), 0) AS BIGINT) AS score
+      FROM cells JOIN dense dx ON dx.contig = x AND dx.e = ex AND dx.bin = bx JOIN dense dy ON dy.contig = y AND dy.e = ey AND dy.bin = by_
+      WHERE dx.rank + dy.rank < 3 GROUP BY 1, 2, 3""",
+    "best": """SELECT x, y, score, CASE WHEN score > 0 THEN code ELSE 0 END AS code
+      FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY score DESC, code) AS k FROM scores) WHERE k = 1""",
+    "norm": """SELECT x AS i, y AS j, code, CASE WHEN score = 0 THEN 0.0 ELSE round_even(score / s * power(2.0, 10 - greatest(floor(log2(score / s)), -14)), 0) / power(2.0, 10 - greatest(floor(log2(score / s)), -14)) END AS v
+      FROM (SELECT *, sum(CASE WHEN k <= 5 THEN score END) OVER (PARTITION BY x) AS s, max(score) OVER (PARTITION BY x) AS m
+        FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y DESC) AS k
+          FROM (SELECT x, y, score, code FROM best UNION ALL SELECT y, x, score, CASE WHEN code IN (1, 2) THEN 3 - code ELSE code END FROM best))) WHERE m > 30""",
+    "edges": """SELECT a.i, a.j, (a.v + b.v) / 2 AS w, a.code FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) WHERE k <= 2) a
+      JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) WHERE k <= 2) b ON a.i = b.j AND a.j = b.i
+      WHERE a.i < a.j AND (a.v + b.v) / 2 > 0.3""",
+    "lifted": """SELECT p.chrom AS chr1, CASE WHEN p.orient = 1 THEN p."end" - pos1 + 1 ELSE p.start + pos1 - 1 END AS pos1,
+        q.chrom AS chr2, CASE WHEN q.orient = 1 THEN q."end" - pos2 + 1 ELSE q.start + pos2 - 1 END AS pos2
+      FROM contacts JOIN placed p ON p.contig = chr1 JOIN placed q ON q.contig = chr2""",
+    "ratio": """SELECT chrom, CAST(floor(b / 10000) AS BIGINT) AS bin, CAST(sum(dn) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM (
+        SELECT chr1 AS chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000
+        UNION ALL SELECT chr1, least(pos1, pos2), 0, 1 FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2""",
+    "lens": "SELECT n_chars AS len FROM documents",
+    "seqs": "SELECT concat('seq', CAST(doc_id AS VARCHAR)) AS name, regexp_replace(translate(regexp_replace(text, '\\s', '', 'g'), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq FROM documents",
+}
+
+
+def oracle(select: str) -> str:
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items()) + f"\n{select}"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return add
+
+
+def average(spark, d) -> float:
+    return average_links(D.contacts(spark, d), D.contigs(spark, d), CONFIG)
+
+
+def dense(spark, d) -> DataFrame:
+    fit = C.eligible(D.contigs(spark, d), B, T)
+    return G.settled(density.flagged(density.ends(D.contacts(spark, d), fit, B, T), average(spark, d)), "dense")
+
+
+def scores(spark, d) -> DataFrame:
+    return score.triangle(D.contacts(spark, d), C.eligible(D.contigs(spark, d), B, T), dense(spark, d), B, T)
+
+
+def best(spark, d) -> DataFrame:
+    return pair_scores(D.contacts(spark, d), D.contigs(spark, d), average(spark, d), CONFIG, T)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best(spark, sf_dir)
+
+
+def placed(spark, d) -> DataFrame:
+    return layout.place(D.components(spark, d))
+
+
+def lines(spark, d) -> DataFrame:
+    """Contacts as text with uneven white space and a ninth field on some lines."""
+    c = D.contacts(spark, d)
+    return c.select(F.concat(F.lit(" 0\t"), "chr1", F.lit("  "), F.col("pos1").cast("string"), F.lit(" 0 16\t"), "chr2", F.lit(" "), F.col("pos2").cast("string"), F.lit(" 1"), F.when(F.col("pos1") % 2 == 0, " 60").otherwise("")).alias("value"))
+
+
+SHORT = "'0' AS str1, chr1, pos1, '0' AS frag1, '16' AS str2, chr2, pos2, '1' AS frag2"
+
+
+@query("s1_contact_import", f"SELECT {SHORT} FROM contacts")
+def _(spark, d):
+    return S.contact_lines(lines(spark, d))
+
+
+@query("s2_contact_scan_strict", f"SELECT {SHORT} FROM contacts WHERE pos1 % 2 = 1")
+def _(spark, d):
+    tabs = lines(spark, d).select(F.regexp_replace(F.trim("value"), r"\s+", "\t").alias("value"))
+    return S.contact_lines(tabs, strict=True)
+
+
+@query("s3_fasta_scan", "SELECT name, CAST(length(seq) AS BIGINT) AS len FROM seqs")
+def _(spark, d):
+    records = D.sequences(spark, d).select(F.concat("name", F.lit(" description\n"), F.regexp_replace("seq", "(.{1,60})", "$1\n")).alias("value"))
+    return S.fasta_records(records).select("name", "len")
+
+
+@query("s4_duplicate_names", "SELECT 'b' || CAST(n_chars % 1000 AS VARCHAR) AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return S.duplicate_names(D.read(spark, d, "documents").select(F.concat(F.lit("b"), (F.col("n_chars") % 1000).cast("string")).alias("name")))
+
+
+@query("p1_known_contigs", "SELECT * FROM contacts WHERE chr1 IN (SELECT contig FROM contigs WHERE contig < 'ctg000008') AND chr2 IN (SELECT contig FROM contigs WHERE contig < 'ctg000008')")
+def _(spark, d):
+    return C.known(D.contacts(spark, d), D.contigs(spark, d).filter("contig < 'ctg000008'")).select("chr1", "pos1", "chr2", "pos2")
+
+
+@query("p2_length_eligibility", "SELECT contig, len FROM contigs WHERE len >= 10000 * 3")
+def _(spark, d):
+    return C.eligible(D.contigs(spark, d), B, T)
+
+
+@query("p3_canonical_pairs", "SELECT * FROM canon")
+def _(spark, d):
+    return C.canonical(D.contacts(spark, d))
+
+
+@query("p4_position_clamp", "SELECT chr1, least(pos1, 90000) AS pos1, chr2, least(pos2, 90000) AS pos2 FROM contacts")
+def _(spark, d):
+    short = D.contigs(spark, d).withColumn("len", F.lit(90_000).cast("long"))
+    return C.with_lengths(D.contacts(spark, d), short).select("chr1", "pos1", "chr2", "pos2")
+
+
+@query("p5_end_bins", "SELECT x AS contig, ex AS e, bx AS bin, count(*) AS n FROM cells WHERE ey = 0 GROUP BY 1, 2, 3")
+def _(spark, d):
+    c = C.with_lengths(C.canonical(C.inter(D.contacts(spark, d))), D.contigs(spark, d))
+    c = c.select(F.col("chr1").alias("contig"), F.explode(C.end_bins(F.col("pos1"), F.col("len1"), B)).alias("b"))
+    return c.groupBy("contig", "b.e", "b.bin").agg(F.count("*").alias("n"))
+
+
+@query("p7_intra_inter_split", "SELECT chr1 = chr2 AS intra, count(*) AS n FROM contacts GROUP BY 1")
+def _(spark, d):
+    c = D.contacts(spark, d)
+    return C.intra(c).agg(F.count("*").alias("n")).select(F.lit(True).alias("intra"), "n").union(C.inter(c).agg(F.count("*").alias("n")).select(F.lit(False), "n"))
+
+
+@query(
+    "p11_segment_split",
+    """SELECT chr1 || '_' || CASE WHEN pos1 <= 50000 THEN '1_50000' ELSE '50001_100000' END AS chr1, CASE WHEN pos1 <= 50000 THEN pos1 ELSE pos1 - 50000 END AS pos1,
+       chr2 || '_' || CASE WHEN pos2 <= 50000 THEN '1_50000' ELSE '50001_100000' END AS chr2, CASE WHEN pos2 <= 50000 THEN pos2 ELSE pos2 - 50000 END AS pos2
+       FROM contacts WHERE pos1 BETWEEN 1 AND 100000 AND pos2 BETWEEN 1 AND 100000""",
+)
+def _(spark, d):
+    at = D.contigs(spark, d).select("contig", F.explode(F.expr("sequence(bigint(1), len, bigint(50000))")).alias("start")).withColumn("end", F.col("start") + 49_999)
+    seg = at.withColumn("seg", F.concat_ws("_", "contig", F.col("start").cast("string"), F.col("end").cast("string")))
+    return C.split_by_segments(D.contacts(spark, d), seg, 50_000)
+
+
+@query("j1_contact_lengths", "SELECT chr1, chr2, pos1, pos2, a.len AS len1, b.len AS len2 FROM contacts JOIN contigs a ON chr1 = a.contig JOIN contigs b ON chr2 = b.contig")
+def _(spark, d):
+    return C.with_lengths(D.contacts(spark, d), D.contigs(spark, d))
+
+
+@query("a1_diagonal_density", "SELECT * FROM diagonal")
+def _(spark, d):
+    return density.diagonal(D.contacts(spark, d), D.contigs(spark, d), B)
+
+
+@query("a2_average_links", "SELECT CAST(average_links AS DOUBLE) AS average_links FROM average")
+def _(spark, d):
+    c = D.contigs(spark, d)
+    return density.average_links(density.diagonal(D.contacts(spark, d), c, B), c, B)
+
+
+@query("a3_end_density", "SELECT * FROM ends")
+def _(spark, d):
+    return density.ends(D.contacts(spark, d), D.contigs(spark, d), B, T)
+
+
+@query("a4_a5_w1_flagged_bins", "SELECT contig, e, bin, n, round(w, 9) AS w, rank FROM dense")
+def _(spark, d):
+    return dense(spark, d).select("contig", "e", "bin", "n", F.round("w", 9).alias("w"), "rank")
+
+
+@query("a6_triangle_pair_score", "SELECT * FROM scores")
+def _(spark, d):
+    return scores(spark, d)
+
+
+@query("a7_best_score", "SELECT * FROM best")
+def _(spark, d):
+    return best(spark, d)
+
+
+@query("a8_row_normalisation", "SELECT i, j, round(v, 9) AS v, code FROM norm")
+def _(spark, d):
+    return score.normalised(best(spark, d)).select("i", "j", F.round("v", 9).alias("v"), "code")
+
+
+@query(
+    "a9_contact_map",
+    """SELECT c.chr1 AS x, c.chr2 AS y, ex.e + 2 * ey.e AS code, CASE WHEN ex.e = 0 THEN CAST(floor((c.pos1 - 1) / 10000) AS BIGINT) ELSE CAST(floor((100000 - c.pos1) / 10000) AS BIGINT) END AS bx,
+       CASE WHEN ey.e = 0 THEN CAST(floor((c.pos2 - 1) / 10000) AS BIGINT) ELSE CAST(floor((100000 - c.pos2) / 10000) AS BIGINT) END AS "by", count(*) AS n
+       FROM canon c, (VALUES (0), (1)) ex(e), (VALUES (0), (1)) ey(e) WHERE c.pos1 >= 1 AND c.pos2 >= 1 GROUP BY 1, 2, 3, 4, 5""",
+)
+def _(spark, d):
+    return density.contact_map(D.contacts(spark, d).filter("pos1 >= 1 and pos2 >= 1"), D.contigs(spark, d), B)
+
+
+@query("t3_g1_edges", "SELECT i, j, round(w, 9) AS w, code FROM edges")
+def _(spark, d):
+    return linked(D.contacts(spark, d), D.contigs(spark, d), average(spark, d), CONFIG, T).select("i", "j", F.round("w", 9).alias("w"), "code")
+
+
+@query(
+    "g2_components",
+    """SELECT contig, concat('ctg', lpad(CAST(CAST(floor(CAST(substr(contig, 4) AS BIGINT) / 5) * 5 AS BIGINT) AS VARCHAR), 6, '0')) AS component FROM contigs""",
+)
+def _(spark, d):
+    e = linked(D.contacts(spark, d), D.contigs(spark, d), average(spark, d), CONFIG, T)
+    return G.components(G.settled(e, "edges"), D.contigs(spark, d).select("contig"))
+
+
+@query("g3_g7_paths", "SELECT concat('Block_0_', min(contig) OVER (PARTITION BY chrom)) AS chrom, ord, contig, len, orient FROM parts")
+def _(spark, d):
+    return one_round(D.contacts(spark, d), D.contigs(spark, d), average(spark, d), CONFIG, T, 0)
+
+
+@query("w2_cumulative_layout", 'SELECT chrom, ord, contig, len, orient, start, "end" FROM placed')
+def _(spark, d):
+    return placed(spark, d)
+
+
+@query(
+    "w4_review_layout",
+    """SELECT chrom, ord, contig, len, orient, CAST(coalesce(sum(len) OVER w, 1) AS BIGINT) AS start, CAST(coalesce(sum(len) OVER w, 0) + len AS BIGINT) AS "end"
+       FROM parts WINDOW w AS (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def _(spark, d):
+    return layout.place_joined(D.components(spark, d))
+
+
+@query("w7_renumbered", """SELECT concat('scaffold_', CAST(dense_rank() OVER (ORDER BY CASE WHEN chrom = '' THEN 1 ELSE 0 END, -z, f) AS VARCHAR)) AS chrom, contig, start FROM (SELECT *, max("end") OVER (PARTITION BY chrom) AS z, min(contig) OVER (PARTITION BY chrom) AS f FROM placed)""")
+def _(spark, d):
+    return layout.renumbered(placed(spark, d)).select("chrom", "contig", "start")
+
+
+@query(
+    "w8_g10_gap_interleave",
+    """SELECT chrom, start, "end", CAST(2 * ord - 1 AS INTEGER) AS ord, 'W' AS tag, contig, '1' AS contig_start, CAST(len AS VARCHAR) AS contig_end, CASE WHEN orient = 1 THEN '-' ELSE '+' END AS orient FROM placed
+       UNION ALL SELECT chrom, "end" + 1, "end" + 100, CAST(2 * ord AS INTEGER), 'U', '100', 'scaffold', 'yes', 'proximity_ligation' FROM (SELECT *, max(ord) OVER (PARTITION BY chrom) AS m FROM placed) WHERE ord < m""",
+)
+def _(spark, d):
+    return layout.with_gaps(placed(spark, d))
+
+
+@query("k1_initial_agp", """SELECT contig AS chrom, 1 AS start, len AS "end", 1 AS ord, 'W' AS tag, contig, 1 AS contig_start, len AS contig_end, 0 AS orient FROM contigs""")
+def _(spark, d):
+    return layout.initial(D.contigs(spark, d))
+
+
+@query("k5_a12_chrom_sizes", 'SELECT chrom, max("end") AS size FROM placed GROUP BY 1')
+def _(spark, d):
+    return layout.sizes(placed(spark, d))
+
+
+@query("j3_coordinate_lift", "SELECT * FROM lifted")
+def _(spark, d):
+    return layout.lift(D.contacts(spark, d), placed(spark, d))
+
+
+@query("k7_lifted_pairs", "SELECT CASE WHEN chr1 > chr2 THEN chr2 ELSE chr1 END AS chr1, CASE WHEN chr1 > chr2 THEN chr1 ELSE chr2 END AS chr2, count(*) AS n FROM lifted GROUP BY 1, 2")
+def _(spark, d):
+    return C.canonical(layout.lift(D.contacts(spark, d), placed(spark, d))).groupBy("chr1", "chr2").agg(F.count("*").alias("n"))
+
+
+@query(
+    "j4_j5_layout_composition",
+    """SELECT CASE WHEN p.chrom IN ('chr0', 'chr1') THEN 'super' ELSE p.chrom END AS chrom, CAST(CASE WHEN chrom = 'chr0' THEN ord WHEN chrom = 'chr1' THEN c0 + c1 + 1 - ord ELSE ord END AS INTEGER) AS ord, contig, len,
+       CASE WHEN chrom = 'chr1' THEN 1 - orient ELSE orient END AS orient
+       FROM parts p, (SELECT count(*) FILTER (WHERE chrom = 'chr0') AS c0, count(*) FILTER (WHERE chrom = 'chr1') AS c1 FROM parts)""",
+)
+def _(spark, d):
+    child = D.components(spark, d).withColumn("ord", F.col("ord").cast("int"))
+    parent = child.select("chrom").distinct().filter("chrom in ('chr0', 'chr1')").select(F.lit("super").alias("chrom"), F.when(F.col("chrom") == "chr0", 1).otherwise(2).alias("ord"), F.col("chrom").alias("contig"), F.when(F.col("chrom") == "chr1", 1).otherwise(0).alias("orient"))
+    return layout.compose(child, parent)
+
+
+@query("g11_connections", "SELECT a.chrom, a.contig, b.contig AS next, (CASE WHEN a.orient = 1 THEN 's' ELSE 'e' END) || (CASE WHEN b.orient = 1 THEN 'e' ELSE 's' END) AS tag FROM placed a JOIN placed b ON a.chrom = b.chrom AND b.ord = a.ord + 1")
+def _(spark, d):
+    return layout.adjacent(placed(spark, d))
+
+
+#: Derived contacts reach no further than 68 kb, so that the lower distance is less here than by default.
+NEAR = 40_000
+
+
+@query("a10_e1_directionality", "SELECT * FROM ratio")
+def _(spark, d):
+    return correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), B, NEAR)
+
+
+def signal(spark, d):
+    counts = correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), B, NEAR)
+    return correct.signal(counts, layout.sizes(placed(spark, d)), B)
+
+
+@query(
+    "e2_signal",
+    """SELECT g.chrom, g.bin, round(log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)), 9) AS s
+       FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin""",
+)
+def _(spark, d):
+    return signal(spark, d).select("chrom", "bin", F.round("s", 9).alias("s"))
+
+
+@query("e3_break_points")
+def _(spark, d):
+    fine = correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), 1000, NEAR)
+    return correct.break_points(correct.signal(fine, layout.sizes(placed(spark, d)), 1000))
+
+
+@query("e4_e5_pieces", """SELECT chrom || CASE WHEN ord < 3 THEN '_break_1' ELSE '_break_2' END AS chrom, CAST(CASE WHEN ord < 3 THEN ord ELSE ord - 2 END AS INTEGER) AS ord, contig, len, orient FROM placed""")
+def _(spark, d):
+    p = placed(spark, d)
+    points = p.select("chrom").distinct().select("chrom", F.lit(21.3).alias("break_bin"))
+    return correct.pieces(p, correct.snapped(points, p, B))
+
+
+@query(
+    "a13_nx",
+    """SELECT nx, len AS length, CAST(k AS BIGINT) AS count FROM (SELECT n.nx, len, k, row_number() OVER (PARTITION BY n.nx ORDER BY k) AS r
+       FROM (SELECT len, row_number() OVER (ORDER BY len DESC) AS k, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS c, sum(len) OVER () AS t FROM lens), (VALUES (50), (90), (95), (98), (99)) n(nx) WHERE 100 * c >= n.nx * t) WHERE r = 1""",
+)
+def _(spark, d):
+    return stats.nx(D.read(spark, d, "documents").select(F.col("n_chars").alias("len")))
+
+
+@query("a14_totals", "SELECT CAST(sum(len) AS BIGINT) AS total, count(*) AS sequences, max(len) AS longest FROM lens")
+def _(spark, d):
+    return stats.totals(D.read(spark, d, "documents").select(F.col("n_chars").alias("len")))
+
+
+@query("c1_assembly_chains", "SELECT chrom, string_agg(CAST(CASE WHEN orient = 1 THEN -idx ELSE idx END AS VARCHAR), ' ' ORDER BY ord) AS chain FROM (SELECT *, row_number() OVER (ORDER BY chrom, ord) AS idx FROM parts) GROUP BY chrom")
+def _(spark, d):
+    return stats.chains(D.components(spark, d))
+
+
+@query("c2_s7_assembly_layout", """SELECT concat('chain', CAST(dense_rank() OVER (ORDER BY chrom) AS VARCHAR)) AS chrom, CAST(ord AS INTEGER) AS ord, contig, len, orient, start, "end" FROM placed""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    parts = D.components(spark, d)
+    idx = F.row_number().over(Window.orderBy("chrom", "ord"))
+    named = parts.withColumn("idx", idx).select(F.col("idx").alias("line_no"), F.concat(F.lit(">"), F.concat_ws(" ", "contig", F.col("idx").cast("string"), F.col("len").cast("string"))).alias("value"))
+    chain = stats.chains(parts).select((F.row_number().over(Window.orderBy("chrom")) + 1_000_000).alias("line_no"), F.col("chain").alias("value"))
+    return layout.place(stats.from_chains(*S.assembly_lines(named.union(chain)))).select("chrom", "ord", "contig", "len", "orient", "start", "end")
+
+
+@query("f10_reverse_complement", "SELECT name, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM seqs")
+def _(spark, d):
+    return D.sequences(spark, d).select("name", reverse_complement(F.col("seq")).alias("seq"))
+
+
+@query(
+    "j7_f12_joined_sequences",
+    """SELECT 'g' || CAST(k AS VARCHAR) AS chrom, string_agg(CASE WHEN o = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, repeat('N', 100) ORDER BY i) AS seq
+       FROM (SELECT seq, CAST(floor(CAST(substr(name, 4) AS BIGINT) / 10) AS BIGINT) AS k, CAST(substr(name, 4) AS BIGINT) AS i, CAST(substr(name, 4) AS BIGINT) % 2 AS o FROM seqs) GROUP BY k""",
+)
+def _(spark, d):
+    s = D.sequences(spark, d)
+    i = F.substring("name", 4, 20).cast("long")
+    parts = s.select(F.concat(F.lit("g"), floor_div(i, 10).cast("string")).alias("chrom"), i.alias("ord"), F.col("name").alias("contig"), (i % 2).alias("orient"))
+    return stats.joined_sequences(parts, s)
+
+
+@query(
+    "f13_chunks",
+    """SELECT name || '_' || CAST(a AS VARCHAR) || '_' || CAST(least(a + 1000, length(seq)) AS VARCHAR) AS name, substr(seq, a + 1, 1000) AS seq
+       FROM (SELECT name, seq, unnest(range(0, CAST(length(seq) AS BIGINT), 1000)) AS a FROM seqs) WHERE regexp_matches(substr(seq, a + 1, 1000), '[^N]')""",
+)
+def _(spark, d):
+    return stats.chunks(D.sequences(spark, d), 1000)
+
+
+@query(
+    "g9_scaffolding_run",
+    """SELECT contig, CAST(ord AS INTEGER) AS ord, len, orient, start, "end", count(*) OVER (PARTITION BY chrom) AS parts FROM placed""",
+)
+def _(spark, d):
+    from pyspark.sql import Window
+
+    out = scaffold(D.contacts(spark, d), D.contigs(spark, d), CONFIG)
+    return out.select("contig", "ord", "len", "orient", "start", "end", F.count("*").over(Window.partitionBy("chrom")).alias("parts"))
