@@ -10,7 +10,7 @@ window's ends. Decoding concatenates bytes, up the same tree. Null texts count a
 from __future__ import annotations
 
 import base64
-import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -83,7 +83,38 @@ class Monoid:
 
     def encode_window(self, tokens: list[bytes]) -> list[bytes]:
         data = b"".join(tokens)
-        return self.leaf(data) if len(data) <= 8 * LEAF else self.tree(data)
+        return self.leaf(data) if len(data) <= 8 * LEAF else self.wide(data)
+
+    def wide(self, data: bytes) -> list[bytes]:
+        """As leaf, for a window that had to grow far, as in a long run of one letter: pairs wait in a heap."""
+        rank, n = self.ranks.get, len(data)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each place
+        alive = [True] * n
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank(data[k : k + 2])) is not None]
+        heapq.heapify(heap)
+
+        def push(k: int) -> None:
+            if k >= 0 and ends[k] < n:
+                to = ends[ends[k]]
+                r = rank(data[k:to])
+                if r is not None:
+                    heapq.heappush(heap, (r, k, to))
+
+        while heap:
+            _, k, to = heapq.heappop(heap)
+            if not alive[k] or ends[k] >= n or ends[ends[k]] != to or ends[k] >= to:
+                continue
+            alive[ends[k]] = False
+            ends[k] = to
+            if to < n:
+                before[to] = k
+            push(k)
+            push(before[k])
+        out, k = [], 0
+        while k < n:
+            out.append(data[k : ends[k]])
+            k = ends[k]
+        return out
 
     def tree(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF:

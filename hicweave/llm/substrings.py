@@ -271,8 +271,8 @@ def without(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K)
 
 def rewritten(df: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the ranges of gone cut out of its texts; texts without any stay as they are, whatever their white space."""
-    joined = df.join(gone.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").select(*df.columns, F.col("ranges.a").alias("_a"), F.col("ranges.b").alias("_b"))
-    place = df.columns.index(text)
+    joined = df.join(gone.toDF("__k", "__r"), F.col(key) == F.col("__k"), "left").select(*df.columns, F.col("__r.a").alias("__a"), F.col("__r.b").alias("__b"))
+    names, place = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +281,7 @@ def rewritten(df: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "
                 spans = zip(part.column(place).cast(pa.binary()).to_pylist(), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())
                 texts = pa.array([kept(t, list(zip(a, b)))[2] if a and t else t for t, a, b in spans], pa.binary()).cast(pa.string())
                 columns = [texts if c == place else part.column(c) for c in range(part.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays(columns, df.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, df.schema)
 
