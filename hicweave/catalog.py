@@ -425,3 +425,62 @@ def _(spark, d):
 
     out = scaffold(D.contacts(spark, d), D.contigs(spark, d), CONFIG)
     return out.select("contig", "ord", "len", "orient", "start", "end", F.count("*").over(Window.partitionBy("chrom")).alias("parts"))
+
+
+def agp_rows(spark, d) -> DataFrame:
+    return layout.with_gaps(placed(spark, d))
+
+
+PARTS_SQL = """SELECT chrom, start, "end", CAST(2 * ord - 1 AS INTEGER) AS ord, contig, len, CASE WHEN orient = 1 THEN '-' ELSE '+' END AS orient FROM placed"""
+
+
+@query("s5_agp_rows", f"SELECT chrom, start, \"end\", ord, contig, CAST(len AS VARCHAR) AS contig_end, orient FROM ({PARTS_SQL})")
+def _(spark, d):
+    text = agp_rows(spark, d).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in S.AGP_COLUMNS]).alias("value"))
+    return S.agp_lines(text).filter("tag = 'W'").select("chrom", "start", "end", "ord", "contig", "contig_end", "orient")
+
+
+@query("s8_p8_layout_subset", f"SELECT chrom, contig, len FROM ({PARTS_SQL}) WHERE chrom IN ('chr0', 'chr2')")
+def _(spark, d):
+    return S.components_of(agp_rows(spark, d), ["chr0", "chr2"]).select("chrom", "contig", "len")
+
+
+@query("a11_same_bin_counts", "SELECT chr1 AS chrom, CAST(floor(pos1 / 10000) AS BIGINT) AS bin, count(*) AS n FROM lifted WHERE chr1 = chr2 AND floor(pos1 / 10000) = floor(pos2 / 10000) GROUP BY 1, 2")
+def _(spark, d):
+    return correct.same_bin(layout.lift(D.contacts(spark, d), placed(spark, d)), B)
+
+
+@query("t3_u3_mutual_top_two", "SELECT a.i, a.j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) a JOIN (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) b ON a.i = b.j AND a.j = b.i WHERE a.k <= 2 AND b.k <= 2 AND a.i < a.j")
+def _(spark, d):
+    return score.edges(score.normalised(best(spark, d)), -1.0).select("i", "j")
+
+
+@query("t5_numeric_suffix_order", "SELECT name, CAST(row_number() OVER (ORDER BY CAST(substr(name, 4) AS BIGINT)) AS INTEGER) AS place FROM seqs WHERE length(seq) > 8000")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    long = D.sequences(spark, d).filter(F.length("seq") > 8000)
+    return long.select("name", F.row_number().over(Window.orderBy(F.substring("name", 4, 20).cast("long"))).alias("place"))
+
+
+@query("f8_quantiles", "SELECT quantile_cont(len, 0.005) AS low, median(len) AS middle, quantile_cont(len, 0.995) AS high FROM lens")
+def _(spark, d):
+    n = D.read(spark, d, "documents")
+    return n.agg(F.percentile("n_chars", 0.005).alias("low"), F.median("n_chars").alias("middle"), F.percentile("n_chars", 0.995).alias("high"))
+
+
+@query(
+    "w9_w11_signal_windows",
+    """SELECT chrom, bin, round(avg(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean,
+       round(min(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 40 PRECEDING AND CURRENT ROW), 9) AS low
+       FROM (SELECT g.chrom, g.bin, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
+         FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin)""",
+)
+def _(spark, d):
+    return correct.windows(signal(spark, d)).select("chrom", "bin", F.round("mean", 9).alias("mean"), F.round("low", 9).alias("low"))
+
+
+@query("c3_lift_table", 'SELECT contig, chrom, start, "end", orient, max("end") OVER (PARTITION BY chrom) AS chrom_size FROM placed')
+def _(spark, d):
+    p = placed(spark, d)
+    return p.join(layout.sizes(p), "chrom").select("contig", "chrom", "start", "end", "orient", F.col("size").alias("chrom_size"))

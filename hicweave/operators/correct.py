@@ -94,3 +94,17 @@ def pieces(placed: DataFrame, cuts: DataFrame) -> DataFrame:
     marked = placed.join(at, ["chrom", "ord"], "left").withColumn("piece", F.coalesce(F.sum("c").over(Window.partitionBy("chrom").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + 1)
     order = F.row_number().over(Window.partitionBy("chrom", "piece").orderBy("ord"))
     return marked.withColumn("o", order).select(F.concat("chrom", F.lit("_break_"), F.col("piece").cast("string")).alias("chrom"), F.col("o").alias("ord"), "contig", "len", "orient")
+
+
+def same_bin(lifted: DataFrame, bin_size: int) -> DataFrame:
+    """chrom, bin, n: contacts of a scaffold with both ends in one bin."""
+    a, b = floor_div(F.col("pos1"), bin_size), floor_div(F.col("pos2"), bin_size)
+    return lifted.filter("chr1 = chr2").filter(a == b).groupBy(F.col("chr1").alias("chrom"), a.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def windows(signals: DataFrame) -> DataFrame:
+    """Adds mean over WIDTH neighbours (fewer at the edges) and low, the least of the BACK bins before and the bin."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chrom").orderBy("bin")
+    return signals.withColumns({"mean": F.avg("s").over(w.rowsBetween(-(WIDTH // 2), WIDTH - WIDTH // 2 - 1)), "low": F.min("s").over(w.rowsBetween(-BACK, 0))})

@@ -70,3 +70,21 @@ def write_fasta(records: DataFrame, path: str, prefix: int = 9) -> None:
     """Records by the number that ends their name."""
     ordered = records.orderBy(F.expr(f"try_cast(substr(name, {prefix + 1}) as int)"), "name")
     ordered.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
+
+
+AGP_COLUMNS = ["chrom", "start", "end", "ord", "tag", "contig", "contig_start", "contig_end", "orient"]
+
+
+def agp_lines(lines: DataFrame) -> DataFrame:
+    """Nine-column rows from lines in `value`."""
+    kind = dict(x.split(" ") for x in AGP.split(", "))
+    f = F.split("value", "\t", -1)
+    return lines.select(*[F.get(f, F.lit(k)).cast(kind[c]).alias(c) for k, c in enumerate(AGP_COLUMNS)])
+
+
+def components_of(agp: DataFrame, chroms: list[str] | None = None) -> DataFrame:
+    """(chrom, ord, contig, len, orient) of the parts, on all scaffolds or those named; gap rows go."""
+    parts = agp.filter("tag = 'W'")
+    if chroms is not None:
+        parts = parts.filter(F.col("chrom").isin(chroms))
+    return parts.select("chrom", "ord", "contig", (F.col("contig_end").try_cast("long") - F.col("contig_start").try_cast("long") + 1).alias("len"), F.when(F.col("orient").isin("-", "1"), 1).otherwise(0).alias("orient"))
