@@ -4,7 +4,9 @@ A window is `k` consecutive words of a document. Each window has a minimiser, th
 neighbouring words; consecutive windows with the same minimiser are cut out as one string, and strings go to the bucket
 of their minimiser. Equal windows have equal minimisers, so a bucket sees all copies of a window, sorts the windows and
 compares equal hashes word by word. Before anything is sent, a task settles the windows that it has seen in a smaller
-document itself and sends only the smallest document's: of a passage with a million copies, each task sends one.
+document itself and sends only the smallest document's: of a passage with a million copies, each task sends one. Minimisers that
+a bounded sample shows to be frequent have several buckets each, by the windows' minimisers under a second hash, so that
+no bucket grows with the commonest words; which ones are split changes no result.
 
 Null and blank texts have no words. Equal rows get equal results; rows that share an id but not their text share the
 word positions to remove. Empty tables give empty results, and other columns are not read.
@@ -29,6 +31,10 @@ CHUNK = 6_000_000
 #: Bytes of input for each bucket; more input gives more buckets, so that a bucket stays small.
 BYTES_PER_BUCKET = 1 << 20
 LEAST_BUCKETS = 256
+#: Rows from which frequent minimisers are learnt, the share of a bucket from which one is split, and the most of them.
+SAMPLE_ROWS = 4000
+HOT_SHARE = 0.25
+MOST_HOT = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,9 +60,9 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def minimisers(h: np.ndarray, k: int) -> np.ndarray:
+def minimisers(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """The smallest hash of two neighbours in each window of k words. A word followed by itself comes last."""
-    pair = mixed(h[:-1] * _MIX + h[1:]) >> np.uint64(1) | (h[:-1] == h[1:]).astype(np.uint64) << np.uint64(63)
+    pair = mixed((h[:-1] * _MIX + h[1:]) ^ np.uint64(seed)) >> np.uint64(1) | (h[:-1] == h[1:]).astype(np.uint64) << np.uint64(63)
     low, width = pair, 1
     while 2 * width <= k - 1:
         low = np.minimum(low[:-width], low[width:])
@@ -125,8 +131,8 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return out
 
 
-def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed strings) of some documents."""
+def flattened(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, the numbers of all words in order, and the words of each text."""
     vocabulary: dict[bytes, int] = {}
     setdefault = vocabulary.setdefault
     flat: list[int] = []
@@ -135,11 +141,14 @@ def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int) -> Iterato
         words = t.split()
         sizes[j] = len(words)
         flat.extend([setdefault(w, len(vocabulary)) for w in words])
-    ids = np.array(flat, np.int64)
-    del flat
+    return list(vocabulary), np.array(flat, np.int64), sizes
+
+
+def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int, hot: np.ndarray, splits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed strings) of some documents."""
+    known, ids, sizes = flattened(texts)
     if len(ids) < k:
         return
-    known = list(vocabulary)
     h = word_hashes(known)[ids]
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -160,8 +169,14 @@ def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int) -> Iterato
     s, n = runs(settled, edge)
     to = (mixed(ids_arr.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc[s]]
     known_of = {b: (s[p], n[p]) for b, p in _by(to)}
-    s, n = runs(sent, edge | np.concatenate([[True], low[1:] != low[:-1]]))
-    to = (mixed(low[s]) % np.uint64(buckets)).astype(np.int64)
+    goal = low
+    if len(hot):
+        found = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
+        wide = np.flatnonzero(hot[found] == low)
+        goal = low.copy()
+        goal[wide] ^= mixed(mixed(minimisers(h, k, 0x5EED)[wide]) % splits[found[wide]] + np.uint64(1))
+    s, n = runs(sent, edge | np.concatenate([[True], goal[1:] != goal[:-1]]))
+    to = (mixed(goal[s]) % np.uint64(buckets)).astype(np.int64)
     for b, p in _by(to, known_of):
         x, y = known_of.get(b, (s[:0], n[:0]))
         ss, nn = s[p], n[p]
@@ -207,14 +222,39 @@ def _settle(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out[0], out[1], out[1] + out[2] + k - 1
 
 
+def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers, sorted, of many windows of a bounded sample, and the number of buckets for each."""
+    rows = df.count()
+    sample = df.select(text).sample(SAMPLE_ROWS / rows, 11) if rows > SAMPLE_ROWS else df.select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(0, batch.num_rows, 256):
+                known, ids, sizes = flattened([t for t in batch.column(0).slice(j, 256).cast(pa.binary()).to_pylist() if t])
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                if len(ids) >= k:
+                    low = minimisers(word_hashes(known)[ids], k)[doc[: len(ids) - k + 1] == doc[k - 1 :]]
+                    m, n = np.unique(low, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], ["m", "n"])
+
+    counts = sample.mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).collect()[0][0] or 0
+    most = counts.filter(F.col("n") * buckets > HOT_SHARE * total).orderBy(F.desc("n"), "m").limit(MOST_HOT).toPandas()
+    m, n = most["m"].to_numpy(np.int64).view(np.uint64), most["n"].to_numpy(np.int64)
+    order = np.argsort(m)
+    return m[order], np.ceil(n[order] * buckets / (HOT_SHARE * max(1, total))).astype(np.uint64)
+
+
 def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(key, ranges): for each id with something to remove, the word ranges [a, b) as an array of structs, sorted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(LEAST_BUCKETS, min(1 << 22, math.ceil(size / BYTES_PER_BUCKET)))
 
+    hot, splits = frequent_minimisers(df, text, k, buckets)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(ids, texts):
-            rows = list(_cut(ids, texts, k, buckets))
+            rows = list(_cut(ids, texts, k, buckets, hot, splits))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
         ids, texts, held = [], [], 0
