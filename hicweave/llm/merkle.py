@@ -97,3 +97,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     near = likeness(F.col("fingerprint"), F.col("edited_fingerprint")), likeness(F.col("fingerprint"), F.col("next_fingerprint"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt, length(t) // 3 AS k FROM d),
+e AS (SELECT doc_id, t, nxt, substr(t, 1, length(t) - k) || substr(nxt, 1, k) AS ed FROM n),
+f AS (
+  SELECT doc_id, which, md5(sha256(x) || body) || '|' || body AS fp, x FROM (
+    SELECT doc_id, which, x, array_to_string(list_transform(list_transform(string_split(x, chr(10)),
+      lambda s: array_to_string(list_transform(regexp_extract_all(s, '[^.!?]{1,120}[.!?]*|[.!?]+'), lambda y: substr(md5(y), 1, 10)), ',')),
+      lambda s: substr(md5(s), 1, 12) || ':' || s), '|') AS body
+    FROM (SELECT doc_id, 't' AS which, t AS x FROM e UNION ALL SELECT doc_id, 'e', ed FROM e UNION ALL SELECT doc_id, 'n', nxt FROM e))),
+l AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(fp, '^[0-9a-f]{32}|\|[0-9a-f]{12}:', ',', 'g'), ','), lambda x: x <> '')) AS lv FROM f),
+j AS (
+  SELECT a.doc_id, a.x AS t, b.x AS ed, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.lv AS la, b.lv AS lb, c.lv AS lc
+  FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.which = 'e' JOIN l c ON a.doc_id = c.doc_id AND c.which = 'n' WHERE a.which = 't')
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+  CASE WHEN substr(fa, 1, 32) = substr(fb, 1, 32) THEN 1.0 WHEN len(la) + len(lb) = 0 THEN 0.0
+       ELSE CAST(len(list_intersect(la, lb)) AS DOUBLE) / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
+  CASE WHEN substr(fa, 1, 32) = substr(fc, 1, 32) THEN 1.0 WHEN len(la) + len(lc) = 0 THEN 0.0
+       ELSE CAST(len(list_intersect(la, lc)) AS DOUBLE) / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next
+FROM j
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_secret_scans": secrets.query,
     "op10_document_fingerprints": merkle.query,
 }
-ORACLE_SQL = {"op1_quality_rules": quality.ORACLE, "op5_url_filters": urls.ORACLE}
+ORACLE_SQL = {
+    "op1_quality_rules": quality.ORACLE,
+    "op3_substring_dedup": substrings.ORACLE,
+    "op5_url_filters": urls.ORACLE,
+    "op6_ngram_jaccard_join": jaccard.ORACLE,
+    "op10_document_fingerprints": merkle.ORACLE,
+}
