@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import materialise, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -136,6 +136,14 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, sa
     return cascade(base, rules, estimate(base, rules, sample_rows), F.col("base_failed"))
 
 
+def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that are kept, with its columns. The verdicts are a table before they filter: as a condition the
+    optimizer would write the counts out again for each rule that uses them."""
+    judged = judge(df, text).select(*[F.col(c) for c in df.columns if c != "kept"], "kept") if "kept" not in df.columns else judge(df.withColumnRenamed("kept", "_own"), text)
+    out = materialise(judged, "judged").filter("kept")
+    return out.drop("kept").withColumnRenamed("_own", "kept").select(df.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
