@@ -199,10 +199,17 @@ def test_jaccard_join(spark, shingle, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), c) for i, c in want.items()}
 
 
-def test_large_groups_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize(("held", "block"), [(1_000_000, 4096), (24, 8)])
+def test_large_groups_lose_no_link(spark, monkeypatch, held, block):
     monkeypatch.setattr(jaccard, "PAIRWISE", 3)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16" if held < 100 else "10000")
     texts = dict(enumerate(near_copies(150, 9)))
-    got = jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    try:
+        got = jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     sets = {i: jaccard.shingle_set(jaccard.words_of(t.encode())) for i, t in texts.items()}
     want = brute_components(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
     assert {r.doc_id: r.component_id for r in got} == want
