@@ -1,8 +1,9 @@
-"""URL filters: pattern rules indexed by their rarest literal token.
+"""URL filters: pattern rules indexed by their rarest literal tokens.
 
-A rule is a regular expression with literal tokens that every match must contain. The index holds each rule under the
-token that the fewest URLs contain; a URL's tokens fetch the rules to try, and only those run. Rules without a literal
-token are refused. Null URLs and URLs without :// have empty host and path, fit no base rule and are allowed. Repeated
+A rule is a regular expression with alternatives: sets of literal tokens, of which every match holds one whole set, each
+token a whole run of letters and digits. The index holds a rule once for each alternative, under that of its tokens which
+the fewest URLs contain; a URL's tokens fetch the rules to try, and only those run. Rules without a literal token are
+refused, and so are rules of which the regular expression does not show that every match holds an alternative. Null URLs and URLs without :// have empty host and path, fit no base rule and are allowed. Repeated
 rows and repeated ids are judged one by one; an empty table or an empty list of rules gives allow.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,13 +25,22 @@ from .common import table
 #: Rules are a parameter of the caller; beyond this number the index would not be small, and is refused.
 MAX_RULES = 100_000
 TOKEN = r"[a-z0-9]+"
+#: Ways through a rule's regular expression that are looked at; a rule with more is refused.
+MAX_WAYS = 10_000
 
 
 @dataclass(frozen=True)
 class Pattern:
+    """tokens: what every match holds; or alternatives, one of which every match holds."""
+
     name: str
     regex: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
+    alternatives: tuple[tuple[str, ...], ...] = ()
+
+    @property
+    def entries(self) -> tuple[tuple[str, ...], ...]:
+        return self.alternatives or (self.tokens,)
 
 
 #: Fixed values of the contract: host, path, verdict.
@@ -40,12 +52,16 @@ BASE_RULES = [
     ("net", "/fr/", "block"),
 ]
 PATTERNS = [
-    Pattern("gambling", r"(^|[./-])(casino|casinos)([./-]|$)", ("casino",)),
-    Pattern("betting", r"(^|[./-])(free-)?bets?([./-]|$)", ("bets",)),
-    Pattern("pharmacy", r"(^|[./-])(cheap-)?pills?([./-]|$)", ("pills",)),
-    Pattern("trackers", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", ("ads", "track")),
-    Pattern("adult", r"(^|[./-])(xxx|adult-?(video|chat)s?)([./-]|$)", ("xxx",)),
-    Pattern("shells", r"/wp-(admin|login)[./]", ("wp",)),
+    Pattern("gambling", r"(^|[./-])(casino|casinos)([./-]|$)", alternatives=(("casino",), ("casinos",))),
+    Pattern("betting", r"(^|[./-])(free-)?bets?([./-]|$)", alternatives=(("bet",), ("bets",))),
+    Pattern("pharmacy", r"(^|[./-])(cheap-)?pills?([./-]|$)", alternatives=(("pill",), ("pills",))),
+    Pattern("trackers", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", alternatives=tuple((a, t) for a in ("ad", "ads") for t in ("track", "tracker", "tracking"))),
+    Pattern(
+        "adult",
+        r"(^|[./-])(xxx|adult-?(video|chat)s?)([./-]|$)",
+        alternatives=(("xxx",), *(x for t in ("video", "videos", "chat", "chats") for x in (("adult", t), ("adult" + t,)))),
+    ),
+    Pattern("shells", r"/wp-(admin|login)[./]", alternatives=(("wp", "admin"), ("wp", "login"))),
 ]
 
 
@@ -68,21 +84,91 @@ def base_rule(rules=BASE_RULES) -> Column:
 
 
 def tokens() -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", F.lit(" "), "path")), F.lit(TOKEN), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(F.concat("host", F.lit(" "), "path")), LONG_S, "s"), F.lit(TOKEN), F.lit(0)))
+
+
+#: Matches s where case does not count.
+LONG_S = "\u017f"
+#: What a way through a regular expression passes besides letters and digits: what parts tokens, and what may be anything.
+EDGE, ANYTHING = "|", "?"
+
+
+def _char(code: int) -> str:
+    c = chr(code).lower().replace(LONG_S, "s")
+    return c if re.fullmatch("[a-z0-9]", c) else EDGE
+
+
+def _ways(parsed) -> list[str]:
+    """Ways through a parsed regular expression, as letters and digits, EDGE and ANYTHING."""
+    out = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            ways = [_char(arg)]
+        elif op is sre.IN:
+            ways = []
+            for kind, x in arg:
+                if kind is sre.LITERAL:
+                    ways.append(_char(x))
+                elif kind is sre.RANGE and x[1] - x[0] < 128:
+                    ways += map(_char, range(x[0], x[1] + 1))
+                elif kind is sre.CATEGORY and x is sre.CATEGORY_SPACE:
+                    ways.append(EDGE)
+                else:
+                    ways = [ANYTHING]
+                    break
+        elif op is sre.AT and arg is not sre.AT_NON_BOUNDARY:
+            ways = [EDGE]
+        elif op is sre.BRANCH:
+            ways = [w for x in arg[1] for w in _ways(x)]
+        elif op is sre.SUBPATTERN:
+            ways = _ways(arg[3])
+        elif op is sre.ATOMIC_GROUP:
+            ways = _ways(arg)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] <= 8:
+            least, most, x = arg
+            ways, once = [""], _ways(x)
+            for _ in range(least):
+                ways = _joined(ways, once)
+            if most - least > 8:
+                ways = _joined(ways, [ANYTHING])
+            else:
+                more = ways
+                for _ in range(most - least):
+                    more = _joined(more, once)
+                    ways = [*ways, *more]
+        else:
+            ways = [ANYTHING]
+        out = _joined(out, ways)
+    return out
+
+
+def _joined(a: list[str], b: list[str]) -> list[str]:
+    b = list(dict.fromkeys(b))
+    if len(a) * len(b) > MAX_WAYS:
+        raise ValueError(f"more than {MAX_WAYS} ways through a regular expression")
+    return list(dict.fromkeys(x + y for x in a for y in b))
+
+
+def unheld(p: Pattern) -> list[str]:
+    """Ways through the rule's regular expression that do not show all tokens of some alternative as whole ones."""
+    whole = lambda way: set(re.findall(r"(?<=\|)[a-z0-9]+(?=\|)", way))
+    return [w for w in _ways(_parser.parse(p.regex, re.I)) if not any(whole(w).issuperset(x) for x in p.entries)]
 
 
 def index(df: DataFrame, patterns: list[Pattern]) -> dict[str, list[tuple[str, str]]]:
-    """Rules as (name, regex) under that of their tokens which the fewest URLs of df contain, counted over all."""
+    """Rules as (name, regex) under that of their tokens which the fewest URLs of df contain, counted over all,
+    once for each alternative."""
     if len(patterns) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     for p in patterns:
-        if not p.tokens or any(not re.fullmatch(TOKEN, t) for t in p.tokens):
+        if any(not x or any(not re.fullmatch(TOKEN, t) for t in x) for x in p.entries):
             raise ValueError(f"rule {p.name} needs literal tokens of lower-case letters and digits")
-    wanted = df.sparkSession.createDataFrame(sorted({(t,) for p in patterns for t in p.tokens}), "t string")
+    wanted = df.sparkSession.createDataFrame(sorted({(t,) for p in patterns for x in p.entries for t in x}), "t string")
     count = dict(df.select(F.explode(tokens()).alias("t")).join(F.broadcast(wanted), "t").groupBy("t").count().collect())
     out: dict[str, list[tuple[str, str]]] = {}
     for p in patterns:
-        out.setdefault(min(p.tokens, key=lambda t: (count.get(t, 0), t)), []).append((p.name, p.regex))
+        for t in dict.fromkeys(min(x, key=lambda t: (count.get(t, 0), t)) for x in p.entries):
+            out.setdefault(t, []).append((p.name, p.regex))
     return out
 
 
@@ -91,6 +177,9 @@ def matching(df: DataFrame, patterns: list[Pattern]) -> DataFrame:
     df = df.drop("patterns")
     if not patterns:
         return df.withColumn("patterns", F.array().cast("array<string>"))
+    for p in patterns:
+        if lost := unheld(p):
+            raise ValueError(f"rule {p.name} may match without its tokens: {lost[0]}")
     rules = index(df, patterns)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +189,7 @@ def matching(df: DataFrame, patterns: list[Pattern]) -> DataFrame:
             found = []
             for host, path in zip(batch["host"], batch["path"]):
                 named = set()
-                for t in compiled.keys() & split(f"{host} {path}".lower()):
+                for t in compiled.keys() & split(f"{host} {path}".lower().replace(LONG_S, "s")):
                     named.update(name for name, x in compiled[t] if x.search(host + path))
                 found.append(sorted(named))
             yield batch.assign(patterns=found)

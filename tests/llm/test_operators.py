@@ -159,6 +159,26 @@ def test_urls(spark):
         urls.index(urls.parts(df), [urls.Pattern("p", "x", ())])
 
 
+def test_rules_are_fetched_for_every_match(spark):
+    words = ["casino", "casinos", "bet", "bets", "free-bet", "free-bets", "pill", "pills", "cheap-pill", "cheap-pills", "xxx", "adult-x", "bet\u017f", "ad-", "casinox", "a_bet"]
+    words += [f"ad{a}-track{b}" for a in ("", "s") for b in ("", "er", "ing")] + [f"adult{a}{b}{c}" for a in ("", "-") for b in ("video", "chat") for c in ("", "s")] + ["wp-admin", "wp-login", "wp-x"]
+    rows = [(f"http://{u}",) for w in words for u in (f"y.org/{w}/1", f"y.org/{w.upper()}", f"blog.{w}.example.net/de/x.", f"{w}.org", f"y.org/x{w}")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "url string")).collect()
+    want = {r.url: sorted(p.name for p in urls.PATTERNS if re.search(p.regex, r.host + r.path, re.I)) for r in got}
+    assert {r.url: r.patterns for r in got} == want and {n for x in want.values() for n in x} == {p.name for p in urls.PATTERNS}
+    assert not want["http://blog.adult-x.example.net/de/x."]
+    assert all(r.verdict == ("block" if r.patterns else "allow") for r in got)
+
+
+def test_rules_that_lose_matches_are_refused(spark):
+    df = spark.createDataFrame([("http://y.org/a",)], "url string")
+    assert not any(urls.unheld(p) for p in urls.PATTERNS)
+    for regex, tokens in ((r"(^|[./-])bets?([./-]|$)", ("bets",)), ("casino", ("casino",)), (r"/casino\w*/", ("casino",)), (r"/(casino)?/", ("casino",)), (r"/casino.?/", ("casino",))):
+        with pytest.raises(ValueError):
+            urls.filter_urls(df, patterns=[urls.Pattern("p", regex, tokens)])
+    assert not urls.unheld(urls.Pattern("p", r"\bcasino\b.*[0-9]{3}", ("casino",)))
+
+
 # 6
 def brute_components(sets, similar):
     parent = {i: i for i in sets}
