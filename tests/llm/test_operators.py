@@ -258,6 +258,32 @@ def test_similar_sets_share_a_signature():
             assert jaccard.may_reach(jaccard.parities(x), jaccard.parities(y), len(x), len(y))
 
 
+def spread(n, k):
+    """Ways to deal n shingles to k segments."""
+    return [(n,)] if k == 1 else [(x, *r) for x in range(n + 1) for r in spread(n - x, k - 1)]
+
+
+@pytest.mark.parametrize(("size", "gone", "new"), [(7, 1, 0), (8, 1, 0), (9, 1, 0), (10, 1, 0), (13, 1, 1), (14, 2, 0)])
+def test_small_sets_share_a_signature_however_they_fall(size, gone, new):
+    least = size - gone + new
+    band, segments, near, _ = jaccard.schemes_of(min(size, least), 85)[0]
+    assert 100 * (size - gone) >= 85 * (size + new) and band in [x[0] for x in jaccard.schemes_of(size, 85)]
+    salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    pool = np.random.default_rng(size).integers(1, 1 << 63, 4000, dtype=np.uint64)
+    place = (jaccard.mixed(pool ^ salt) % np.uint64(segments)).astype(int)
+    pool = [pool[place == k] for k in range(segments)]
+    for counts in spread(size, segments):
+        for out in spread(gone, segments):
+            if any(x > n for x, n in zip(out, counts)):
+                continue
+            for more in spread(new, segments):
+                kept = np.concatenate([x[y:n] for x, y, n in zip(pool, out, counts)])
+                a = np.sort(np.concatenate([kept, *(x[:y] for x, y in zip(pool, out))]))
+                b = np.sort(np.concatenate([kept, *(x[n : n + y] for x, n, y in zip(pool, counts, more))]))
+                for common in (kept[:0], np.sort(kept), a, np.sort(pool[0]), np.setdiff1d(pool[0], a[:1])):
+                    assert np.intersect1d(jaccard.signatures(a, 85, common), jaccard.signatures(b, 85, common)).size, (counts, out, more)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
