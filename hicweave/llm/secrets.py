@@ -19,12 +19,16 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 #: Candidate strings of the entropy scan.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits per character that some window must reach: hexadecimal strings, and strings of more kinds of signs. Strings of
-#: digits only or letters of one case only are no candidates. A window of 20 has 4.32 bits at most.
-BITS = {"hex": 3.0, "mixed": 3.6}
+#: Bits per character that some window must reach: hexadecimal strings, letters of one case, and strings of more kinds of
+#: signs. Strings of digits only are no candidates. A window of 20 has 4.32 bits at most.
+BITS = {"hex": 3.0, "case": 3.6, "mixed": 3.6}
+#: A word, in capitals or as up to five humps of an identifier; longer runs of one case are judged by their bits.
+WORD = r"(?:[A-Z]{2,19}|[A-Za-z][a-z]{0,18}(?:[A-Z][a-z]{2,18}){0,4})"
+#: Seven consonants without a vowel between, which words do not have.
+UNSPOKEN = r"(?:[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ][+/_=-]?){7}"
 #: Candidates that match are no secrets: words joined by signs (a short number may follow), identifiers, stand-ins.
 ALLOWED = [
-    r"^[A-Za-z+/_=-]+[0-9]{0,8}$",
+    rf"^(?!.*{UNSPOKEN})[+/_=-]*(?:{WORD}[+/_=-]+)*+{WORD}?[0-9]{{0,8}}$",
     r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|xxxx",
 ]
@@ -71,8 +75,9 @@ def _allowed(x: str) -> str:
 
 
 def _entropy_test(x: str) -> str:
-    return f"""case when {x} rlike '^([0-9]+|[a-z]+|[A-Z]+)$' then false
-        else {window_bits(x)} >= case when {x} rlike '^[0-9a-fA-F]+$' then {BITS['hex']} else {BITS['mixed']} end end"""
+    return f"""case when {x} rlike '^[0-9]+$' then false
+        else {window_bits(x)} >= case when {x} rlike '^([a-z]+|[A-Z]+)$' then {BITS['case']}
+            when {x} rlike '^[0-9a-fA-F]+$' then {BITS['hex']} else {BITS['mixed']} end end"""
 
 
 def window_bits(x: str, window: int = WINDOW) -> str:

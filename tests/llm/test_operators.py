@@ -355,6 +355,17 @@ def test_entropy(spark, word, found):
     assert bool(secrets.scan(df).collect()[0].found_spans) is found
 
 
+def test_entropy_of_letters(spark):
+    keys = ["qZkXpvLmWtRbNcYdFgHjKsVa", "qZkXpvLmWtRbNcYdFgHjKsVa42", "qzkxpvlmwtrbncydfghj", "QZKXPVLMWTRBNCYDFGHJ", "qZkXp+vLmWt/RbNcYdFgHjKsVa==", "qzkxp-vlmwt-rbncy-dfghj"]
+    words = ["state-of-the-art-systems", "getElementByIdentityName", "MAX_CONNECTIONS_PER_HOST", "/usr/local/share/common/words", "uncharacteristically", "Counterrevolutionaries", "report-of-the-committee-2024", "=" * 5000, "a-" * 20000, "aB" * 3000, "31415926535897932384"]
+    df = spark.createDataFrame([(f"see {w} here", w in keys) for w in keys + words], "text string, key boolean")
+    assert not [r.text[:60] for r in secrets.scan(df).collect() if bool(r.found_spans) is not r.key]
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    df = spark.createDataFrame([("".join(rnd.choice(letters) for _ in range(20)),) for _ in range(300)], "text string")
+    assert sum(bool(r.found_spans) for r in secrets.scan(df).collect()) >= 290
+
+
 def test_window_entropy(spark):
     for w in ("ab" * 15, "q7Zk2pXv9LmW4tRb8NcYq7q7q7", "abcdefghijklmnopqrstuvwxyz0123"):
         want = max(sum(-c / 20 * math.log2(c / 20) for c in Counter(w[k : k + 20]).values()) for k in range(len(w) - 19))
