@@ -86,6 +86,38 @@ def test_windows_hold_the_target_shares():
         assert all(abs(a - b) <= 3 for a, b in zip(share, (60, 30, 10)))
 
 
+@pytest.mark.parametrize("held", [1 << 20, 300])
+def test_rounds_of_many_queues(monkeypatch, held):
+    monkeypatch.setattr(packing, "HELD", held)
+    rnd = random.Random(8)
+    totals = [rnd.randrange(1, 60) for _ in range(100)]
+    quantum = packing.quanta(totals, [rnd.random() + 0.02 for _ in totals], 150)
+    want, done, j = [], [0] * 100, 0
+    while done != totals:
+        for k in range(100):
+            upto = min(totals[k], (j + 1) * quantum[k] >> packing.SHIFT)
+            want += [(k, t) for t in range(done[k], upto)]
+            done[k] = upto
+        j += 1
+    doc, start, size, seq, off = packing.place(np.zeros(100, int), np.array(totals), np.arange(100), totals, quantum, 150)
+    got = {int(s * 150 + o + i): (int(d), int(b + i)) for d, b, n, s, o in zip(doc, start, size, seq, off) for i in range(n)}
+    assert [got[i] for i in range(len(want))] == want and size.sum() == len(want)
+
+
+@pytest.mark.parametrize("targets", [None, {f"s{k}": 0.02 if k < 10 else 0.8 / 90 for k in range(100)}, {f"s{k}": 0.02 for k in range(10)}])
+def test_every_source_has_its_share(spark, targets):
+    df = spark.createDataFrame([(k, f"s{k % 100}", "a b c d e f g h i" * 4) for k in range(1000)], "doc_id long, source string, text string")
+    got = packing.pack(df, VOCABULARY, targets, length=1000).collect()
+    tokens = Counter()
+    for r in got:
+        if r.sequence_id < 4:
+            tokens[r.doc_id % 100] += r.length
+    assert len(tokens) == 100
+    for k in range(100):
+        share = 40 if targets is None else 80 if k < 10 else 4000 * 0.8 / 90
+        assert abs(tokens[k] - share) <= share / 4 + 1  # a window may end within a round
+
+
 def test_packing_nothing(none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
