@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: White space of the splitting pattern: the property White_Space, which the separators U+001C to U+001F lack.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Bounds that the splitting pattern always keeps: runs of other signs with at most one space before, and white space.
+COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; set here only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, as in tests, a local session gets
+    a folder of its own; on a cluster that would be each machine's, so an error is raised."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         found = os.environ.setdefault("HICWEAVE_SHARED_DIR", tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -31,13 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage is cut, nothing is computed twice,
-    and a lost executor loses none of it. Each call takes a new folder; the job's owner clears the shared folder."""
+    and a lost executor loses none of it. Each call takes a new folder; what a result does not read is given to spend,
+    the job's owner clears the rest of the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hicweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spend(*tables: DataFrame) -> None:
+    """Removes tables made by materialise, once everything that was derived from them is a table itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/hicweave-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
