@@ -1,10 +1,11 @@
 """Token counts of documents in flat token files that have no index: a scan for the end-of-document id.
 
-A file is nothing but 16-bit ids, documents one after the other, each with an end id after it. Files are read in blocks
+A file is nothing but 16-bit ids, documents one after the other, each with an end id after it; the end id's name in a
+text is text like any other, so that the id occurs nowhere else. Files are read in blocks
 that know nothing of documents; a block finds its end ids with one vectorised comparison. A document may begin in any
 earlier block: a prefix scan over the blocks' last end ids and counts, within groups of blocks and then over groups,
 tells each block where its first document began and how many documents came before. Tokens after the last end id of a
-file are a document too. Null texts are empty documents of no token; an empty table has no files and no documents.
+file are a document too. Ids of documents are neither needed nor kept: a document is named by shard and place. Null texts are empty documents of no token; an empty table has no files and no documents.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def write_flat(df: DataFrame, vocabulary: str, to: str, end: int = END) -> DataF
         from pyarrow import fs
         from pyspark import TaskContext
 
-        coder, stop = Ids(vocabulary), int(end).to_bytes(2, "little")
+        coder, stop = Ids(vocabulary, special=False), int(end).to_bytes(2, "little")
         store, folder = fs.FileSystem.from_uri(to)
         store.create_dir(folder, recursive=True)
         shard = TaskContext.get().partitionId()

@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import re
 
-#: Bounds that the splitting pattern always keeps: runs of other signs with at most one space before, and white space.
-COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+from .common import COARSE
+
 #: Runs whose ids a task keeps.
 KEPT = 600_000
 
@@ -29,19 +29,32 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 class Ids:
-    """Texts to ids, 16 bits each. A run of signs is encoded once and then looked up."""
+    """Texts to ids, 16 bits each. A run of signs is encoded once and then looked up.
+
+    The names of the file's special tokens become their ids wherever they stand in a text, as the library has it; with
+    special=False they are text like any other, so that their ids never occur.
+    """
 
-    def __init__(self, path: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         import public_tokenizers
         import tiktoken
 
-        ranks = {b: i for b, i in ranks_of(path).items() if b.decode("utf-8", "replace") not in special}
-        if max(ranks.values()) >= 1 << 16:
+        with open(path, encoding="utf-8") as f:
+            names = {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+        ranks = {b: i for b, i in ranks_of(path).items() if i not in names.values()}
+        if max([*ranks.values(), *names.values()]) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._kept: dict[str, bytes] = {}
+        self._special = {n: i.to_bytes(2, "little") for n, i in names.items()} if special else {}
+        self._parts = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
 
     def __call__(self, text: str) -> bytes:
+        if self._parts is not None and any(n in text for n in self._special):
+            return b"".join([self._special.get(x) or self._plain(x) for x in self._parts.split(text) if x])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         from array import array
 
         if len(self._kept) > KEPT:
