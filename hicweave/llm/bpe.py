@@ -11,20 +11,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import COARSE, table
 
 #: Byte strings of up to this length are encoded without halving.
-LEAF = 32
+LEAF = 16
 #: Encodings kept by a task; the store is emptied when it is full.
 KEPT = 400_000
-#: Runs of other signs with at most one space before, and white space: bounds that the splitting pattern always keeps.
-COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Below it the classes of the regex module are those of the tiktoken library for every character; from it on, the
+#: splitter of the tokenizers library is asked, whose classes are the same throughout.
+ALIKE = "\u0530"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -83,7 +83,7 @@ class Monoid:
 
     def encode_window(self, tokens: list[bytes]) -> list[bytes]:
         data = b"".join(tokens)
-        return self.leaf(data) if len(data) <= 8 * LEAF else self.wide(data)
+        return self.leaf(data) if len(data) <= 16 * LEAF else self.wide(data)
 
     def wide(self, data: bytes) -> list[bytes]:
         """As leaf, for a window that had to grow far, as in a long run of one letter: pairs wait in a heap."""
@@ -120,7 +120,8 @@ class Monoid:
         if len(data) <= LEAF:
             return self.leaf(data) if data else []
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        left = self.tree(data[:half])
+        return self.join(left, left if data[:half] == data[half:] else self.tree(data[half:]))
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one match of the splitting pattern."""
@@ -138,9 +139,11 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
+        from tokenizers import Regex, pre_tokenizers
 
         self.monoid = Monoid(ranks)
         self._split = regex.compile(pattern).findall
+        self._rare = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
         self._kept: dict[str, bytes] = {}
         self._matches: dict[str, bytes] = {}
         self._id = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
@@ -151,12 +154,13 @@ class TextEncoder:
             if len(self._matches) > KEPT:
                 self._matches.clear()
             got = b"".join([self._id[t] for t in self.monoid.tree(match.encode("utf-8", "replace"))])
-            if len(match) <= 4 * LEAF:
+            if len(match) <= 8 * LEAF:
                 self._matches[match] = got
         return got
 
     def _run(self, run: str) -> bytes:
-        return b"".join([self._match(m) for m in self._split(run)])
+        matches = self._split(run) if run.isascii() or max(run) < ALIKE else [run[a:b] for _, (a, b) in self._rare(run)]
+        return b"".join([self._match(m) for m in matches])
 
     def encode(self, text: str) -> bytes:
         kept = self._kept
@@ -168,7 +172,7 @@ class TextEncoder:
             for k, r in enumerate(runs):
                 if out[k] is None:
                     out[k] = kept.get(r) or self._run(r)
-                    if len(r) <= 4 * LEAF:
+                    if len(r) <= 8 * LEAF:
                         kept[r] = out[k]
         return b"".join(out)
 
