@@ -1,8 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
+The base columns are wanted of every document. What rules cost beyond them is spent only on documents that the base and
+the rules before have let pass. Costs and rejections are estimated on a random sample of rows that pass the base, and
+the rule that newly rejects most for its cost comes next.
+
 Null texts count as empty: no words, so the base rule rejects them. Empty tables give empty results, repeated rows are
-judged one by one, and columns beyond the named ones are carried along; a column of the caller's that has the name of
-a result column is replaced by the result.
+judged one by one, texts of any length are read whole, and columns beyond the named ones are carried along; a column of
+the caller's that has the name of a result column is replaced by the result.
 """
 
 from __future__ import annotations
@@ -13,18 +17,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import materialise, spend, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows on which costs and selectivities are estimated; they set the order of the rules, never the verdict.
-SAMPLE_ROWS = 2000
+#: Rows, in expectation, of the random sample on which costs and selectivities are estimated, at any size of the input;
+#: it sets the order of the rules, never a verdict. A rule is timed over each row COPIES times, the least of TRIES counts.
+SAMPLE_ROWS = 1000
+COPIES, TRIES = 8, 2
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects a document where `rejects` is true; it may use the text and the base columns."""
+    """A rule rejects a document where `rejects` is true; it may use the text, the base columns and the words, _w."""
 
     name: str
     rejects: Column
@@ -32,6 +38,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Estimate:
+    """Seconds that a rule takes for the sample, and the share of it that this rule rejects and none before it."""
+
     name: str
     seconds: float
     rejected: float
@@ -42,7 +50,7 @@ class Estimate:
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and the words, _w.
 
     Repeated 3-word windows are found within the row: their 64-bit hashes are sorted with their positions, neighbours
     of equal hash are kept, and the positions give the words covered. No row is exploded and nothing is shuffled.
@@ -69,7 +77,7 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
         F.expr("sort_array(transform(filter(_s, (x, j) -> get(_s, j - 1).h <=> x.h or get(_s, j + 1).h <=> x.h), x -> x.i))"),
     )
     out = out.select(
-        *[c for c in out.columns if c not in ("_w", "_h", "_lines", "_s", "_p")],
+        *[c for c in out.columns if c not in ("_h", "_lines", "_s", "_p")],
         F.size("_w").cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -84,37 +92,78 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
 def default_rules(text: str = "text") -> list[Rule]:
     """Rules whose limits lie far from ordinary prose in any language: each looks for one kind of wreckage."""
     t = F.coalesce(F.col(text), F.lit(""))
+    per_word = lambda pattern, percent: 100 * F.regexp_count(t, F.lit(pattern)) > percent * F.col("n_words")
+    most = """aggregate(sort_array(_w), struct('' as w, 0 as n, 0 as most),
+        (a, x) -> case when x = a.w then struct(x as w, a.n + 1 as n, greatest(a.most, a.n + 1) as most) else struct(x as w, 1 as n, greatest(a.most, 1) as most) end,
+        a -> a.most)"""
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 25 * F.col("n_words")),
         Rule("repeated_lines", 100 * F.col("n_dup_lines") > 50 * (F.regexp_count(t, F.lit("\n")) + 1)),
         Rule("long_words", F.col("word_chars") > 20 * F.col("n_words")),
         Rule("short_words", 10 * F.col("word_chars") < 20 * F.col("n_words")),
-        Rule("shouting", 100 * F.regexp_count(t, F.lit("[!?]{2}")) > 30 * F.col("n_words")),
-        Rule("capitals", 100 * F.regexp_count(t, F.lit("[A-Z]{2,}")) > 60 * F.col("n_words")),
+        Rule("lone_signs", per_word(LONE_SIGNS, 25)),
+        Rule("marked_words", per_word(MARKED_WORDS, 30)),
+        Rule("one_word", 100 * F.expr(most) > 30 * F.col("n_words")),
+        Rule("shouting", per_word("[!?]{2}", 30)),
+        Rule("capitals", per_word("[A-Z]{2,}", 60)),
         Rule("no_letters", 100 * F.regexp_count(t, F.lit(r"\p{L}[^\x20\x09-\x0D]*")) < 50 * F.col("n_words")),
     ]
 
 
-def estimate(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Seconds and rejected share of each rule on a bounded sample, most rejection per second first."""
-    sample = df.limit(sample_rows).cache()
+#: A word without letters and digits behind white space; a word that ends in three signs of no sentence.
+LONE_SIGNS = r"[\x20\x09-\x0D][^\p{L}\p{N}\x20\x09-\x0D]+(?:[\x20\x09-\x0D]|$)"
+MARKED_WORDS = r"[#*$%&|<>~^=_+@]{3}(?:[\x20\x09-\x0D]|$)"
+
+
+def sampled(df: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The base columns, the text and the words of about sample_rows random rows, as a small table.
+
+    Each row has the same chance, wherever it lies, and only the rows drawn travel. The rows are drawn before anything
+    is counted on them, so that the pass over the table reads its text and no more.
+    """
+    rows = df.count()
+    some = df.select(text) if rows <= sample_rows else df.select(text).sample(sample_rows / rows, 17)
+    return materialise(base_columns(some.repartition(4), text), "sample")
+
+
+def estimate(rows: DataFrame, rules: list[Rule]) -> list[Estimate]:
+    """The rules in the order in which they are to run, from a small table with base columns: its rows that pass the base."""
+    sample = rows.filter("not base_failed").cache()
     try:
         n = max(1, sample.count())
-        sample.agg(F.count("*")).collect()  # compiled before the clock runs
-
-        def timed(condition: Column) -> tuple[float, int]:
-            begin = time.perf_counter()
-            got = sample.agg(F.count_if(condition)).collect()[0][0]
-            return time.perf_counter() - begin, got
-
-        idle = min(timed(F.lit(False))[0] for _ in range(2))
-        found = []
-        for r in rules:
-            tries = [timed(r.rejects) for _ in range(2)]
-            found.append(Estimate(r.name, max(1e-4, min(s for s, _ in tries) - idle), tries[0][1] / n))
+        copies = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+
+        def timed(condition: Column) -> float:
+            took = []
+            for _ in range(TRIES):
+                begin = time.perf_counter()
+                copies.agg(F.count_if(condition)).collect()
+                took.append(time.perf_counter() - begin)
+            return min(took)
+
+        idle = min(timed(F.col("_copy") < k) for k in (0, -1, -2))  # the first ones warm the machine up
+        seconds = [max(1e-3, timed(r.rejects) - idle) / COPIES for r in rules]
+        bits = F.lit(0).cast("long")
+        for k, r in enumerate(rules):
+            bits = bits + F.when(r.rejects, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        # One row for each set of rules that rejects a row of the sample.
+        found = [(r.bits, r.n) for r in sample.select(bits.alias("bits")).groupBy("bits").agg(F.count("*").alias("n")).collect()]
     finally:
         sample.unpersist()
-    return sorted(found, key=lambda e: (-e.worth, e.name))
+    return ordered([r.name for r in rules], seconds, found, n)
+
+
+def ordered(names: list[str], seconds: list[float], found: list[tuple[int, int]], rows: int) -> list[Estimate]:
+    """Next comes the rule that rejects most rows for its seconds among those that no rule before it rejects; found:
+    sets of rejecting rules, as bits, with their rows. Of rules that reject nothing more, the cheapest comes first."""
+    left, out = list(range(len(names))), []
+    while left:
+        new = {k: sum(n for bits, n in found if bits >> k & 1) for k in left}
+        k = min(left, key=lambda k: (-new[k] / seconds[k], seconds[k], names[k]))
+        out.append(Estimate(names[k], seconds[k], new[k] / max(1, rows)))
+        found = [(bits, n) for bits, n in found if not bits >> k & 1]
+        left.remove(k)
+    return out
 
 
 def cascade(df: DataFrame, rules: list[Rule], order: list[Estimate], failed: Column | None = None) -> DataFrame:
@@ -132,8 +181,10 @@ def cascade(df: DataFrame, rules: list[Rule], order: list[Estimate], failed: Col
 def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Base columns and the verdict for every row."""
     rules = default_rules(text) if rules is None else rules
-    base = base_columns(df, text)
-    return cascade(base, rules, estimate(base, rules, sample_rows), F.col("base_failed"))
+    sample = sampled(df, text, sample_rows)
+    order = estimate(sample, rules)
+    spend(sample)
+    return cascade(base_columns(df, text), rules, order, F.col("base_failed")).drop("_w")
 
 
 def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -167,7 +218,7 @@ cov AS (
   SELECT rid, count(DISTINCT p) AS n
   FROM (SELECT rid, i AS p FROM rep UNION ALL SELECT rid, i + 1 FROM rep UNION ALL SELECT rid, i + 2 FROM rep) GROUP BY rid),
 b AS (
-  SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines,
@@ -179,6 +230,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          OR 100 * n_symbols > 25 * n_words
          OR 100 * n_dup_lines > 50 * (length(t) - length(replace(t, chr(10), '')) + 1)
          OR word_chars > 20 * n_words OR 10 * word_chars < 20 * n_words
+         OR 100 * len(regexp_extract_all(t, '[\x20\x09-\x0D][^\p{L}\p{N}\x20\x09-\x0D]+(?:[\x20\x09-\x0D]|$)')) > 25 * n_words
+         OR 100 * len(regexp_extract_all(t, '[#*$%&|<>~^=_+@]{3}(?:[\x20\x09-\x0D]|$)')) > 30 * n_words
+         OR 100 * coalesce(list_max(map_values(list_histogram(w))), 0) > 30 * n_words
          OR 100 * len(regexp_extract_all(t, '[!?]{2}')) > 30 * n_words
          OR 100 * len(regexp_extract_all(t, '[A-Z]{2,}')) > 60 * n_words
          OR 100 * len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) < 50 * n_words) AS kept
