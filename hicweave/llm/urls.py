@@ -3,8 +3,11 @@
 A rule is a regular expression with alternatives: sets of literal tokens, of which every match holds one whole set, each
 token a whole run of letters and digits. The index holds a rule once for each alternative, under that of its tokens which
 the fewest URLs contain; a URL's tokens fetch the rules to try, and only those run. Rules without a literal token are
-refused, and so are rules of which the regular expression does not show that every match holds an alternative. Null URLs and URLs without :// have empty host and path, fit no base rule and are allowed. Repeated
-rows and repeated ids are judged one by one; an empty table or an empty list of rules gives allow.
+refused, and so are rules of which the regular expression does not show that every match holds an alternative.
+
+Null URLs and URLs without :// have empty host and path, fit no base rule and are allowed. Repeated rows and repeated ids
+are judged one by one, URLs of any length are judged whole; an empty table or an empty list of rules gives allow.
+Columns of the caller's that are named like a result (host, path, rule, verdict, patterns) are replaced.
 """
 
 from __future__ import annotations
@@ -51,17 +54,32 @@ BASE_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+
+
+def either(*words: str) -> tuple[tuple[str, ...], ...]:
+    """Alternatives of words, of which the parts between signs are tokens."""
+    return tuple(tuple(re.findall(TOKEN, w)) for w in words)
+
+
 PATTERNS = [
-    Pattern("gambling", r"(^|[./-])(casino|casinos)([./-]|$)", alternatives=(("casino",), ("casinos",))),
-    Pattern("betting", r"(^|[./-])(free-)?bets?([./-]|$)", alternatives=(("bet",), ("bets",))),
-    Pattern("pharmacy", r"(^|[./-])(cheap-)?pills?([./-]|$)", alternatives=(("pill",), ("pills",))),
-    Pattern("trackers", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", alternatives=tuple((a, t) for a in ("ad", "ads") for t in ("track", "tracker", "tracking"))),
+    Pattern("gambling", r"(^|[./-])(casino|casinos)([./-]|$)", alternatives=either("casino", "casinos")),
+    Pattern("betting", r"(^|[./-])(free-)?bets?([./-]|$)", alternatives=either("bet", "bets")),
+    Pattern("pharmacy", r"(^|[./-])(cheap-)?pills?([./-]|$)", alternatives=either("pill", "pills")),
+    Pattern("trackers", r"(^|[./-])ads?-track(er|ing)?([./-]|$)", alternatives=either(*(f"{a}-{t}" for a in ("ad", "ads") for t in ("track", "tracker", "tracking")))),
     Pattern(
         "adult",
-        r"(^|[./-])(xxx|adult-?(video|chat)s?)([./-]|$)",
-        alternatives=(("xxx",), *(x for t in ("video", "videos", "chat", "chats") for x in (("adult", t), ("adult" + t,)))),
+        r"(^|[./-])(xxx|adult-x{1,3}|adult-?(video|chat)s?)([./-]|$)",
+        alternatives=either("xxx", "adult-x", "adult-xx", *(f"adult{a}{t}" for a in ("", "-") for t in ("video", "videos", "chat", "chats"))),
     ),
-    Pattern("shells", r"/wp-(admin|login)[./]", alternatives=(("wp", "admin"), ("wp", "login"))),
+    Pattern("farms", r"(^|[./-])(spam|link|content)-farms?([./-]|$)", alternatives=either(*(f"{a}-{t}" for a in ("spam", "link", "content") for t in ("farm", "farms")))),
+    Pattern("phishing", r"(^|[./-])(verify|secure|update)-(account|login|wallet)([./-]|$)", alternatives=either(*(f"{a}-{t}" for a in ("verify", "secure", "update") for t in ("account", "login", "wallet")))),
+    Pattern("warez", r"(^|[./-])(warez|keygens?|torrents?|crackz)([./-]|$)", alternatives=either("warez", "keygen", "keygens", "torrent", "torrents", "crackz")),
+    Pattern("shells", r"/wp-(admin|login)[./]", alternatives=either("wp-admin", "wp-login")),
+    Pattern("programs", r"[.](exe|msi|apk|scr)$", alternatives=either("exe", "msi", "apk", "scr")),
+    Pattern("calendars", r"/calendar/[0-9]{4}/[0-9]{1,2}/", alternatives=either("calendar")),
+    Pattern("carts", r"/(cart|checkout|wishlist)([./-]|$)", alternatives=either("cart", "checkout", "wishlist")),
+    Pattern("sign_in", r"/(login|signin|logout|register)([./-]|$)", alternatives=either("login", "signin", "logout", "register")),
+    Pattern("tag_pages", r"/tags?/[^/]+/page/[0-9]+", alternatives=either("tag-page", "tags-page")),
 ]
 
 
@@ -116,6 +134,8 @@ def _ways(parsed) -> list[str]:
                 else:
                     ways = [ANYTHING]
                     break
+            if len(set(ways)) > 4:  # a class of many signs may be any of them
+                ways = [ANYTHING]
         elif op is sre.AT and arg is not sre.AT_NON_BOUNDARY:
             ways = [EDGE]
         elif op is sre.BRANCH:
