@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": substrings.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op6_ngram_jaccard_join": jaccard.ORACLE,
+    "op9_secret_scans": secrets.ORACLE,
     "op10_document_fingerprints": merkle.ORACLE,
 }

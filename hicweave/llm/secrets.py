@@ -6,6 +6,9 @@ carried along. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +19,25 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
-#: Candidate strings of the entropy scan.
+#: Candidate strings of the entropy scan, made of these signs.
+SIGNS = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits per character that some window must reach: hexadecimal strings, letters of one case, and strings of more kinds of
-#: signs. Strings of digits only are no candidates. A window of 20 has 4.32 bits at most.
+#: Bits per character that a window of a class must reach: hexadecimal digits, letters of one case, and more kinds of
+#: signs. Windows of digits alone never do. A window of 20 has 4.32 bits at most.
 BITS = {"hex": 3.0, "case": 3.6, "mixed": 3.6}
+NEVER = 99.0
 #: A word, in capitals or as up to five humps of an identifier; longer runs of one case are judged by their bits.
 WORD = r"(?:[A-Z]{2,19}|[A-Za-z][a-z]{0,18}(?:[A-Z][a-z]{2,18}){0,4})"
 #: Seven consonants without a vowel between, which words do not have.
 UNSPOKEN = r"(?:[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ][+/_=-]?){7}"
-#: Candidates that match are no secrets: words joined by signs (a short number may follow), identifiers, stand-ins.
+#: Candidates that match are no secrets: words joined by signs (a short number may follow), identifiers, stand-ins that
+#: say so at their beginning, as a part, or at their end.
 ALLOWED = [
     rf"^(?!.*{UNSPOKEN})[+/_=-]*(?:{WORD}[+/_=-]+)*+{WORD}?[0-9]{{0,8}}$",
     r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|xxxx",
+    r"(?i)^(?:your|my|some|the)?[_-]?(?:example|placeholder|changeme|redacted|dummy|sample|x{4,})[+/_=-]",
+    r"(?i)(?:example|examplekey|placeholder|changeme|redacted|x{4,})$",
 ]
 
 
@@ -50,19 +57,19 @@ def _located(df: DataFrame, text: str, name: str, pattern: str, order: int, keep
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base_spans and found_spans: sorted arrays of struct(s, o, e); o is the place of the kind in KINDS."""
-    out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    """Adds base_spans, entropy_spans and found_spans: sorted arrays of struct(s, o, e); o is the place of the kind in
+    KINDS. The found spans are the base ones and those of the entropy scan that overlap none of them."""
+    out = df.drop("entropy_spans").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     value = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
     out = _located(out, "_t", "_assign", ASSIGN, 0, f"char_length(regexp_extract($x, '{value}', 1)) >= {ASSIGN_LEAST}")
     out = _located(out, "_t", "_access", ACCESS, 1, f"char_length($x) >= {ACCESS_LEAST}")
     # Runs of 32 or more among maximal runs: a greedy match never starts inside a longer run.
     out = _located(out, "_t", "_hex", HEX_LONG, 2, f"char_length($x) >= {HEX_LEAST}")
-    bits = _entropy_test("$x")
-    out = _located(out, "_t", "_entropy", CANDIDATE, 3, f"not ({_allowed('$x')}) and {bits}")
+    out = _located(out, "_t", "_entropy", CANDIDATE, 3, f"not ({_allowed('$x')}) and {excess_bits('$x')} >= 0")
     out = out.withColumn("base_spans", F.sort_array(F.concat("_assign", "_access", "_hex")))
     extra = F.expr("filter(_entropy, x -> not exists(base_spans, y -> y.s < x.e and x.s < y.e))")
     out = out.withColumn("found_spans", F.when(F.size("_entropy") == 0, F.col("base_spans")).otherwise(F.sort_array(F.concat("base_spans", extra))))
-    return out.drop("_t", "_assign", "_access", "_hex", "_entropy")
+    return out.withColumnRenamed("_entropy", "entropy_spans").drop("_t", "_assign", "_access", "_hex")
 
 
 #: A maximal run that is long enough; possessive, so that a short run costs one pass.
@@ -74,29 +81,56 @@ def _allowed(x: str) -> str:
     return " or ".join(f"{x} rlike '{p.replace(chr(92), chr(92) * 2)}'" for p in ALLOWED)
 
 
-def _entropy_test(x: str) -> str:
-    return f"""case when {x} rlike '^[0-9]+$' then false
-        else {window_bits(x)} >= case when {x} rlike '^([a-z]+|[A-Z]+)$' then {BITS['case']}
-            when {x} rlike '^[0-9a-fA-F]+$' then {BITS['hex']} else {BITS['mixed']} end end"""
+#: Counts of signs, PLACES to a number of PLACE_BITS bits each; SLOTS numbers hold all signs.
+PLACES, PLACE_BITS = 12, 5
+SLOTS = -(-len(SIGNS) // PLACES)
+
+
+def _constant(values, kind: str) -> str:
+    """SQL for an array that is folded into a constant."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
+
+
+def _codes() -> list[int]:
+    return [max(0, SIGNS.find(chr(k))) for k in range(128)]
+
 
+def _classes() -> list[int]:
+    """For each sign a one at its class's place: digits, letters to f, other letters, the same as capitals, the rest."""
+    place = lambda c: 0 if c.isdigit() else 4 if not c.isalpha() else (1 if c in "abcdef" else 2) if c.islower() else (3 if c in "ABCDEF" else 5)
+    return [1 << 8 * place(c) for c in SIGNS]
 
-def window_bits(x: str, window: int = WINDOW) -> str:
-    """SQL for the largest Shannon entropy, in bits per character, of any full window of the ASCII string x.
 
-    The fold holds the counts by character code and the sum of c * log2(c). A step lets one character in and, once the
-    window is full, one out: two counts and two terms change, whatever the window's width.
+def excess_bits(x: str, window: int = WINDOW, classes: bool = True) -> str:
+    """SQL for the most by which the Shannon entropy, in bits per character, of a full window of the string x exceeds
+    what its class of signs must reach; without classes, the largest entropy itself.
+
+    The fold holds counts by sign, five bits each in SLOTS numbers, counts by class in one number, and the sum h of
+    c * log2(c). A step lets one sign in and, once the window is full, one out: two counts and two terms change,
+    whatever the window's width and the number of signs, and nothing is counted anew.
     """
-    term = lambda c: f"(case when {c} > 1 then {c} * log2({c}) else 0.0D end)"
-    return f"""transform(array(transform(split({x}, ''), y -> ascii(y) % 128)), q -> aggregate(sequence(0, greatest(size(q) - 1, 0)),
-        named_struct('c', array_repeat(0, 128), 'h', 0.0D, 'least', cast({window} * log2({window}) as double)),
-        (a, i) -> transform(transform(array(named_struct('i', get(q, i), 'o', case when i >= {window} then get(q, i - {window}) else -1 end)), z ->
-            named_struct(
-                'c', case when z.i = z.o then a.c else transform(a.c, (n, k) -> n + int(k = z.i) - int(k = z.o)) end,
-                'h', case when z.i = z.o then a.h else
-                      a.h + {term('(get(a.c, z.i) + 1)')} - {term('get(a.c, z.i)')}
-                      + case when z.o < 0 then 0.0D else {term('(get(a.c, z.o) - 1)')} - {term('get(a.c, z.o)')} end end)),
-            w -> named_struct('c', w.c, 'h', w.h, 'least', case when i >= {window - 1} then least(a.least, w.h) else a.least end))[0],
-        a -> log2({window}) - a.least / {window}))[0]"""
+    if window >= 1 << PLACE_BITS:
+        raise ValueError("counts would overflow")
+    term = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    rise = _constant([b - a for a, b in zip(term, term[1:])], "double")  # from c to c + 1
+    whole = lambda c: f"shiftleft(1L, {PLACE_BITS} * ({c} % {PLACES}))"
+    slot = lambda c: "case " + " ".join(f"when {c} < {(k + 1) * PLACES} then a.c{k}" for k in range(SLOTS)) + " end"
+    count = lambda c: f"cast(shiftright({slot(c)}, {PLACE_BITS} * ({c} % {PLACES})) & {(1 << PLACE_BITS) - 1} as int)"
+    moved = lambda k: f"a.c{k} + (case when z.i div {PLACES} = {k} then {whole('z.i')} else 0L end) - (case when z.o div {PLACES} = {k} and z.o >= 0 then {whole('z.o')} else 0L end)"
+    mask = lambda *places: sum(255 << 8 * p for p in places)
+    least = f"""case when k & {mask(1, 2, 3, 4, 5)}L = 0 then {NEVER} when k & {mask(0, 3, 4, 5)}L = 0 or k & {mask(0, 1, 2, 4)}L = 0 then {BITS['case']}
+        when k & {mask(2, 4, 5)}L = 0 then {BITS['hex']} else {BITS['mixed']} end"""
+    fields = ", ".join(f"'c{k}', 0L" for k in range(SLOTS))
+    updates = ", ".join(f"'c{k}', {moved(k)}" for k in range(SLOTS))
+    judged = f"{math.log2(window)} - w.h / {window}" + (" - (" + re.sub(r"\bk\b", "w.k", least) + ")" if classes else "")
+    return f"""array_max(transform(array(transform(split({x}, ''), y -> get({_constant(_codes(), 'int')}, ascii(y)))), q -> aggregate(
+        transform(q, (i, n) -> named_struct('i', i, 'o', case when n >= {window} then get(q, n - {window}) else -1 end, 'full', n >= {window - 1})),
+        named_struct({fields}, 'k', 0L, 'h', 0.0D, 'most', -{NEVER}D),
+        (a, z) -> transform(array(named_struct(
+                'h', case when z.i = z.o then a.h else a.h + get({rise}, {count('z.i')}) - (case when z.o < 0 then 0.0D else get({rise}, {count('z.o')} - 1) end) end,
+                'k', a.k + get({_constant(_classes(), 'bigint')}, z.i) - (case when z.o < 0 then 0L else get({_constant(_classes(), 'bigint')}, z.o) end))),
+            w -> named_struct({updates}, 'k', w.k, 'h', w.h, 'most', case when z.full then greatest(a.most, {judged}) else a.most end))[0],
+        a -> a.most)))"""
 
 
 def spans_text(spans: Column) -> Column:
@@ -113,7 +147,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFra
                   when x.s + 1 < a.at then struct(x.e + 1 as at, a.t as t)
                   else struct(x.e + 1 as at, concat(a.t, substr(`{text}`, a.at, x.s + 1 - a.at), '{mask}') as t) end,
         a -> concat(a.t, substr(`{text}`, a.at)))"""
-    return out.withColumn(text, F.when(F.size("found_spans") > 0, F.expr(fold)).otherwise(F.col(text))).drop("base_spans", "found_spans")
+    return out.withColumn(text, F.when(F.size("found_spans") > 0, F.expr(fold)).otherwise(F.col(text))).drop("base_spans", "entropy_spans", "found_spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -121,5 +155,48 @@ def query(spark, sf_dir: str) -> DataFrame:
     count = lambda o: F.size(F.filter("base_spans", lambda x: x["o"] == o)).cast("long")
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("found_spans")).alias("spans"),
+        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("found_spans")).alias("spans"), F.size("entropy_spans").cast("long").alias("n_entropy"),
     )
+
+
+def _either_case(pattern: str) -> str:
+    """The pattern with its case-blind group written out by letters."""
+    group = re.search(r"\(\?i:(.*?)\)", pattern)
+    return pattern.replace(group[0], "(?:" + re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", group[1]) + ")")
+
+
+def _oracle() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    assign = _either_case(ASSIGN)
+    kinds = [assign, ACCESS, HEX, CANDIDATE]
+    matches = " UNION ALL ".join(f"SELECT rid, {k} AS o, regexp_extract_all(t, {quoted(p)}) AS m, string_split_regex(t, {quoted(p)}) AS p FROM d" for k, p in enumerate(kinds))
+    word = ALLOWED[0].replace("*+", "*").replace(rf"(?!.*{UNSPOKEN})", "")
+    allowed = f"(regexp_matches(x, {quoted(word)}) AND NOT regexp_matches(x, {quoted(UNSPOKEN)})) OR " + " OR ".join(f"regexp_matches(x, {quoted(p)})" for p in ALLOWED[1:])
+    names = "CASE o " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+u AS (SELECT rid, o, i, m[i] AS x, length(p[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+f AS (SELECT rid, o, x, CAST(sum(n + length(x)) OVER (PARTITION BY rid, o ORDER BY i) - length(x) AS BIGINT) AS s FROM u),
+base AS (
+  SELECT rid, o, s, s + length(x) AS e FROM f
+  WHERE CASE o WHEN 0 THEN length(regexp_extract(x, {quoted(assign)}, 1)) >= {ASSIGN_LEAST} WHEN 1 THEN length(x) >= {ACCESS_LEAST} WHEN 2 THEN length(x) >= {HEX_LEAST} ELSE false END),
+win AS (
+  SELECT x, substr(x, k, {WINDOW}) AS w FROM (SELECT x, unnest(range(1, length(x) - {WINDOW} + 2)) AS k FROM (SELECT DISTINCT x FROM f WHERE o = 3 AND NOT ({allowed})))),
+bits AS (
+  SELECT x, w, -sum(c / {WINDOW}.0 * log2(c / {WINDOW}.0)) AS h
+  FROM (SELECT x, w, ch, CAST(count(*) AS DOUBLE) AS c FROM (SELECT DISTINCT x, w FROM win), (SELECT unnest(range(1, {WINDOW + 1})) AS j), LATERAL (SELECT substr(w, j, 1) AS ch) GROUP BY x, w, ch) GROUP BY x, w),
+secret AS (
+  SELECT DISTINCT x FROM bits WHERE h >= CASE WHEN regexp_matches(w, '^[0-9]+$') THEN {NEVER} WHEN regexp_matches(w, '^([a-z]+|[A-Z]+)$') THEN {BITS['case']}
+    WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN {BITS['hex']} ELSE {BITS['mixed']} END),
+ent AS (SELECT rid, o, s, s + length(x) AS e FROM f JOIN secret USING (x) WHERE o = 3),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM ent WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = ent.rid AND base.s < ent.e AND ent.s < base.e)),
+b AS (SELECT rid, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, o) AS v FROM base GROUP BY rid),
+a AS (SELECT rid, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, o) AS v FROM every GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM ent GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.v, '')) AS base_sha256, coalesce(a.v, '') AS spans, coalesce(n.n, 0) AS n_entropy
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+ORACLE = _oracle()
