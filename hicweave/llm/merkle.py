@@ -1,9 +1,15 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
 
-A section is a line of the text; a paragraph is a run of it that ends with a sentence or after LEAF characters. Leaves
-are hashed, sections hash their leaves, the root hashes the sections. A fingerprint is text: the root, then for each
-section its hash and the short hashes of its leaves. Equal texts have equal fingerprints; where roots differ, differing
-sections and leaves say where. Null texts count as empty. Rows with the same doc_id are ordered by their text's hash.
+A section is a line of the text; a paragraph, the leaf, is a run of it that ends with a sentence, in long sentences with
+the first word end of a certain kind after SOFT characters, or after HARD characters. Where a leaf ends depends on
+what is near, so that an insertion changes the leaves around it and not all that follow. Leaves cover the text wholly.
+A leaf's hash is that of its characters, a section's that of its leaves' hashes, the root that of the sections' hashes: a
+fingerprint, which lists them all, can be verified from its root down. Where roots differ, sections and then leaves are
+aligned from both ends, and what is left between them locates the edit.
+
+Equal texts have equal fingerprints. Null texts count as empty, texts of any length are hashed whole. Rows with the same
+doc_id are ordered by their text's hash, rows without one come last; a range of neighbours is no smaller than the rows of
+one doc_id. Empty tables give empty results; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -15,38 +21,76 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAF = 120
+SOFT, HARD = 100, 240
+#: Hexadecimal digits of the hashes of leaves, sections and roots.
+LEAF_DIGITS, SECTION_DIGITS, ROOT_DIGITS = 16, 16, 32
 #: Neighbours are found within ranges of doc_id; at most so many ranges, so that their limits may be broadcast.
 MAX_RANGES = 16384
 ROWS_PER_RANGE = 2000
 
 
-def fingerprint(text: Column, leaf: int = LEAF) -> Column:
-    """root|section:leaf,leaf|section:leaf ... with 32, 12 and 10 hexadecimal digits."""
-    leaves = lambda line: F.regexp_extract_all(line, F.lit(rf"[^.!?]{{1,{leaf}}}[.!?]*|[.!?]+"), F.lit(0))
-    section = lambda line: F.array_join(F.transform(leaves(line), lambda x: F.substring(F.md5(x), 1, 10)), ",")
-    lines = F.transform(F.split(text, "\n"), section)
-    body = F.array_join(F.transform(lines, lambda s: F.concat(F.substring(F.md5(s), 1, 12), F.lit(":"), s)), "|")
-    # The root is over the sections' hashes and over what the leaves leave out: an exact digest of the text.
-    return F.concat(F.md5(F.concat(F.sha2(text, 256), body)), F.lit("|"), body)
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def leaves(print_: Column) -> Column:
-    """The distinct leaf hashes of a fingerprint."""
-    return F.array_distinct(F.array_remove(F.split(F.regexp_replace(print_, r"^[0-9a-f]{32}|\|[0-9a-f]{12}:", ","), ","), ""))
+def fingerprint(text: Column) -> Column:
+    """root|section:leaf,leaf|section:leaf ..."""
+    leaf = rf"[^.!?]{{{SOFT},{HARD - 1}}}?[dnst] |[^.!?]{{1,{HARD}}}[.!?]*|[.!?]+"
+    short = lambda c, digits: F.substring(F.md5(c), 1, digits)
+    section = lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(leaf), F.lit(0)), lambda x: short(x, LEAF_DIGITS)), ",")
+    body = F.array_join(F.transform(F.transform(F.split(text, "\n"), section), lambda s: F.concat(short(s, SECTION_DIGITS), F.lit(":"), s)), "|")
+    return _let(body, lambda b: F.concat(F.substring(root_of(b), 1, ROOT_DIGITS), F.lit("|"), b))
+
+
+def root_of(body: Column) -> Column:
+    """The root over the sections' hashes, from what a fingerprint lists behind its root."""
+    return F.sha2(F.regexp_replace(body, ":[0-9a-f,]*", ""), 256)
+
+
+def verified(print_: Column) -> Column:
+    """Whether a fingerprint is a tree: each section the hash of its leaves, the root that of its sections."""
+    body = F.substring(print_, ROOT_DIGITS + 2, 1 << 30)
+    parts = F.forall(F.split(body, r"\|"), lambda s: F.substring(F.md5(F.substring(s, SECTION_DIGITS + 2, 1 << 30)), 1, SECTION_DIGITS) == F.substring(s, 1, SECTION_DIGITS))
+    return parts & (F.substring(root_of(body), 1, ROOT_DIGITS) == F.substring(print_, 1, ROOT_DIGITS))
+
+
+def leaf_list(print_: Column) -> Column:
+    """The leaf hashes of a fingerprint, in order."""
+    return F.array_remove(F.split(F.regexp_replace(print_, rf"^[0-9a-f]{{{ROOT_DIGITS}}}|\|[0-9a-f]{{{SECTION_DIGITS}}}:", ","), ","), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of leaves in common, from two fingerprints alone: 1 for equal roots, 0 where no leaf is shared."""
-    x, y = leaves(a), leaves(b)
-    common, both = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), 1.0).when(both == 0, 0.0).otherwise(common / both)
+    """Share of distinct leaves in common, from two fingerprints alone: 1 for equal roots, 0 where no leaf is shared."""
+    sets = F.struct(F.array_distinct(leaf_list(a)).alias("x"), F.array_distinct(leaf_list(b)).alias("y"))
+    share = lambda s: _let(F.size(F.array_intersect(s["x"], s["y"])), lambda n: n / (F.size(s["x"]) + F.size(s["y"]) - n))
+    shared = _let(sets, lambda s: F.when(F.size(s["x"]) + F.size(s["y"]) == 0, 0.0).otherwise(share(s)))
+    return F.when(F.substring(a, 1, ROOT_DIGITS) == F.substring(b, 1, ROOT_DIGITS), 1.0).otherwise(shared)
+
+
+def _middle(x: Column, y: Column) -> Column:
+    """struct(at, n, m): elements n of x and m of y from place at on that remain when equal ends are taken off."""
+    same = lambda p, q: F.zip_with(p, q, lambda i, j: i.eqNullSafe(j))  # noqa: E731  the shorter is filled up with nulls
+    run = lambda p, q: _let(F.array_position(same(p, q), False).cast("int"), lambda k: F.when(k > 0, k - 1).otherwise(F.size(p)))
+
+    def cut(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        behind = F.least(z["back"], F.least(F.size(x), F.size(y)) - z["ahead"])
+        return _let(behind, lambda n: F.struct(z["ahead"].alias("at"), (F.size(x) - z["ahead"] - n).alias("n"), (F.size(y) - z["ahead"] - n).alias("m")))
+
+    ends = lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"), run(z["x"], z["y"]).alias("ahead"), run(F.reverse(z["x"]), F.reverse(z["y"])).alias("back"))
+    return _let(_let(F.struct(x.alias("x"), y.alias("y")), ends), cut)
+
+
+def edited_leaves(a: Column, b: Column) -> Column:
+    """struct(at, n, m): the edit that makes b of a replaces n leaves of a, from number at on, by m of b."""
+    return _middle(leaf_list(a), leaf_list(b))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the sections of fingerprint a that b has not at the same place: where an edit is."""
-    x, y = (F.slice(F.split(c, r"\|"), 2, 1 << 30) for c in (a, b))
-    return F.filter(F.transform(x, lambda s, i: F.when(s.eqNullSafe(F.get(y, i)), -1).otherwise(i)), lambda i: i >= 0)
+def edited_sections(a: Column, b: Column) -> Column:
+    """The same for sections: the branches in which to look."""
+    sections = lambda c: F.slice(F.split(c, r"\|"), 2, 1 << 30)
+    return _middle(sections(a), sections(b))
 
 
 def _limits(df: DataFrame, key: str, rows_per_range: int, max_ranges: int) -> list[int]:
@@ -96,27 +140,35 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third)))
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     near = likeness(F.col("fingerprint"), F.col("edited_fingerprint")), likeness(F.col("fingerprint"), F.col("next_fingerprint"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+    edit = edited_leaves(F.col("fingerprint"), F.col("edited_fingerprint"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"), edit.alias("edit"))
+    return out.select(*out.columns[:-1], *[F.col(f"edit.{f}").cast("long").alias(f"edit_{f}") for f in ("at", "n", "m")])
 
 
-ORACLE = r"""
+ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt, length(t) // 3 AS k FROM d),
 e AS (SELECT doc_id, t, nxt, substr(t, 1, length(t) - k) || substr(nxt, 1, k) AS ed FROM n),
 f AS (
-  SELECT doc_id, which, md5(sha256(x) || body) || '|' || body AS fp, x FROM (
+  SELECT doc_id, which, substr(sha256(regexp_replace(body, ':[0-9a-f,]*', '', 'g')), 1, {ROOT_DIGITS}) || '|' || body AS fp, x FROM (
     SELECT doc_id, which, x, array_to_string(list_transform(list_transform(string_split(x, chr(10)),
-      lambda s: array_to_string(list_transform(regexp_extract_all(s, '[^.!?]{1,120}[.!?]*|[.!?]+'), lambda y: substr(md5(y), 1, 10)), ',')),
-      lambda s: substr(md5(s), 1, 12) || ':' || s), '|') AS body
+      lambda s: array_to_string(list_transform(regexp_extract_all(s, '[^.!?]{{{SOFT},{HARD - 1}}}?[dnst] |[^.!?]{{1,{HARD}}}[.!?]*|[.!?]+'), lambda y: substr(md5(y), 1, {LEAF_DIGITS})), ',')),
+      lambda s: substr(md5(s), 1, {SECTION_DIGITS}) || ':' || s), '|') AS body
     FROM (SELECT doc_id, 't' AS which, t AS x FROM e UNION ALL SELECT doc_id, 'e', ed FROM e UNION ALL SELECT doc_id, 'n', nxt FROM e))),
-l AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(fp, '^[0-9a-f]{32}|\|[0-9a-f]{12}:', ',', 'g'), ','), lambda x: x <> '')) AS lv FROM f),
+v AS (SELECT *, list_filter(string_split(regexp_replace(fp, '^[0-9a-f]{{{ROOT_DIGITS}}}|\|[0-9a-f]{{{SECTION_DIGITS}}}:', ',', 'g'), ','), lambda x: x <> '') AS al FROM f),
+l AS (SELECT *, list_distinct(al) AS lv FROM v),
 j AS (
-  SELECT a.doc_id, a.x AS t, b.x AS ed, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.lv AS la, b.lv AS lb, c.lv AS lc
-  FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.which = 'e' JOIN l c ON a.doc_id = c.doc_id AND c.which = 'n' WHERE a.which = 't')
+  SELECT a.doc_id, a.x AS t, b.x AS ed, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.lv AS la, b.lv AS lb, c.lv AS lc, a.al AS x, b.al AS y
+  FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.which = 'e' JOIN l c ON a.doc_id = c.doc_id AND c.which = 'n' WHERE a.which = 't'),
+p AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])) - 1, len(x)) AS pre,
+    coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: (CASE WHEN i <= len(x) THEN x[len(x) + 1 - i] END) IS DISTINCT FROM (CASE WHEN i <= len(y) THEN y[len(y) + 1 - i] END))) - 1, len(x)) AS back FROM j),
+q AS (SELECT *, least(back, least(len(x), len(y)) - pre) AS behind FROM p)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
-  CASE WHEN substr(fa, 1, 32) = substr(fb, 1, 32) THEN 1.0 WHEN len(la) + len(lb) = 0 THEN 0.0
+  CASE WHEN substr(fa, 1, {ROOT_DIGITS}) = substr(fb, 1, {ROOT_DIGITS}) THEN 1.0 WHEN len(la) + len(lb) = 0 THEN 0.0
        ELSE CAST(len(list_intersect(la, lb)) AS DOUBLE) / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
-  CASE WHEN substr(fa, 1, 32) = substr(fc, 1, 32) THEN 1.0 WHEN len(la) + len(lc) = 0 THEN 0.0
-       ELSE CAST(len(list_intersect(la, lc)) AS DOUBLE) / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next
-FROM j
+  CASE WHEN substr(fa, 1, {ROOT_DIGITS}) = substr(fc, 1, {ROOT_DIGITS}) THEN 1.0 WHEN len(la) + len(lc) = 0 THEN 0.0
+       ELSE CAST(len(list_intersect(la, lc)) AS DOUBLE) / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next,
+  CAST(pre AS BIGINT) AS edit_at, CAST(len(x) - pre - behind AS BIGINT) AS edit_n, CAST(len(y) - pre - behind AS BIGINT) AS edit_m
+FROM q
 """
