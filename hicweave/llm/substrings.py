@@ -8,7 +8,8 @@ document itself and sends only the smallest document's: of a passage with a mill
 a bounded sample shows to be frequent have several buckets each, by the windows' minimisers under a second hash, so that
 no bucket grows with the commonest words; which ones are split changes no result.
 
-Null and blank texts have no words. Equal rows get equal results; rows that share an id but not their text share the
+Null and blank texts have no words; texts of any length are cut whole. Ids are whole numbers; rows without one neither
+lose words nor make others lose them. Equal rows get equal results; rows that share an id but not their text share the
 word positions to remove. Empty tables give empty results, and other columns are not read.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ K = 13
 CHUNK = 6_000_000
 #: Bytes of input for each bucket; more input gives more buckets, so that a bucket stays small.
 BYTES_PER_BUCKET = 1 << 20
-LEAST_BUCKETS = 256
+LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 24
 #: Rows from which frequent minimisers are learnt, the share of a bucket from which one is split, and the most of them.
 SAMPLE_ROWS = 4000
 HOT_SHARE = 0.25
@@ -52,12 +54,34 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each k neighbours of h."""
-    n = len(h) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(k):
-        out = out * _MIX + h[j : j + n]
-    return mixed(out)
+    """A hash for each k neighbours of h: the polynomial of a window is put together from those of its parts, which
+    double in width."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    out, width, power, at = None, 1, int(_MIX), h  # `at`: polynomials of `width` neighbours; power: _MIX ** width
+    done, rest = 0, k
+    while True:
+        if rest & 1:
+            out = at if out is None else out[: len(out) - width] * np.uint64(power) + at[done:]
+            done += width
+        rest >>= 1
+        if not rest:
+            return mixed(out)
+        at = at[:-width] * np.uint64(power) + at[width:]
+        width, power = 2 * width, power * power & (1 << 64) - 1
+
+
+def polynomials(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash for each word, from its bytes alone: differences of prefix sums, moved to one origin."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    offsets -= offsets[0]
+    powers = np.cumprod(np.full(len(data) + 1, _MIX, np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
+    back = np.cumprod(np.full(len(data) + 1, np.uint64(pow(int(_MIX), -1, 1 << 64)), np.uint64), dtype=np.uint64)
+    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]] ^ mixed(np.diff(offsets).astype(np.uint64)))
 
 
 def minimisers(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -80,28 +104,31 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def first_owner(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     """For windows that begin at ids[at], the smallest owner of an equal window. Hashes only bring windows together;
     equality is that of their k word ids."""
-    order = np.lexsort((owner, hashes))
+    out = owner.copy()
+    order = np.argsort(hashes)
     h = hashes[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][group] if len(h) else order
-    out = np.empty(len(at), owner.dtype)
-    out[order] = owner[head]
-    many = np.flatnonzero(~new)
-    if len(many):
-        same = np.ones(len(many), bool)
-        a, b = at[order[many]], at[head[many]]
-        for j in range(k):
-            same &= ids[a + j] == ids[b + j]
-        if not same.all():  # different windows with one hash: settled by the words themselves
-            for g in np.unique(group[many[~same]]):
-                best: dict[bytes, int] = {}
-                members = order[group == g]
-                for m in members:
-                    key = ids[at[m] : at[m] + k].tobytes()
-                    best[key] = min(best.get(key, owner[m]), owner[m])
-                for m in members:
-                    out[m] = best[ids[at[m] : at[m] + k].tobytes()]
+    same_next = h[1:] == h[:-1]
+    if not same_next.any():
+        return out
+    shared = np.concatenate([[False], same_next]) | np.concatenate([same_next, [False]])
+    order, h = order[shared], h[shared]  # windows whose hash is not theirs alone
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    out[order] = np.minimum.reduceat(owner[order], start)[group]
+    head = order[start][group]
+    same = np.ones(len(order), bool)
+    a, b = at[order], at[head]
+    for j in range(k):
+        same &= ids[a + j] == ids[b + j]
+    if not same.all():  # different windows with one hash: settled by the words themselves
+        for g in np.unique(group[~same]):
+            best: dict[bytes, int] = {}
+            members = order[group == g]
+            for m in members:
+                key = ids[at[m] : at[m] + k].tobytes()
+                best[key] = min(best.get(key, owner[m]), owner[m])
+            for m in members:
+                out[m] = best[ids[at[m] : at[m] + k].tobytes()]
     return out
 
 
@@ -131,25 +158,23 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return out
 
 
-def flattened(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def flattened(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words, the numbers of all words in order, and the words of each text."""
-    vocabulary: dict[bytes, int] = {}
-    setdefault = vocabulary.setdefault
-    flat: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for j, t in enumerate(texts):
-        words = t.split()
-        sizes[j] = len(words)
-        flat.extend([setdefault(w, len(vocabulary)) for w in words])
-    return list(vocabulary), np.array(flat, np.int64), sizes
-
-
-def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int, hot: np.ndarray, splits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    split = pc.ascii_split_whitespace(texts)
+    words, ends = split.values, split.offsets.to_numpy().astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at either end leaves an empty word
+    if not real.all():
+        words, ends = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[ends]
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(ends)
+
+
+def _cut(ids_of: list[int], texts: pa.Array, k: int, buckets: int, hot: np.ndarray, splits: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed strings) of some documents."""
     known, ids, sizes = flattened(texts)
     if len(ids) < k:
         return
-    h = word_hashes(known)[ids]
+    h = polynomials(known)[ids]
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     whole = doc[: len(ids) - k + 1] == doc[k - 1 :]
@@ -177,12 +202,17 @@ def _cut(ids_of: list[int], texts: list[bytes], k: int, buckets: int, hot: np.nd
         goal[wide] ^= mixed(mixed(minimisers(h, k, 0x5EED)[wide]) % splits[found[wide]] + np.uint64(1))
     s, n = runs(sent, edge | np.concatenate([[True], goal[1:] != goal[:-1]]))
     to = (mixed(goal[s]) % np.uint64(buckets)).astype(np.int64)
-    for b, p in _by(to, known_of):
+    dealt = list(_by(to, known_of))
+    order = np.concatenate([p for _, p in dealt]) if dealt else np.zeros(0, np.int64)
+    # The strings of all buckets, one after the other; a bucket's words are joined to one string.
+    words = known.take(pa.array(ids[ranges(s[order], n[order] + k - 1)]))
+    ends = np.concatenate([[0], np.cumsum([int((n[p] + k - 1).sum()) for _, p in dealt])]).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ").cast(pa.binary())
+    for (b, p), text in zip(dealt, joined):
         x, y = known_of.get(b, (s[:0], n[:0]))
         ss, nn = s[p], n[p]
-        text = b" ".join([known[i] for i in ids[ranges(ss, nn + k - 1)].tolist()])
         columns = [a.tobytes() for a in (np.diff(ids_arr[doc[ss]], prepend=0), place[ss].astype(np.int32), nn.astype(np.int32), ids_arr[doc[x]], place[x].astype(np.int32), y.astype(np.int32))]
-        yield int(b), _packed(text, *columns)
+        yield int(b), _packed(text.as_py(), *columns)
 
 
 def _by(key: np.ndarray, also=()) -> Iterator[tuple[int, np.ndarray]]:
@@ -197,18 +227,17 @@ def _by(key: np.ndarray, also=()) -> Iterator[tuple[int, np.ndarray]]:
 
 def _settle(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first and last word + 1 of what a bucket removes."""
-    vocabulary: dict[bytes, int] = {}
-    setdefault = vocabulary.setdefault
-    flat, parts = [], [[], [], []]
+    texts, parts = [], [[], [], []]
     done = [[], [], []]
     for blob in blobs:
         text, d, p, n, x, y, z = _unpacked(blob)
-        flat.append(np.array([setdefault(w, len(vocabulary)) for w in text.split(b" ")] if text else [], np.int64))
+        texts.append(text)
         for to, a in zip(parts, (np.cumsum(np.frombuffer(d, np.int64)), np.frombuffer(p, np.int32), np.frombuffer(n, np.int32))):
             to.append(a.astype(np.int64))
         for to, a in zip(done, (np.frombuffer(x, np.int64), np.frombuffer(y, np.int32), np.frombuffer(z, np.int32))):
             to.append(a.astype(np.int64))
-    ids, (owner, place, count) = np.concatenate(flat), (np.concatenate(a) for a in parts)
+    _, ids, _ = flattened(pa.array(texts, pa.binary()).cast(pa.string()))
+    owner, place, count = (np.concatenate(a) for a in parts)
     out = [np.concatenate(a) for a in done]
     if len(owner):
         begin = np.cumsum(count + k - 1) - (count + k - 1)
@@ -230,10 +259,10 @@ def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(0, batch.num_rows, 256):
-                known, ids, sizes = flattened([t for t in batch.column(0).slice(j, 256).cast(pa.binary()).to_pylist() if t])
+                known, ids, sizes = flattened(batch.column(0).slice(j, 256).drop_null())
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 if len(ids) >= k:
-                    low = minimisers(word_hashes(known)[ids], k)[doc[: len(ids) - k + 1] == doc[k - 1 :]]
+                    low = minimisers(polynomials(known)[ids], k)[doc[: len(ids) - k + 1] == doc[k - 1 :]]
                     m, n = np.unique(low, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], ["m", "n"])
 
@@ -248,7 +277,7 @@ def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple
 def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(key, ranges): for each id with something to remove, the word ranges [a, b) as an array of structs, sorted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(LEAST_BUCKETS, min(1 << 22, math.ceil(size / BYTES_PER_BUCKET)))
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, math.ceil(size / BYTES_PER_BUCKET)))
 
     hot, splits = frequent_minimisers(df, text, k, buckets)
 
@@ -260,17 +289,15 @@ def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
         ids, texts, held = [], [], 0
         for batch in batches:
             for j in range(0, batch.num_rows, 256):
-                part = batch.slice(j, 256)
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    if i is not None and t:
-                        ids.append(i)
-                        texts.append(t)
-                        held += len(t)
-                        if held >= CHUNK:
-                            yield pack(ids, texts)
-                            ids, texts, held = [], [], 0
+                part = batch.slice(j, 256).drop_null()
+                ids += part.column(0).to_pylist()
+                texts.append(part.column(1))
+                held += part.column(1).nbytes
+                if held >= CHUNK:
+                    yield pack(ids, pa.concat_arrays(texts))
+                    ids, texts, held = [], [], 0
         if ids:
-            yield pack(ids, texts)
+            yield pack(ids, pa.concat_arrays(texts))
 
     def settle(group: pa.Table) -> pa.Table:
         d, a, b = _settle(group.column("blob").to_pylist(), k)
