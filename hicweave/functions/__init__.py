@@ -11,8 +11,8 @@ COMPLEMENTS = "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
 
 
 def floor_div(x: Column, by: int) -> Column:
-    """Whole division of non-negative counts and positions."""
-    return F.floor(x / F.lit(by)).cast("long")
+    """Whole division of counts and positions, which are not negative; no step through fractions."""
+    return F.call_function("div", x.cast("long"), F.lit(by).cast("long"))
 
 
 def reverse_complement(seq: Column) -> Column:

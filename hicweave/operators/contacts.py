@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floor_div
@@ -20,10 +20,11 @@ def known(contacts: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def canonical(contacts: DataFrame) -> DataFrame:
-    """Ends swapped where the first name is the larger one; names compare by bytes."""
+    """Ends swapped, with all their columns, where the first name is the larger one; names compare by bytes."""
     swap = F.col("chr1") > F.col("chr2")
-    either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return contacts.select(either("chr1", "chr2").alias("chr1"), either("pos1", "pos2").alias("pos1"), either("chr2", "chr1").alias("chr2"), either("pos2", "pos1").alias("pos2"))
+    other = {f"{c[:-1]}1": f"{c[:-1]}2" for c in contacts.columns if c.endswith("1") and f"{c[:-1]}2" in contacts.columns}
+    other |= {b: a for a, b in other.items()}
+    return contacts.select(*[F.when(swap, F.col(other[c])).otherwise(F.col(c)).alias(c) if c in other else F.col(c) for c in contacts.columns])
 
 
 def with_lengths(contacts: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -48,12 +49,14 @@ def inter(contacts: DataFrame) -> DataFrame:
 
 def split_by_segments(contacts: DataFrame, segments: DataFrame, length: int) -> DataFrame:
     """Contacts moved onto segments (contig, seg, start, end) of their contigs: the first segment that holds a position
-    wins, positions count from 1. Segments are matched through grid cells of `length`, so that the join is on equality."""
-    cells = segments.withColumn("cell", F.explode(F.sequence(floor_div(F.col("start"), length), floor_div(F.col("end"), length))))
+    wins, positions count from 1. Segments are matched through grid cells of `length`, so that the join is on equality.
+    Where segments overlap, the part that an earlier one holds is taken off the later one before any contact is met."""
+    before = Window.partitionBy("contig").orderBy("start", "end", "seg").rowsBetween(Window.unboundedPreceding, -1)
+    own = segments.withColumn("own", F.greatest("start", F.coalesce(F.max("end").over(before) + 1, F.col("start")))).filter("own <= end")
+    cells = own.withColumn("cell", F.explode(F.sequence(floor_div(F.col("own"), length), floor_div(F.col("end"), length))))
 
     def moved(df: DataFrame, c: str, p: str) -> DataFrame:
-        df = df.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in df.columns else df
-        near = df.withColumn("cell", floor_div(F.col(p), length)).join(cells, (F.col(c) == F.col("contig")) & (df[p] >= F.col("start")) & (df[p] <= F.col("end")) & (floor_div(F.col(p), length) == cells["cell"]))
+        near = df.withColumn("cell", floor_div(F.col(p), length)).join(cells, (F.col(c) == F.col("contig")) & (df[p] >= F.col("own")) & (df[p] <= F.col("end")) & (floor_div(F.col(p), length) == cells["cell"]))
         return near.withColumns({c: F.col("seg"), p: F.col(p) - F.col("start") + 1}).select(*df.columns)
 
-    return moved(moved(contacts, "chr1", "pos1"), "chr2", "pos2").drop("_id")
+    return moved(moved(contacts, "chr1", "pos1"), "chr2", "pos2")

@@ -48,7 +48,8 @@ EDGE, LOW, HIGH, WIDTH, SHARE, BACK, DROP = 50, 0.005, 0.995, 10, 0.7, 40, 0.60
 
 def breaks(values: np.ndarray) -> list[float]:
     """Bins at which a scaffold breaks: midway between a peak and the lowest point before it, once for each low point.
-    Clipping also holds for the values in which the low point is sought; its value is cut to a whole number."""
+    Clipping also holds for the values in which the low point is sought; its value is cut to a whole number. Means are
+    rounded to nine places, so that a flat top is flat whatever the order of additions."""
     whole = np.array(values, float)
     if len(whole) <= 2 * EDGE:
         return []
@@ -56,7 +57,7 @@ def breaks(values: np.ndarray) -> list[float]:
     low, high = np.quantile(inner, LOW), np.quantile(inner, HIGH)
     inner[inner > high] = high
     inner[inner < low] = low
-    smooth = moving_mean(inner, WIDTH)
+    smooth = np.round(moving_mean(inner, WIDTH), 9)
     out, last = [], None
     for p in peaks(smooth, smooth.max() * SHARE):
         begin = p + EDGE - BACK
@@ -70,7 +71,8 @@ def breaks(values: np.ndarray) -> list[float]:
 
 
 def break_points(signals: DataFrame) -> DataFrame:
-    """chrom, break_bin. A scaffold's signal is one number for each bin."""
+    """chrom, break_bin. A scaffold's signal is one number for each bin and is read by one task: a chromosome of a
+    gigabase has 100,000 bins of 10,000 bases."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = breaks(pdf.sort_values("bin")["s"].to_numpy())
@@ -108,3 +110,17 @@ def windows(signals: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("chrom").orderBy("bin")
     return signals.withColumns({"mean": F.avg("s").over(w.rowsBetween(-(WIDTH // 2), WIDTH - WIDTH // 2 - 1)), "low": F.min("s").over(w.rowsBetween(-BACK, 0))})
+
+
+def mirrored_mean(signals: DataFrame, size: int = WIDTH) -> DataFrame:
+    """chrom, bin, mean: means over size neighbours, one more before than after where size is even, with the signal
+    mirrored at both edges; bins count from 0 without a hole. The mirror images are rows of their own."""
+    from pyspark.sql import Window
+
+    before, after = size // 2, size - 1 - size // 2
+    n = F.max("bin").over(Window.partitionBy("chrom")) + 1
+    image = lambda at, use: F.when(use, at)
+    places = F.array(F.col("bin"), image(-1 - F.col("bin"), F.col("bin") < before), image(2 * F.col("n") - 1 - F.col("bin"), F.col("bin") >= F.col("n") - after))
+    full = signals.withColumn("n", n).select("chrom", "n", "s", F.explode(F.array_compact(places)).alias("bin"))
+    mean = F.avg("s").over(Window.partitionBy("chrom").orderBy("bin").rowsBetween(-before, after))
+    return full.select("chrom", "bin", "n", mean.alias("mean")).filter("bin >= 0 and bin < n").drop("n")

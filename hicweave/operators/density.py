@@ -40,7 +40,7 @@ def contact_map(contacts: DataFrame, contigs: DataFrame, bin_size: int) -> DataF
     """x, y, code, bx, by, n: binned contacts of pairs of contigs for the four ways to turn them."""
     from .contacts import canonical, with_lengths
 
-    c = with_lengths(canonical(contacts), contigs)
+    c = with_lengths(canonical(contacts.select("chr1", "pos1", "chr2", "pos2")), contigs)
     bins = lambda p, n: F.array(F.struct(F.lit(0).alias("e"), floor_div(F.col(p) - 1, bin_size).alias("bin")), F.struct(F.lit(1).alias("e"), floor_div(F.col(n) - F.col(p), bin_size).alias("bin")))
     c = c.select("chr1", "chr2", F.explode(bins("pos1", "len1")).alias("p"), bins("pos2", "len2").alias("q")).select("chr1", "chr2", "p", F.explode("q").alias("q"))
     return c.groupBy(F.col("chr1").alias("x"), F.col("chr2").alias("y"), (F.col("p.e") + 2 * F.col("q.e")).alias("code"), F.col("p.bin").alias("bx"), F.col("q.bin").alias("by")).agg(F.count("*").alias("n"))

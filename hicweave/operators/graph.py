@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame, name: str = "t") -> DataFrame:
-    """Lineage is cut by a table in the folder of spark.checkpoint.dir, where there is one; else df as it is."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/hicweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import settled
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -83,8 +71,9 @@ def oriented(path: list[str], rows: dict) -> list[int]:
 
 
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path (the smallest contig of it), ord, contig, orient. Components are short chains, walked one by one; contigs
-    without links are paths of one."""
+    """path (the smallest contig of it), ord, contig, orient. A component is a chain or a ring, as a contig has two
+    neighbours at most; each is walked by one task, a row for each link, so that the contigs of one chromosome have to
+    fit a task. Contigs without links are paths of one."""
     label = components(edges, nodes)
     linked = edges.join(label.withColumnRenamed("contig", "i"), "i")
 

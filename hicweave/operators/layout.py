@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered, running
+
 
 def place(parts: DataFrame, gap: int = 100) -> DataFrame:
     """Adds start and end to (chrom, ord, contig, len, orient): parts in order with a gap between."""
@@ -21,6 +23,25 @@ def place_joined(parts: DataFrame) -> DataFrame:
     return parts.withColumns({"start": F.coalesce(done, F.lit(1)).cast("long"), "end": (F.coalesce(done, F.lit(0)) + F.col("len")).cast("long")})
 
 
+def place_chained(parts: DataFrame, gap: int = 100) -> DataFrame:
+    """Nine-column rows by the rule of the review tool's chains: parts and the gaps between them each begin where the
+    row before ends, without a step; places count on over both."""
+    w = Window.partitionBy("chrom").orderBy("ord")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    p = parts.withColumns({"k": F.row_number().over(w) - 1, "done": F.coalesce(F.sum(F.col("len") + gap).over(before), F.lit(0)), "last": F.lead("contig").over(w).isNull()})
+    part = p.select("chrom", F.greatest("done", F.lit(1)).cast("long").alias("start"), (F.col("done") + F.col("len")).cast("long").alias("end"), (2 * F.col("k") + 1).alias("ord"), F.lit("W").alias("tag"), "contig", F.lit("1").alias("contig_start"), F.col("len").cast("string").alias("contig_end"), F.when(F.col("orient") == 1, "-").otherwise("+").alias("orient"))
+    stop = F.col("done") + F.col("len")
+    gaps = p.filter("not last").select("chrom", stop.cast("long").alias("start"), (stop + gap).cast("long").alias("end"), (2 * F.col("k") + 2).alias("ord"), F.lit("U").alias("tag"), F.lit(str(gap)).alias("contig"), F.lit("scaffold").alias("contig_start"), F.lit("yes").alias("contig_end"), F.lit("proximity_ligation").alias("orient"))
+    return part.unionByName(gaps)
+
+
+def place_super(parts: DataFrame, name: str = "assembly") -> DataFrame:
+    """All parts of a layout on one scaffold, in the order of their scaffolds, as the review tool draws them: a part begins
+    where the last one ends. No task sees all parts."""
+    at = running(parts.select("chrom", "ord", "contig", "len", "orient"), ["chrom", "ord"], {"done": F.col("len"), "k": F.lit(1).cast("long")})
+    return at.select(F.lit(name).alias("chrom"), (F.col("k") + 1).alias("ord"), "contig", "len", "orient", F.greatest("done", F.lit(1)).cast("long").alias("start"), (F.col("done") + F.col("len")).cast("long").alias("end"))
+
+
 def initial(contigs: DataFrame) -> DataFrame:
     """Each contig a scaffold of its own, in nine columns."""
     return contigs.select(F.col("contig").alias("chrom"), F.lit(1).cast("long").alias("start"), F.col("len").alias("end"), F.lit(1).alias("ord"), F.lit("W").alias("tag"), "contig", F.lit(1).cast("long").alias("contig_start"), F.col("len").alias("contig_end"), F.lit(0).alias("orient"))
@@ -28,9 +49,9 @@ def initial(contigs: DataFrame) -> DataFrame:
 
 def renumbered(placed: DataFrame) -> DataFrame:
     """Scaffolds named scaffold_1, scaffold_2 ... by falling size; the smaller first contig comes first of equals. The
-    ranking is over scaffolds, not parts."""
+    ranking is over scaffolds, not parts, by ranges of their sizes."""
     sizes = placed.groupBy("chrom").agg(F.max("end").alias("size"), F.min("contig").alias("first"))
-    names = sizes.select("chrom", F.concat(F.lit("scaffold_"), F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("string")).alias("name"))
+    names = numbered(sizes, [F.desc("size"), F.asc("first")]).select("chrom", F.concat(F.lit("scaffold_"), F.col("number").cast("string")).alias("name"))
     return placed.join(names, "chrom").drop("chrom").withColumnRenamed("name", "chrom")
 
 
@@ -76,3 +97,14 @@ def adjacent(placed: DataFrame) -> DataFrame:
     w = Window.partitionBy("chrom").orderBy("ord")
     n = placed.select("chrom", "contig", "orient", F.lead("contig").over(w).alias("next"), F.lead("orient").over(w).alias("next_orient")).filter("next is not null")
     return n.select("chrom", "contig", "next", F.concat(F.when(F.col("orient") == 1, "s").otherwise("e"), F.when(F.col("next_orient") == 1, "e").otherwise("s")).alias("tag"))
+
+
+def connections(initial_parts: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """round, chrom, contig, next, tag: neighbours after each round, in terms of the first contigs. Each round's layout
+    (chrom, ord, contig, len, orient) is over the scaffolds of the one before."""
+    whole, out = initial_parts, None
+    for k, blocks in enumerate(rounds):
+        whole = compose(whole, blocks)
+        found = adjacent(whole).select(F.lit(k).alias("round"), "chrom", "contig", "next", "tag")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -15,7 +15,7 @@ def triangle(contacts: DataFrame, contigs: DataFrame, dense: DataFrame, bin_size
     Contacts are counted by cell before the densities are joined, so the joins see cells and not contacts. A pair of
     neighbours with very many contacts is shrunk by the partial counts.
     """
-    c = with_lengths(canonical(inter(contacts)), contigs)
+    c = with_lengths(canonical(inter(contacts).select("chr1", "pos1", "chr2", "pos2")), contigs)
     limit = 10 * size
     one = lambda p, n: F.filter(end_bins(F.col(p), F.col(n), bin_size), lambda b: b["bin"] < limit)
     c = c.select("chr1", "chr2", F.explode(one("pos1", "len1")).alias("p"), one("pos2", "len2").alias("q")).select("chr1", "chr2", "p", F.explode("q").alias("q"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.contacts import canonical
+from ..operators.stats import assembly_text, placed_pieces, report_lines
+from ..operators.tables import numbered
+
 FIELDS = ["str1", "chr1", "pos1", "frag1", "str2", "chr2", "pos2", "frag2"]
 AGP = "chrom string, start long, end long, ord int, tag string, contig string, contig_start string, contig_end string, orient string"
 
@@ -28,7 +32,8 @@ def read_contacts(spark: SparkSession, path: str, strict: bool = False) -> DataF
 
 
 def fasta_records(records: DataFrame) -> DataFrame:
-    """name, len, seq from `value`, each one record without its leading sign, as read with that sign between records."""
+    """name, len, seq from `value`, each one record; a leading sign is taken off."""
+    records = records.withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.expr("substr(value, instr(value, '\n') + 1)"), r"\s", "")
     out = records.filter(F.trim("value") != "").select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("name"), F.when(F.instr("value", "\n") > 0, body).otherwise("").alias("seq"))
@@ -36,8 +41,9 @@ def fasta_records(records: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records are split by the reader, so that a file of many sequences is read by many tasks."""
-    return fasta_records(spark.read.option("lineSep", ">").text(path))
+    """Records are split by the reader, so that a file of many sequences is read by many tasks. A record begins with a
+    sign at the beginning of a line; a sign within a header is part of it. A record is a row: two gigabytes at most."""
+    return fasta_records(spark.read.option("lineSep", "\n>").text(path))
 
 
 def duplicate_names(records: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def assembly_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
     f = F.split(F.expr("substr(value, 2)"), " ")
     named = lines.filter(F.startswith("value", F.lit(">"))).select(F.get(f, F.lit(1)).cast("int").alias("idx"), F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(2)).cast("long").alias("len"))
-    chains = lines.filter(~F.startswith("value", F.lit(">"))).withColumn("chain", F.row_number().over(Window.orderBy("line_no")))
+    chains = numbered(lines.filter(~F.startswith("value", F.lit(">"))), ["line_no"], "chain")
     links = chains.select("chain", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("place", "v")).withColumn("v", F.col("v").cast("int"))
     return named, links.select("chain", "place", F.abs("v").alias("idx"), (F.col("v") < 0).cast("int").alias("reversed"))
 
@@ -72,11 +78,52 @@ def write_fasta(records: DataFrame, path: str, prefix: int = 9) -> None:
     ordered.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(line_no, value) as one text."""
+    lines.coalesce(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(path)
+
+
+def write_assembly(parts: DataFrame, path: str) -> None:
+    """The review tool's text. Parts and chains are in order over all files of the folder."""
+    assembly_text(parts).orderBy("line_no").select("value").write.mode("overwrite").text(path)
+
+
+def write_report(lengths: DataFrame, path: str, shares=(50, 90, 95, 98, 99)) -> None:
+    write_lines(report_lines(lengths, shares), path)
+
+
+def write_sorted_contacts(contacts: DataFrame, path: str) -> None:
+    """Contacts with the smaller name first, sorted by names over all files of the folder; eight fields."""
+    have = set(contacts.columns)
+    filled = contacts.withColumns({c: F.lit(v) for c, v in (("str1", "0"), ("frag1", "0"), ("str2", "16"), ("frag2", "1")) if c not in have})
+    short_lines(canonical(filled).orderBy("chr1", "chr2", "pos1", "pos2")).write.mode("overwrite").text(path)
+
+
+def write_scaffolds(placed: DataFrame, seqs: DataFrame, path: str, gap: int = 100, prefix: int = 9) -> None:
+    """FASTA of whole scaffolds, by the number that ends their name, in lines of bounded size; no scaffold is ever one row."""
+    pieces = placed_pieces(placed, seqs, gap).select("chrom", "ord", "piece", F.col("seq").alias("value"))
+    heads = placed.select("chrom").distinct().select("chrom", F.lit(-1).alias("ord"), F.lit(0).alias("piece"), F.concat(F.lit(">"), "chrom").alias("value"))
+    number = F.expr(f"try_cast(substr(chrom, {prefix + 1}) as int)")
+    pieces.unionByName(heads).orderBy(number, "chrom", "ord", "piece").select("value").write.mode("overwrite").text(path)
+
+
+def review_bundle(contacts: DataFrame, parts: DataFrame, folder: str) -> None:
+    """What the review tool opens: review.assembly, the contacts on one long scaffold, and its size."""
+    from ..operators import layout
+
+    placed = layout.place_super(parts)
+    write_assembly(parts, f"{folder}/review.assembly")
+    write_sorted_contacts(layout.lift(contacts, placed), f"{folder}/contacts")
+    write_sizes(layout.sizes(placed), f"{folder}/sizes")
+
+
 AGP_COLUMNS = ["chrom", "start", "end", "ord", "tag", "contig", "contig_start", "contig_end", "orient"]
 
 
-def agp_lines(lines: DataFrame) -> DataFrame:
-    """Nine-column rows from lines in `value`."""
+def agp_lines(lines: DataFrame, header: bool = False) -> DataFrame:
+    """Nine-column rows from lines in `value`; with a header, the line of column names goes."""
+    if header:
+        lines = lines.filter(~F.startswith("value", F.lit("Chromosome\t")))
     kind = dict(x.split(" ") for x in AGP.split(", "))
     f = F.split("value", "\t", -1)
     return lines.select(*[F.get(f, F.lit(k)).cast(kind[c]).alias(c) for k, c in enumerate(AGP_COLUMNS)])
