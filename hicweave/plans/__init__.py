@@ -21,7 +21,13 @@ class Config:
     error_correction: bool = False
     #: Contacts that a contig's best pair must exceed.
     least_score: int = 30
-    most_rounds: int = 20
+    #: Distances, in bases, between which contacts tell misjoins.
+    near: int = 100_000
+    far: int = 500_000
+    #: A round that leaves fewer scaffolds than asked for ends the run; its layout is the result, or, with this, the one before.
+    enough: bool = False
+    #: The triangle outgrows any scaffold long before.
+    most_rounds: int = 60
 
     def __post_init__(self) -> None:
         if self.triangle < 2:
@@ -63,8 +69,8 @@ def one_round(contacts: DataFrame, contigs: DataFrame, average: float, config: C
 def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config()) -> DataFrame:
     """Final parts (chrom, ord, contig, len, orient, start, end), scaffolds numbered by falling size.
 
-    Each round joins the original contacts with the layout so far instead of rewriting them; layouts are composed, and
-    contigs too short for a round come back as scaffolds of their own.
+    A round lifts the contacts once, to a table that its readers share; layouts are composed, and contigs too short for a
+    round come back as scaffolds of their own.
     """
     contacts = graph.settled(contacts.select("chr1", "pos1", "chr2", "pos2"), "contacts")
     average = average_links(contacts, contigs, config)
@@ -78,14 +84,17 @@ def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config())
         placed = layout.place(blocks, config.gap)
         if config.error_correction:
             moved = layout.lift(now, placed)
-            signal = correct.signal(correct.directionality(moved, config.bin_size), layout.sizes(placed), config.bin_size)
+            signal = correct.signal(correct.directionality(moved, config.bin_size, config.near, config.far), layout.sizes(placed), config.bin_size)
             cuts = correct.snapped(correct.break_points(signal), placed, config.bin_size)
             blocks = graph.settled(correct.pieces(placed, cuts), "blocks")
-        whole = graph.settled(layout.compose(whole, blocks), "whole")
+        before, whole = whole, graph.settled(layout.compose(whole, blocks), "whole")
         placed = graph.settled(layout.place(blocks, config.gap), "placed")
-        now = layout.lift(now, placed)
+        now = graph.settled(layout.lift(now, placed), "lifted")
         lengths = graph.settled(layout.sizes(placed).select(F.col("chrom").alias("contig"), F.col("size").alias("len")), "lengths")
         if lengths.count() < config.clusters <= fit:
+            whole = before if config.enough else whole
             break
         triangle = round(triangle * 1.4)
+    else:
+        raise RuntimeError(f"not settled after {config.most_rounds} rounds")
     return layout.renumbered(layout.place(whole, config.gap))
