@@ -11,6 +11,7 @@ from .functions import floor_div, reverse_complement
 from .operators import contacts as C
 from .operators import correct, density, layout, score, stats
 from .operators import graph as G
+from .operators.tables import numbered
 from .plans import Config, average_links, linked, one_round, pair_scores, scaffold
 from .sources import derived as D
 from .sources import text as S
@@ -22,13 +23,13 @@ ORACLES: dict[str, str] = {}
 
 #: Common tables of the oracles, each over those before it.
 VIEWS = {
-    "contigs": "SELECT concat('ctg', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS contig, CAST(100000 AS BIGINT) AS len FROM supplier WHERE s_suppkey < 20",
+    "contigs": "SELECT concat('ctg', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS contig, CAST(100000 AS BIGINT) AS len FROM supplier",
     "contacts": """SELECT concat('ctg', lpad(CAST(k1 AS VARCHAR), 6, '0')) AS chr1, CASE WHEN k1 % 3 = 1 THEN 100000 - o1 ELSE o1 + 1 END AS pos1,
         concat('ctg', lpad(CAST(k2 AS VARCHAR), 6, '0')) AS chr2, CASE WHEN k2 % 3 = 1 THEN 100000 - o2 ELSE o2 + 1 END AS pos2
       FROM (SELECT k1, o1, k1 + CAST(floor((o1 + d) / 100000) AS BIGINT) AS k2, (o1 + d) % 100000 AS o2
-        FROM (SELECT CAST(l_suppkey AS BIGINT) % 20 AS k1, (CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863) % 100000 AS o1,
-          CASE WHEN l_quantity <= 35 THEN CAST(l_quantity AS BIGINT) * 200 + l_orderkey % 200
-               ELSE (CAST(l_quantity AS BIGINT) - 35) * (CAST(l_quantity AS BIGINT) - 35) * 300 + l_orderkey % 300 END AS d FROM lineitem))
+        FROM (SELECT CAST(l_suppkey AS BIGINT) AS k1, (CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863 + c * 611953) % 100000 AS o1,
+          CASE WHEN q <= 35 THEN q * 200 + l_orderkey % 200 ELSE (q - 35) * (q - 35) * 300 + l_orderkey % 300 END AS d
+          FROM (SELECT *, (CAST(l_quantity AS BIGINT) + 7 * c - 1) % 50 + 1 AS q FROM lineitem, (VALUES (0), (1), (2), (3)) v(c))))
       WHERE floor(k1 / 5) = floor(k2 / 5)""",
     "parts": """SELECT concat('chr', CAST(CAST(floor(k / 5) AS BIGINT) AS VARCHAR)) AS chrom, k % 5 + 1 AS ord, contig, len, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS orient
       FROM (SELECT *, CAST(substr(contig, 4) AS BIGINT) AS k FROM contigs)""",
@@ -68,12 +69,32 @@ VIEWS = {
     "ratio": """SELECT chrom, CAST(floor(b / 10000) AS BIGINT) AS bin, CAST(sum(dn) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM (
         SELECT chr1 AS chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000
         UNION ALL SELECT chr1, least(pos1, pos2), 0, 1 FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2""",
+    "clipped": """SELECT chrom, bin, n, CASE WHEN bin BETWEEN 50 AND n - 51 THEN greatest(least(s, high), low) ELSE s END AS v
+      FROM (SELECT *, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.005) OVER (PARTITION BY chrom) AS low, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.995) OVER (PARTITION BY chrom) AS high
+        FROM (SELECT g.chrom, g.bin, count(*) OVER (PARTITION BY g.chrom) AS n, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
+          FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 1000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g
+          LEFT JOIN (SELECT chrom, CAST(floor(b / 1000) AS BIGINT) AS bin, sum(dn) AS down, sum(up) AS up FROM (
+            SELECT chr1 AS chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000
+            UNION ALL SELECT chr1, least(pos1, pos2), 0, 1 FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2) r
+          ON r.chrom = g.chrom AND r.bin = g.bin)) WHERE n > 100""",
+    "smooth": """SELECT chrom, i, m, mean FROM (SELECT chrom, i, m, round(avg(v) OVER (PARTITION BY chrom ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean
+        FROM (SELECT chrom, n - 100 AS m, v, unnest([bin - 50, CASE WHEN bin - 50 < 5 THEN 49 - bin END, CASE WHEN bin - 50 >= n - 104 THEN 2 * (n - 100) - 1 - (bin - 50) END]) AS i FROM clipped WHERE bin BETWEEN 50 AND n - 51)
+        WHERE i IS NOT NULL) WHERE i >= 0 AND i < m""",
+    "tops": """SELECT chrom, (a + z) // 2 AS p FROM (
+        SELECT *, lag(mean) OVER w AS before, lead(mean) OVER w AS after, max(mean) OVER (PARTITION BY chrom) AS highest FROM (
+          SELECT chrom, g, min(i) AS a, max(i) AS z, any_value(mean) AS mean FROM (
+            SELECT *, sum(CASE WHEN mean = prior THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY i) AS g FROM (SELECT *, lag(mean) OVER (PARTITION BY chrom ORDER BY i) AS prior FROM smooth)) GROUP BY chrom, g)
+        WINDOW w AS (PARTITION BY chrom ORDER BY g)) WHERE mean > before AND mean > after AND mean >= 0.7 * highest""",
+    "drops": """SELECT t.chrom, t.p, min(c.v) AS low, arg_min(c.bin, (c.v, c.bin)) AS spot, any_value(CASE WHEN c.bin = t.p + 50 THEN c.v END) AS v
+      FROM tops t JOIN clipped c ON c.chrom = t.chrom AND c.bin BETWEEN t.p + 10 AND t.p + 50 GROUP BY t.chrom, t.p""",
     "lens": "SELECT n_chars AS len FROM documents",
     "seqs": "SELECT concat('seq', CAST(doc_id AS VARCHAR)) AS name, regexp_replace(translate(regexp_replace(text, '\\s', '', 'g'), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq FROM documents",
 }
 
 
 def oracle(select: str) -> str:
+    if select.lstrip().startswith("WITH"):
+        select = f"SELECT * FROM ({select})"
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items()) + f"\n{select}"
 
 
@@ -143,9 +164,12 @@ def _(spark, d):
     return S.duplicate_names(D.read(spark, d, "documents").select(F.concat(F.lit("b"), (F.col("n_chars") % 1000).cast("string")).alias("name")))
 
 
-@query("p1_known_contigs", "SELECT * FROM contacts WHERE chr1 IN (SELECT contig FROM contigs WHERE contig < 'ctg000008') AND chr2 IN (SELECT contig FROM contigs WHERE contig < 'ctg000008')")
+KNOWN = "SELECT concat('ctg', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) FROM supplier WHERE s_acctbal >= 0"
+
+
+@query("p1_known_contigs", f"SELECT * FROM contacts WHERE chr1 IN ({KNOWN}) AND chr2 IN ({KNOWN})")
 def _(spark, d):
-    return C.known(D.contacts(spark, d), D.contigs(spark, d).filter("contig < 'ctg000008'")).select("chr1", "pos1", "chr2", "pos2")
+    return C.known(D.contacts(spark, d), D.known_contigs(spark, d)).select("chr1", "pos1", "chr2", "pos2")
 
 
 @query("p2_length_eligibility", "SELECT contig, len FROM contigs WHERE len >= 10000 * 3")
@@ -173,8 +197,7 @@ def _(spark, d):
 
 @query("p7_intra_inter_split", "SELECT chr1 = chr2 AS intra, count(*) AS n FROM contacts GROUP BY 1")
 def _(spark, d):
-    c = D.contacts(spark, d)
-    return C.intra(c).agg(F.count("*").alias("n")).select(F.lit(True).alias("intra"), "n").union(C.inter(c).agg(F.count("*").alias("n")).select(F.lit(False), "n"))
+    return D.contacts(spark, d).groupBy((F.col("chr1") == F.col("chr2")).alias("intra")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -189,6 +212,18 @@ def _(spark, d):
     return C.split_by_segments(D.contacts(spark, d), seg, 50_000)
 
 
+@query(
+    "p11_overlapping_segments",
+    """SELECT chr1 || '_' || CASE WHEN pos1 <= 60000 THEN '1_60000' ELSE '50001_110000' END AS chr1, CASE WHEN pos1 <= 60000 THEN pos1 ELSE pos1 - 50000 END AS pos1,
+       chr2 || '_' || CASE WHEN pos2 <= 60000 THEN '1_60000' ELSE '50001_110000' END AS chr2, CASE WHEN pos2 <= 60000 THEN pos2 ELSE pos2 - 50000 END AS pos2
+       FROM contacts WHERE pos1 BETWEEN 1 AND 100000 AND pos2 BETWEEN 1 AND 100000""",
+)
+def _(spark, d):
+    at = D.contigs(spark, d).select("contig", F.explode(F.expr("sequence(bigint(1), len, bigint(50000))")).alias("start")).withColumn("end", F.col("start") + 59_999)
+    seg = at.withColumn("seg", F.concat_ws("_", "contig", F.col("start").cast("string"), F.col("end").cast("string")))
+    return C.split_by_segments(D.contacts(spark, d), seg, 50_000)
+
+
 @query("j1_contact_lengths", "SELECT chr1, chr2, pos1, pos2, a.len AS len1, b.len AS len2 FROM contacts JOIN contigs a ON chr1 = a.contig JOIN contigs b ON chr2 = b.contig")
 def _(spark, d):
     return C.with_lengths(D.contacts(spark, d), D.contigs(spark, d))
@@ -307,16 +342,38 @@ def _(spark, d):
     return C.canonical(layout.lift(D.contacts(spark, d), placed(spark, d))).groupBy("chr1", "chr2").agg(F.count("*").alias("n"))
 
 
+COMPOSED = """SELECT CASE WHEN n < 2 OR c % 3 = 2 THEN chrom ELSE concat('super', CAST(c // 3 AS VARCHAR)) END AS chrom,
+        CAST(CASE WHEN n < 2 OR c % 3 <> 1 THEN ord ELSE first + own + 1 - ord END AS INTEGER) AS ord, contig, len, CASE WHEN n >= 2 AND c % 3 = 1 THEN 1 - orient ELSE orient END AS orient
+      FROM (SELECT *, max(CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c // 3) + max(CASE WHEN c % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY c // 3) AS n, count(*) OVER (PARTITION BY c) AS own, count(CASE WHEN c % 3 = 0 THEN 1 END) OVER (PARTITION BY c // 3) AS first
+        FROM (SELECT *, CAST(substr(chrom, 4) AS BIGINT) AS c FROM parts))"""
+
+
+def supers(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The planted layout, and one over its scaffolds: of each three, the first and, reversed, the second are joined."""
+    child = D.components(spark, d).withColumn("ord", F.col("ord").cast("int"))
+    c = child.select("chrom").distinct().withColumn("c", F.substring("chrom", 4, 12).cast("long")).filter("c % 3 < 2")
+    both = c.groupBy(floor_div(F.col("c"), 3).alias("g")).agg(F.count("*").alias("n")).filter("n = 2")
+    c = c.withColumn("g", floor_div(F.col("c"), 3)).join(both, "g")
+    size = child.groupBy("chrom").agg(F.sum("len").alias("len"))
+    turned = (F.col("c") % 3).cast("int")
+    return child, c.join(size, "chrom").select(F.concat(F.lit("super"), F.col("g").cast("string")).alias("chrom"), (turned + 1).alias("ord"), F.col("chrom").alias("contig"), "len", turned.alias("orient"))
+
+
+@query("j4_j5_layout_composition", COMPOSED)
+def _(spark, d):
+    return layout.compose(*supers(spark, d))
+
+
 @query(
-    "j4_j5_layout_composition",
-    """SELECT CASE WHEN p.chrom IN ('chr0', 'chr1') THEN 'super' ELSE p.chrom END AS chrom, CAST(CASE WHEN chrom = 'chr0' THEN ord WHEN chrom = 'chr1' THEN c0 + c1 + 1 - ord ELSE ord END AS INTEGER) AS ord, contig, len,
-       CASE WHEN chrom = 'chr1' THEN 1 - orient ELSE orient END AS orient
-       FROM parts p, (SELECT count(*) FILTER (WHERE chrom = 'chr0') AS c0, count(*) FILTER (WHERE chrom = 'chr1') AS c1 FROM parts)""",
+    "g11_connections_by_round",
+    f"""SELECT round, a.chrom, a.contig, b.contig AS next, (CASE WHEN a.orient = 1 THEN 's' ELSE 'e' END) || (CASE WHEN b.orient = 1 THEN 'e' ELSE 's' END) AS tag
+       FROM (SELECT 0 AS round, chrom, ord, contig, orient FROM parts UNION ALL SELECT 1, chrom, ord, contig, orient FROM ({COMPOSED})) a
+       JOIN (SELECT 0 AS round, chrom, ord, contig, orient FROM parts UNION ALL SELECT 1, chrom, ord, contig, orient FROM ({COMPOSED})) b USING (round) WHERE a.chrom = b.chrom AND b.ord = a.ord + 1""",
 )
 def _(spark, d):
-    child = D.components(spark, d).withColumn("ord", F.col("ord").cast("int"))
-    parent = child.select("chrom").distinct().filter("chrom in ('chr0', 'chr1')").select(F.lit("super").alias("chrom"), F.when(F.col("chrom") == "chr0", 1).otherwise(2).alias("ord"), F.col("chrom").alias("contig"), F.when(F.col("chrom") == "chr1", 1).otherwise(0).alias("orient"))
-    return layout.compose(child, parent)
+    c = D.contigs(spark, d)
+    alone = c.select(F.col("contig").alias("chrom"), F.lit(1).alias("ord"), "contig", "len", F.lit(0).alias("orient"))
+    return layout.connections(alone, list(supers(spark, d)))
 
 
 @query("g11_connections", "SELECT a.chrom, a.contig, b.contig AS next, (CASE WHEN a.orient = 1 THEN 's' ELSE 'e' END) || (CASE WHEN b.orient = 1 THEN 'e' ELSE 's' END) AS tag FROM placed a JOIN placed b ON a.chrom = b.chrom AND b.ord = a.ord + 1")
@@ -347,16 +404,20 @@ def _(spark, d):
     return signal(spark, d).select("chrom", "bin", F.round("s", 9).alias("s"))
 
 
-@query("e3_break_points")
+@query("e3_break_points", """SELECT chrom, (spot + p + 50) / 2.0 AS break_bin FROM (SELECT *, lag(spot) OVER (PARTITION BY chrom ORDER BY p) AS prior FROM drops WHERE v - trunc(low) > 0.6) WHERE prior IS NULL OR prior <> spot""")
 def _(spark, d):
     fine = correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), 1000, NEAR)
     return correct.break_points(correct.signal(fine, layout.sizes(placed(spark, d)), 1000))
 
 
-@query("e4_e5_pieces", """SELECT chrom || CASE WHEN ord < 3 THEN '_break_1' ELSE '_break_2' END AS chrom, CAST(CASE WHEN ord < 3 THEN ord ELSE ord - 2 END AS INTEGER) AS ord, contig, len, orient FROM placed""")
+@query(
+    "e4_e5_pieces",
+    """SELECT chrom || CASE WHEN ord - 1 < cut OR cut = 0 THEN '_break_1' ELSE '_break_2' END AS chrom, CAST(CASE WHEN ord - 1 < cut OR cut = 0 THEN ord ELSE ord - cut END AS INTEGER) AS ord, contig, len, orient
+       FROM placed JOIN (SELECT chrom, arg_min(ord - 1, (abs(start - b * 10000), ord)) AS cut FROM (SELECT *, 3.1 + (CAST(substr(chrom, 4) AS BIGINT) % 7) * 7.3 AS b FROM placed) GROUP BY chrom) USING (chrom)""",
+)
 def _(spark, d):
     p = placed(spark, d)
-    points = p.select("chrom").distinct().select("chrom", F.lit(21.3).alias("break_bin"))
+    points = p.select("chrom").distinct().select("chrom", (F.lit(3.1) + (F.substring("chrom", 4, 12).cast("long") % 7) * 7.3).alias("break_bin"))
     return correct.pieces(p, correct.snapped(points, p, B))
 
 
@@ -381,13 +442,64 @@ def _(spark, d):
 
 @query("c2_s7_assembly_layout", """SELECT concat('chain', CAST(dense_rank() OVER (ORDER BY chrom) AS VARCHAR)) AS chrom, CAST(ord AS INTEGER) AS ord, contig, len, orient, start, "end" FROM placed""")
 def _(spark, d):
-    from pyspark.sql import Window
+    text = stats.assembly_text(D.components(spark, d))
+    return layout.place(stats.from_chains(*S.assembly_lines(text))).select("chrom", "ord", "contig", "len", "orient", "start", "end")
+
+
+@query(
+    "c2_w5_chained_layout",
+    """WITH p AS (SELECT *, coalesce(sum(len + 100) OVER (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, max(ord) OVER (PARTITION BY chrom) AS m FROM parts),
+       n AS (SELECT chrom, concat('scaffold_', CAST(row_number() OVER (ORDER BY max(done + len) DESC, chrom) AS VARCHAR)) AS name FROM p GROUP BY chrom)
+       SELECT name AS chrom, CAST(greatest(done, 1) AS BIGINT) AS start, CAST(done + len AS BIGINT) AS "end", CAST(2 * ord - 1 AS INTEGER) AS ord, 'W' AS tag, contig, '1' AS contig_start, CAST(len AS VARCHAR) AS contig_end, CASE WHEN orient = 1 THEN '-' ELSE '+' END AS orient FROM p JOIN n USING (chrom)
+       UNION ALL SELECT name, CAST(done + len AS BIGINT), CAST(done + len + 100 AS BIGINT), CAST(2 * ord AS INTEGER), 'U', '100', 'scaffold', 'yes', 'proximity_ligation' FROM p JOIN n USING (chrom) WHERE ord < m""",
+)
+def _(spark, d):
+    return stats.layout_of_chains(*S.assembly_lines(stats.assembly_text(D.components(spark, d))))
+
+
+@query("w4_super_layout", """SELECT 'assembly' AS chrom, row_number() OVER w AS ord, contig, len, orient, CAST(greatest(coalesce(sum(len) OVER b, 0), 1) AS BIGINT) AS start, CAST(coalesce(sum(len) OVER b, 0) + len AS BIGINT) AS "end"
+       FROM parts WINDOW w AS (ORDER BY chrom, ord), b AS (ORDER BY chrom, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(spark, d):
+    return layout.place_super(D.components(spark, d))
+
+
+@query(
+    "k8_assembly_text",
+    """WITH i AS (SELECT *, row_number() OVER (ORDER BY chrom, ord) AS idx FROM parts),
+       c AS (SELECT chrom, string_agg(CAST(CASE WHEN orient = 1 THEN -idx ELSE idx END AS VARCHAR), ' ' ORDER BY ord) AS chain FROM i GROUP BY chrom)
+       SELECT idx AS line_no, concat('>', contig, ' ', idx, ' ', len) AS value FROM i UNION ALL SELECT (SELECT count(*) FROM i) + row_number() OVER (ORDER BY chrom), chain FROM c""",
+)
+def _(spark, d):
+    return stats.assembly_text(D.components(spark, d))
+
+
+@query(
+    "k8_review_contacts",
+    """WITH p AS (SELECT contig, orient, greatest(coalesce(sum(len) OVER b, 0), 1) AS start, coalesce(sum(len) OVER b, 0) + len AS "end" FROM parts WINDOW b AS (ORDER BY chrom, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       SELECT CAST(CASE WHEN p.orient = 1 THEN p."end" - pos1 + 1 ELSE p.start + pos1 - 1 END AS BIGINT) AS pos1, CAST(CASE WHEN q.orient = 1 THEN q."end" - pos2 + 1 ELSE q.start + pos2 - 1 END AS BIGINT) AS pos2
+       FROM contacts JOIN p ON p.contig = chr1 JOIN p q ON q.contig = chr2""",
+)
+def _(spark, d):
+    return layout.lift(D.contacts(spark, d), G.settled(layout.place_super(D.components(spark, d)), "super")).select("pos1", "pos2")
+
 
-    parts = D.components(spark, d)
-    idx = F.row_number().over(Window.orderBy("chrom", "ord"))
-    named = parts.withColumn("idx", idx).select(F.col("idx").alias("line_no"), F.concat(F.lit(">"), F.concat_ws(" ", "contig", F.col("idx").cast("string"), F.col("len").cast("string"))).alias("value"))
-    chain = stats.chains(parts).select((F.row_number().over(Window.orderBy("chrom")) + 1_000_000).alias("line_no"), F.col("chain").alias("value"))
-    return layout.place(stats.from_chains(*S.assembly_lines(named.union(chain)))).select("chrom", "ord", "contig", "len", "orient", "start", "end")
+@query(
+    "k7_sorted_contacts",
+    "SELECT CASE WHEN chr1 > chr2 THEN chr2 ELSE chr1 END AS chr1, CASE WHEN chr1 > chr2 THEN pos2 ELSE pos1 END AS pos1, CASE WHEN chr1 > chr2 THEN chr1 ELSE chr2 END AS chr2, CASE WHEN chr1 > chr2 THEN pos1 ELSE pos2 END AS pos2 FROM lifted",
+)
+def _(spark, d):
+    return C.canonical(layout.lift(D.contacts(spark, d), placed(spark, d))).orderBy("chr1", "chr2", "pos1", "pos2")
+
+
+@query(
+    "k9_report",
+    """WITH h AS (SELECT n.nx, len, k, row_number() OVER (PARTITION BY n.nx ORDER BY k) AS r
+       FROM (SELECT len, row_number() OVER (ORDER BY len DESC) AS k, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS c, sum(len) OVER () AS t FROM lens), (VALUES (50), (90), (95), (98), (99)) n(nx) WHERE 100 * c >= n.nx * t)
+       SELECT 0 AS line_no, concat('# Total size:', CAST(sum(len) AS BIGINT), chr(9), ' Total scaffolds: ', count(*)) AS value FROM lens UNION ALL SELECT 1, concat('# Nx', chr(9), 'Length', chr(9), 'L')
+       UNION ALL SELECT CAST(2 + row_number() OVER (ORDER BY nx) AS INTEGER), concat('N', nx, chr(9), len, chr(9), k) FROM h WHERE r = 1""",
+)
+def _(spark, d):
+    return stats.report_lines(D.read(spark, d, "documents").select(F.col("n_chars").alias("len")))
 
 
 @query("f10_reverse_complement", "SELECT name, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM seqs")
@@ -423,7 +535,8 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.sql import Window
 
-    out = scaffold(D.contacts(spark, d), D.contigs(spark, d), CONFIG)
+    c = D.contigs(spark, d)
+    out = scaffold(D.contacts(spark, d), c, Config(clusters=-(-c.count() // D.PER_CHROMOSOME), bin_size=B, triangle=T))
     return out.select("contig", "ord", "len", "orient", "start", "end", F.count("*").over(Window.partitionBy("chrom")).alias("parts"))
 
 
@@ -440,6 +553,13 @@ def _(spark, d):
     return S.agp_lines(text).filter("tag = 'W'").select("chrom", "start", "end", "ord", "contig", "contig_end", "orient")
 
 
+@query("s6_k11_header_layout_sizes", 'SELECT chrom, max("end") AS size FROM placed GROUP BY 1')
+def _(spark, d):
+    text = agp_rows(spark, d).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in S.AGP_COLUMNS]).alias("value"))
+    head = spark.range(1).select(F.lit("\t".join(["Chromosome", "Start", "End", "Order", "Tag", "Contig_ID", "Contig_start", "Contig_end", "Orientation"])).alias("head")).select(F.concat("head", F.substring(F.rand().cast("string"), 1, 0)).alias("value"))
+    return layout.sizes(S.agp_lines(head.union(text), header=True))
+
+
 @query("s8_p8_layout_subset", f"SELECT chrom, contig, len FROM ({PARTS_SQL}) WHERE chrom IN ('chr0', 'chr2')")
 def _(spark, d):
     return S.components_of(agp_rows(spark, d), ["chr0", "chr2"]).select("chrom", "contig", "len")
@@ -455,12 +575,9 @@ def _(spark, d):
     return score.edges(score.normalised(best(spark, d)), -1.0).select("i", "j")
 
 
-@query("t5_numeric_suffix_order", "SELECT name, CAST(row_number() OVER (ORDER BY CAST(substr(name, 4) AS BIGINT)) AS INTEGER) AS place FROM seqs WHERE length(seq) > 8000")
+@query("t5_numeric_suffix_order", "SELECT name, row_number() OVER (ORDER BY CAST(substr(name, 4) AS BIGINT)) AS place FROM seqs")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    long = D.sequences(spark, d).filter(F.length("seq") > 8000)
-    return long.select("name", F.row_number().over(Window.orderBy(F.substring("name", 4, 20).cast("long"))).alias("place"))
+    return numbered(D.sequences(spark, d).select("name"), [F.substring("name", 4, 20).cast("long")], "place")
 
 
 @query("f8_quantiles", "SELECT quantile_cont(len, 0.005) AS low, median(len) AS middle, quantile_cont(len, 0.995) AS high FROM lens")
@@ -480,6 +597,30 @@ def _(spark, d):
     return correct.windows(signal(spark, d)).select("chrom", "bin", F.round("mean", 9).alias("mean"), F.round("low", 9).alias("low"))
 
 
+@query(
+    "w9_mirrored_mean",
+    """WITH g AS (SELECT g.chrom, g.bin, count(*) OVER (PARTITION BY g.chrom) AS n, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
+         FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin),
+       f AS (SELECT chrom, n, s, unnest([bin, CASE WHEN bin < 5 THEN -1 - bin END, CASE WHEN bin >= n - 4 THEN 2 * n - 1 - bin END]) AS bin FROM g)
+       SELECT chrom, bin, mean FROM (SELECT chrom, bin, n, round(avg(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean FROM f WHERE bin IS NOT NULL) WHERE bin >= 0 AND bin < n""",
+)
+def _(spark, d):
+    return correct.mirrored_mean(signal(spark, d)).select("chrom", "bin", F.round("mean", 9).alias("mean"))
+
+
+@query(
+    "g4_g5_rings_and_conflicts",
+    """WITH c AS (SELECT *, floor(k / 7) AS g, k % 7 AS p, 0.5 + (k * 7919 % 1009) / 4096.0 AS w FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer)),
+       t AS (SELECT g, count(*) AS n, arg_min(p, w) AS t FROM c GROUP BY g)
+       SELECT concat('cus', lpad(CAST(CASE WHEN n < 7 OR (g % 3 = 1 AND p = 3) THEN k WHEN g % 3 = 1 AND p > 3 THEN CAST(g * 7 + 4 AS BIGINT) ELSE CAST(g * 7 AS BIGINT) END AS VARCHAR), 8, '0')) AS path,
+         CAST(CASE WHEN n < 7 OR (g % 3 = 1 AND p = 3) THEN 1 WHEN g % 3 = 1 AND p > 3 THEN p - 3 WHEN g % 3 = 0 AND t < 6 THEN CASE WHEN p <= t THEN t - p + 1 ELSE t + 8 - p END ELSE p + 1 END AS INTEGER) AS ord,
+         concat('cus', lpad(CAST(k AS VARCHAR), 8, '0')) AS contig, CASE WHEN n = 7 AND g % 3 = 0 AND t < 6 THEN 1 ELSE 0 END AS orient
+       FROM c JOIN t USING (g)""",
+)
+def _(spark, d):
+    return G.paths(G.settled(D.links(spark, d), "links"), D.linked_contigs(spark, d))
+
+
 @query("c3_lift_table", 'SELECT contig, chrom, start, "end", orient, max("end") OVER (PARTITION BY chrom) AS chrom_size FROM placed')
 def _(spark, d):
     p = placed(spark, d)

@@ -1,6 +1,7 @@
 """Contigs, contacts and layouts derived from the given tables, with a planted order.
 
-Contigs of 100,000 bases lie five to a chromosome in the order of their names; those with number % 3 = 1 are reversed.
+Each supplier is a contig of 100,000 bases; they lie five to a chromosome in the order of their names, and those with
+number % 3 = 1 are reversed. Each line item stands for COPIES contacts of its supplier's contig.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from ..functions import floor_div
 
 CONTIG_LENGTH = 100_000
 PER_CHROMOSOME = 5
-CONTIGS = 20
+COPIES = 4
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,27 +25,32 @@ def _name(k: Column) -> Column:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < CONTIGS)
-    return s.select(_name(F.col("s_suppkey")).alias("contig"), F.lit(CONTIG_LENGTH).cast("long").alias("len"))
+    return read(spark, sf_dir, "supplier").select(_name(F.col("s_suppkey")).alias("contig"), F.lit(CONTIG_LENGTH).cast("long").alias("len"))
+
+
+def known_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of the suppliers that are not in debt."""
+    return read(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(_name(F.col("s_suppkey")).alias("contig"))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantity = F.col("l_quantity").cast("long")
-    far = quantity - 35
-    line = read(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % CONTIGS).cast("long").alias("k1"),
-        ((F.col("l_partkey").cast("long") * 7919 + F.col("l_orderkey").cast("long") * 104729 + F.col("l_linenumber").cast("long") * 15485863) % CONTIG_LENGTH).alias("o1"),
-        F.when(F.col("l_quantity") <= 35, quantity * 200 + F.col("l_orderkey") % 200).otherwise(far * far * 300 + F.col("l_orderkey") % 300).alias("d"),
+    line = read(spark, sf_dir, "lineitem").withColumn("c", F.explode(F.array(*[F.lit(c) for c in range(COPIES)])))
+    line = line.withColumn("q", (F.col("l_quantity").cast("long") + 7 * F.col("c") - 1) % 50 + 1)
+    far = F.col("q") - 35
+    line = line.select(
+        F.col("l_suppkey").cast("long").alias("k1"),
+        ((F.col("l_partkey").cast("long") * 7919 + F.col("l_orderkey").cast("long") * 104729 + F.col("l_linenumber").cast("long") * 15485863 + F.col("c") * 611953) % CONTIG_LENGTH).alias("o1"),
+        F.when(F.col("q") <= 35, F.col("q") * 200 + F.col("l_orderkey") % 200).otherwise(far * far * 300 + F.col("l_orderkey") % 300).alias("d"),
     )
     line = line.withColumns({"k2": F.col("k1") + floor_div(F.col("o1") + F.col("d"), CONTIG_LENGTH), "o2": (F.col("o1") + F.col("d")) % CONTIG_LENGTH})
-    line = line.filter(floor_div(F.col("k1"), PER_CHROMOSOME) == floor_div(F.col("k2"), PER_CHROMOSOME))
+    line = line.filter(floor_div(F.col("k1"), PER_CHROMOSOME) == floor_div(F.col("k2"), PER_CHROMOSOME))  # contacts beyond a chromosome go
     place = lambda k, o: F.when(F.col(k) % 3 == 1, CONTIG_LENGTH - F.col(o)).otherwise(F.col(o) + 1)
     return line.select(_name(F.col("k1")).alias("chr1"), place("k1", "o1").alias("pos1"), _name(F.col("k2")).alias("chr2"), place("k2", "o2").alias("pos2"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planted layout: chrom, ord, contig, len, orient."""
-    k = F.substring("contig", 4, 6).cast("int")
+    k = F.substring("contig", 4, 12).cast("int")
     out = contigs(spark, sf_dir).withColumn("k", k)
     return out.select(F.concat(F.lit("chr"), floor_div(F.col("k"), PER_CHROMOSOME).cast("string")).alias("chrom"), (F.col("k") % PER_CHROMOSOME + 1).alias("ord"), "contig", "len", F.when(F.col("k") % 3 == 1, 1).otherwise(0).alias("orient"))
 
@@ -53,3 +59,25 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as sequences: letters outside the alphabet stand for N."""
     d = read(spark, sf_dir, "documents")
     return d.select(F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("name"), F.regexp_replace(F.translate(F.regexp_replace("text", r"\s", ""), "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"))
+
+
+RING = 7
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links (i, j, w, code) between customers as contigs. Each seven in the order of their keys form a path; every third
+    path is closed to a ring, and in every third other one the fourth contig meets both neighbours with its start."""
+    name = lambda k: F.concat(F.lit("cus"), F.lpad(k.cast("string"), 8, "0"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_acctbal").alias("b"))
+    c = c.withColumns({"g": floor_div(F.col("k"), RING), "p": F.col("k") % RING})
+    whole = c.groupBy("g").agg(F.count("*").alias("n"), F.min("p").alias("low")).filter(f"n = {RING}").select("g")
+    c = c.join(whole, "g").withColumn("w", F.lit(0.5) + (F.col("k") * 7919 % 1009) / 4096.0)
+    turned = F.when(F.col("g") % 3 == 1, F.when(F.col("p") == 2, 1).when(F.col("p") == 3, 0).otherwise(1)).otherwise(1)
+    # Code 1: the end of i meets the start of j. Where the fourth is turned, its start meets the fifth's start.
+    path = c.filter(F.col("p") < RING - 1).select(name(F.col("k")).alias("i"), name(F.col("k") + 1).alias("j"), "w", turned.alias("code"))
+    ring = c.filter((F.col("p") == RING - 1) & (F.col("g") % 3 == 0)).select(name(F.col("k") - (RING - 1)).alias("i"), name(F.col("k")).alias("j"), "w", F.lit(2).alias("code"))
+    return path.unionByName(ring)
+
+
+def linked_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("cus"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("contig"))
