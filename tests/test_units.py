@@ -1,12 +1,16 @@
 """Hand-sized cases of the scaffolding operators, and data with a planted answer."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hicweave.functions import half, reverse_complement, transposed
-from hicweave.operators import correct, density, graph, layout, score, stats
+from hicweave import plans
+from hicweave.functions import floor_div, half, reverse_complement, transposed
+from hicweave.operators import contacts, correct, density, graph, layout, score, stats
+from hicweave.operators.tables import numbered, running, settled
 from hicweave.plans import Config, scaffold
 from hicweave.sources import text
 
@@ -96,6 +100,100 @@ def test_nx(spark):
         stats.share_list("50;90")
 
 
+def test_nx_of_large_genomes(spark):
+    lengths = [3_000_000_000_000_000_000, 3_000_000_000_000_000_000, 7, 1]
+    got = rows(stats.nx(spark.createDataFrame([(n,) for n in lengths], "len long"), (50, 90, 100)))
+    assert got == [(50, lengths[0], 2), (90, lengths[0], 2), (100, 1, 4)]
+    ints = [24_783_473 // 30 + k for k in range(30)]
+    got = {r.nx: (r.length, r["count"]) for r in stats.nx(spark.createDataFrame([(n,) for n in ints], "len int")).collect()}
+    down, total = sorted(ints, reverse=True), sum(ints)
+    for share, found in got.items():
+        k = next(k for k in range(1, 31) if 100 * sum(down[:k]) >= share * total)
+        assert found == (down[k - 1], k)
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_numbers_and_sums_over_all_rows(spark, n):
+    df = spark.createDataFrame([(k * 7919 % 1009, k % 3) for k in range(n)], "k long, v long")
+    want, done = [], 0
+    for place, r in enumerate(sorted(df.collect(), key=lambda r: -r.k)):
+        want.append((r.k, r.v, done, place))
+        done += r.v
+    assert rows(running(df, [F.desc("k")], {"sum": F.col("v"), "place": F.lit(1).cast("long")})) == sorted(want)
+    assert sorted(r.number for r in numbered(df, ["k"]).collect()) == list(range(1, n + 1))
+
+
+def test_report(spark, tmp_path):
+    lengths = spark.createDataFrame([(50,), (30,), (20,)], "len long")
+    text.write_report(lengths, str(tmp_path / "r"), (50, 90))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["# Total size:100\t Total scaffolds: 3", "# Nx\tLength\tL", "N50\t50\t1", "N90\t20\t3"]
+
+
+def test_earlier_segments_win(spark):
+    seg = spark.createDataFrame([("c", "A", 1, 10), ("c", "B", 5, 20), ("c", "C", 6, 8), ("c", "D", 30, 40)], "contig string, seg string, start long, end long")
+    c = spark.createDataFrame([("c", p, "c", 35) for p in (1, 7, 10, 11, 20, 25, 30)], "chr1 string, pos1 long, chr2 string, pos2 long")
+    got = sorted((r.chr1, r.pos1, r.chr2, r.pos2) for r in contacts.split_by_segments(c, seg, 7).collect())
+    assert got == [(s, p, "D", 6) for s, p in (("A", 1), ("A", 7), ("A", 10), ("B", 7), ("B", 16), ("D", 1))]
+
+
+def test_whole_division(spark):
+    df = spark.createDataFrame([(9_007_199_254_740_993 * 3 + 2,), (0,), (2,), (3,)], "x long")
+    assert [r[0] for r in df.select(floor_div(F.col("x"), 3)).collect()] == [9_007_199_254_740_993, 0, 0, 1]
+
+
+def test_ends_swap_with_all_their_columns(spark):
+    c = spark.createDataFrame([("0", "b", 5, "x", "16", "a", 7, "y")], "str1 string, chr1 string, pos1 long, frag1 string, str2 string, chr2 string, pos2 long, frag2 string")
+    assert rows(contacts.canonical(c)) == [("16", "a", 7, "y", "0", "b", 5, "x")]
+
+
+def brute_breaks(s):
+    """Break points by plain loops, in exact order of the rules."""
+    n = len(s)
+    if n <= 100:
+        return []
+    inner = sorted(s[50 : n - 50])
+
+    def quantile(q):
+        at = q * (len(inner) - 1)
+        k = int(at)
+        return inner[k] + (inner[min(k + 1, len(inner) - 1)] - inner[k]) * (at - k)
+
+    low, high = quantile(0.005), quantile(0.995)
+    v = [min(max(x, low), high) if 50 <= k < n - 50 else x for k, x in enumerate(s)]
+    m = n - 100
+    mirror = lambda i: -1 - i if i < 0 else 2 * m - 1 - i if i >= m else i
+    mean = [round(sum(v[50 + mirror(j)] for j in range(i - 5, i + 5)) / 10, 9) for i in range(m)]
+    out, last, i = [], None, 1
+    while i < m:
+        j = i
+        while j + 1 < m and mean[j + 1] == mean[i]:
+            j += 1
+        if mean[i - 1] < mean[i] and j + 1 < m and mean[j + 1] < mean[i] and mean[i] >= 0.7 * max(mean):
+            p = (i + j) // 2 + 50
+            part = v[p - 40 : p + 1]
+            at = p - 40 + part.index(min(part))
+            if v[p] - int(min(part)) > 0.6:
+                if at != last:
+                    out.append((at + p) / 2)
+                last = at
+        i = j + 1
+    return out
+
+
+def test_break_points_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    signals = {f"s{k}": np.round(np.cumsum(rng.normal(0, 0.3, n)) * 0.2 + np.sin(np.arange(n) / rng.uniform(5, 30)), 2) for k, n in enumerate([90, 100, 101, 150, 220, 400, 700, 1000])}
+    df = spark.createDataFrame([(c, b, float(x)) for c, s in signals.items() for b, x in enumerate(s)], "chrom string, bin long, s double")
+    want = sorted((c, b) for c, s in signals.items() for b in brute_breaks([float(x) for x in s]))
+    assert len(want) > 5 and rows(correct.break_points(df)) == want
+
+
+def test_mirrored_mean(spark):
+    x = np.random.default_rng(2).random(23)
+    got = correct.mirrored_mean(spark.createDataFrame([("c", b, float(v)) for b, v in enumerate(x)], "chrom string, bin long, s double")).orderBy("bin").collect()
+    assert np.allclose([r["mean"] for r in got], correct.moving_mean(x, correct.WIDTH))
+
+
 def test_break_points():
     assert correct.breaks(np.zeros(90)) == []
     x = np.zeros(200)
@@ -111,6 +209,41 @@ def test_assembly_chain(spark):
     assert [(r.tag, r.start, r.end, r.orient) for r in full] == [("W", 1, 100, "+"), ("U", 101, 200, "proximity_ligation"), ("W", 201, 250, "-")]
 
 
+def test_chained_layout(spark):
+    lines = spark.createDataFrame([(1, ">c1 1 100"), (2, ">c2 2 50"), (3, ">c3 3 400"), (4, "1 -2"), (5, "3")], "line_no long, value string")
+    got = stats.layout_of_chains(*text.assembly_lines(lines)).orderBy("chrom", "ord").collect()
+    assert [(r.chrom, r.tag, r.start, r.end, r.ord, r.orient) for r in got] == [("scaffold_1", "W", 1, 400, 1, "+"), ("scaffold_2", "W", 1, 100, 1, "+"), ("scaffold_2", "U", 100, 200, 2, "proximity_ligation"), ("scaffold_2", "W", 200, 250, 3, "-")]
+
+
+def test_review_bundle(spark, tmp_path):
+    parts = spark.createDataFrame([("b", 1, "c3", 7, 0), ("a", 1, "c1", 100, 0), ("a", 2, "c2", 50, 1)], "chrom string, ord int, contig string, len long, orient int")
+    c = spark.createDataFrame([("c3", 2, "c2", 5), ("c1", 9, "zz", 5)], "chr1 string, pos1 long, chr2 string, pos2 long")
+    text.review_bundle(c, parts, str(tmp_path))
+    read = lambda x: [r.value for r in spark.read.text(str(tmp_path / x)).collect()]
+    assert sorted(read("review.assembly")) == ["1 -2", "3", ">c1 1 100", ">c2 2 50", ">c3 3 7"]
+    assert read("sizes") == ["assembly\t157"] and read("contacts") == ["0\tassembly\t151\t0\t16\tassembly\t146\t1"]
+
+
+def test_sequences_in_pieces(spark, tmp_path):
+    parts = spark.createDataFrame([("scaffold_1", 1, "c1", 6, 0), ("scaffold_1", 2, "c2", 2, 1), ("scaffold_2", 1, "c3", 0, 0)], "chrom string, ord int, contig string, len long, orient int")
+    seqs = spark.createDataFrame([("c1", "ACGTAC"), ("c2", "GA"), ("c3", "")], "name string, seq string")
+    whole = {r.chrom: r.seq for r in stats.joined_sequences(parts, seqs, 3).collect()}
+    pieces = stats.placed_pieces(parts, seqs, 3, size=4).orderBy("chrom", "ord", "piece").collect()
+    assert {c: "".join(r.seq for r in pieces if r.chrom == c) for c in whole} == whole == {"scaffold_1": "ACGTACNNNTC", "scaffold_2": ""}
+    assert max(len(r.seq) for r in pieces) == 4
+    text.write_scaffolds(parts, seqs, str(tmp_path / "fa"), 3)
+    got = text.read_fasta(spark, str(tmp_path / "fa"))
+    assert {r.name: r.seq for r in got.collect()} == whole
+
+
+def test_connections_by_round(spark):
+    schema = "chrom string, ord int, contig string, len long, orient int"
+    alone = spark.createDataFrame([(c, 1, c, 10, 0) for c in ("c1", "c2", "c3")], schema)
+    one = spark.createDataFrame([("A", 1, "c1", 10, 0), ("A", 2, "c2", 10, 1), ("c3", 1, "c3", 10, 0)], schema)
+    two = spark.createDataFrame([("P", 1, "A", 20, 1), ("P", 2, "c3", 10, 0)], schema)
+    assert rows(layout.connections(alone, [one, two])) == [(0, "A", "c1", "c2", "ee"), (1, "P", "c1", "c3", "ss"), (1, "P", "c2", "c1", "ee")]
+
+
 def test_reverse_complement(spark):
     assert spark.sql("select 'ACGTNacgtR' s").select(reverse_complement(F.col("s"))).collect()[0][0] == "YacgtNACGT"
 
@@ -123,7 +256,7 @@ def test_empty_tables(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">c1 first\nACGT\nAC\n>c2\nGG\n")
+    (tmp_path / "a.fa").write_text(">c1 first > second\nACGT\nAC\n>c2\nGG\n")
     assert [(r.name, r.len, r.seq) for r in text.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("name").collect()] == [("c1", 6, "ACGTAC"), ("c2", 2, "GG")]
     parts = spark.createDataFrame([("s", 1, "c1", 6, 0), ("s", 2, "c2", 2, 1)], "chrom string, ord int, contig string, len long, orient int")
     agp = layout.with_gaps(layout.place(parts, 10), 10)
@@ -141,22 +274,93 @@ def test_stream_of_contacts(spark, tmp_path):
     assert rows(spark.table("density")) == [("a", 0, 1), ("a", 1, 1)]
 
 
+def planted(spark, sizes, seed=3, each=10_000, reach=12_000):
+    """Contacts and contigs of chromosomes of equal contigs, some of them reversed: contigs in order, by chromosome."""
+    rng, size = np.random.default_rng(seed), 40_000
+    out, order, k0 = [], [], 0
+    for count in sizes:
+        pos = rng.integers(0, count * size, count * each)
+        other = np.clip(pos + rng.integers(1, reach, len(pos)), 0, count * size - 1)
+        flip = rng.integers(0, 2, count)
+
+        def at(p):
+            k, o = p // size, p % size
+            return [f"c{k0 + x:02d}" for x in k], [int(size - y if flip[x] else y + 1) for x, y in zip(k, o)]
+
+        (c1, p1), (c2, p2) = at(pos), at(other)
+        out += list(zip(c1, p1, c2, p2))
+        order.append([(f"c{k0 + k:02d}", int(flip[k])) for k in range(count)])
+        k0 += count
+    contigs = spark.createDataFrame([(f"c{k:02d}", size) for k in range(k0)], "contig string, len long")
+    return spark.createDataFrame(out, "chr1 string, pos1 long, chr2 string, pos2 long"), contigs, order
+
+
+def chromosomes(out):
+    found = {}
+    for r in sorted(out.collect(), key=lambda r: r.ord):
+        found.setdefault(r.chrom, []).append((r.contig, r.orient))
+    return sorted(found.values())
+
+
+def either_way(orders):
+    return sorted(min(o, [(c, 1 - x) for c, x in reversed(o)]) for o in orders)
+
+
 def test_planted_order_is_recovered(spark):
     """Contigs cut from one chromosome come back in order, whichever are reversed."""
-    rng, n, size = np.random.default_rng(3), 6, 40_000
-    pos = rng.integers(0, n * size, 60_000)
-    other = np.clip(pos + rng.integers(1, 12_000, len(pos)), 0, n * size - 1)
-    flip = [0, 1, 0, 0, 1, 1]
-
-    def at(p):
-        k, o = p // size, p % size
-        return [f"c{x}" for x in k], [int(size - y if flip[x] else y + 1) for x, y in zip(k, o)]
-
-    (c1, p1), (c2, p2) = at(pos), at(other)
-    contacts = spark.createDataFrame(list(zip(c1, p1, c2, p2)), "chr1 string, pos1 long, chr2 string, pos2 long")
-    contigs = spark.createDataFrame([(f"c{k}", size) for k in range(n)], "contig string, len long")
-    out = scaffold(contacts, contigs, Config(clusters=1, bin_size=2000, triangle=5)).orderBy("ord").collect()
-    assert len({r.chrom for r in out}) == 1
-    order = [(r.contig, r.orient) for r in out]
-    want = [(f"c{k}", flip[k]) for k in range(n)]
-    assert order == want or order == [(c, 1 - o) for c, o in reversed(want)]
+    contacts_, contigs, order = planted(spark, [6])
+    assert either_way(chromosomes(scaffold(contacts_, contigs, Config(clusters=1, bin_size=2000, triangle=5)))) == either_way(order)
+
+
+def test_a_run_with_error_correction(spark):
+    """Each step of a round by itself, and cuts where the signal of the joined scaffolds has them."""
+    contacts_, contigs, order = planted(spark, [7, 4])
+    config = Config(clusters=4, bin_size=2000, triangle=5, error_correction=True, near=1000, far=12_000)
+    got = chromosomes(scaffold(contacts_, contigs, config))
+    average = plans.average_links(contacts_, contigs, config)
+    blocks = settled(plans.one_round(contacts_, contigs, average, config, 5, 0))
+    placed = layout.place(blocks, config.gap)
+    lifted = layout.lift(contacts_, placed).toPandas()
+    want = []
+    for chrom, part in placed.toPandas().sort_values("ord").groupby("chrom"):
+        own = lifted[(lifted.chr1 == chrom) & (lifted.chr2 == chrom)]
+        d = (own.pos2 - own.pos1).abs()
+        own = own[(d > 1000) & (d < 12_000)]
+        n = part.end.max() // 2000 + 1
+        down = np.bincount(np.maximum(own.pos1, own.pos2) // 2000, minlength=n)
+        up = np.bincount(np.minimum(own.pos1, own.pos2) // 2000, minlength=n)
+        found = brute_breaks(np.log10((down + 1) / (up + 1)).tolist())
+        starts = part.start.tolist()
+        cuts = sorted({min(range(len(starts)), key=lambda k: (abs(starts[k] - b * 2000), k)) for b in found} - {0})
+        parts = list(zip(part.contig, part.orient))
+        want += [parts[a:b] for a, b in zip([0, *cuts], [*cuts, len(parts)])]
+    assert len(want) >= 2 and sum(map(len, want)) == 11
+    one = layout.place(blocks, config.gap)
+    signal = correct.signal(correct.directionality(layout.lift(contacts_, one), 2000, 1000, 12_000), layout.sizes(one), 2000)
+    assert chromosomes(correct.pieces(one, correct.snapped(correct.break_points(signal), one, 2000))) == sorted(want)
+    assert sorted(c for x in got for c, _ in x) == sorted(c for x in order for c, _ in x)
+
+
+def test_a_stop_by_clusters_may_keep_enough(spark):
+    contacts_, contigs, order = planted(spark, [4, 2])
+    few = Config(clusters=3, bin_size=2000, triangle=5)
+    assert either_way(chromosomes(scaffold(contacts_, contigs, few))) == either_way(order)
+    assert len(chromosomes(scaffold(contacts_, contigs, replace(few, enough=True)))) == 6
+    with pytest.raises(RuntimeError):
+        scaffold(contacts_, contigs, replace(few, clusters=1, most_rounds=1))
+
+
+def test_command_line(spark, tmp_path):
+    from hicweave.__main__ import arguments, config, run
+
+    contacts_, contigs, order = planted(spark, [3])
+    text.short_lines(contacts_.withColumns({c: F.lit("0") for c in ("str1", "frag1", "str2", "frag2")})).write.text(str(tmp_path / "c"))
+    (tmp_path / "f.fa").write_text("".join(f">c{k:02d}\n{'ACGTT' * 8000}\n" for k in range(3)))
+    a = arguments(["--contacts", str(tmp_path / "c"), "--fasta", str(tmp_path / "f.fa"), "--out", str(tmp_path / "out"), "--clusters", "1", "--binsize", "2000", "--triangle", "5"])
+    assert config(a) == Config(clusters=1, bin_size=2000, triangle=5)
+    run(spark, a)
+    final = text.read_agp(spark, str(tmp_path / "out" / "final.agp")).filter("tag = 'W'").orderBy("ord").collect()
+    assert either_way([[(r.contig, int(r.orient == "-")) for r in final]]) == either_way(order)
+    fa = text.read_fasta(spark, str(tmp_path / "out" / "final.fa")).collect()
+    assert [(r.name, r.len) for r in fa] == [("scaffold_1", 120_200)]
+    assert spark.read.text(str(tmp_path / "out" / "contacts")).count() == 30_000
