@@ -188,11 +188,10 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, sa
 
 
 def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that are kept, with its columns. The verdicts are a table before they filter: as a condition the
-    optimizer would write the counts out again for each rule that uses them."""
-    judged = judge(df, text).select(*[F.col(c) for c in df.columns if c != "kept"], "kept") if "kept" not in df.columns else judge(df.withColumnRenamed("kept", "_own"), text)
-    out = materialise(judged, "judged").filter("kept")
-    return out.drop("kept").withColumnRenamed("_own", "kept").select(df.columns)
+    """The rows of df that are kept, with its columns, whatever their names. The verdicts are a table before they filter:
+    as a condition the optimizer would write the counts out again for each rule that uses them."""
+    whole = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("text"))
+    return materialise(judge(whole).select("_row", "kept"), "judged").filter("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

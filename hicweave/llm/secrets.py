@@ -140,14 +140,16 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Replaces every found span by the mask; overlapping spans are masked as one. Texts without spans stay as they are."""
-    out = scan(df, text)
+    """Replaces every found span by the mask; overlapping spans are masked as one. Texts without spans and all other
+    columns, whatever their names, stay as they are."""
+    own = {c: f"_own_{c}" for c in ("base_spans", "entropy_spans", "found_spans") if c in df.columns}
+    out = scan(df.withColumnsRenamed(own), text)
     fold = f"""aggregate(found_spans, struct(1 as at, '' as t),
         (a, x) -> case when x.e < a.at then a
                   when x.s + 1 < a.at then struct(x.e + 1 as at, a.t as t)
                   else struct(x.e + 1 as at, concat(a.t, substr(`{text}`, a.at, x.s + 1 - a.at), '{mask}') as t) end,
         a -> concat(a.t, substr(`{text}`, a.at)))"""
-    return out.withColumn(text, F.when(F.size("found_spans") > 0, F.expr(fold)).otherwise(F.col(text))).drop("base_spans", "entropy_spans", "found_spans")
+    return out.withColumn(text, F.when(F.size("found_spans") > 0, F.expr(fold)).otherwise(F.col(text))).drop("base_spans", "entropy_spans", "found_spans").withColumnsRenamed({b: a for a, b in own.items()}).select(df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
