@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import settled, spent
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -20,6 +20,7 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> Dat
         jump = step.select(F.col("contig").alias("component"), F.col("component").alias("c2"))
         new = settled(step.join(jump, "component").select("contig", F.least("component", "c2").alias("component")))
         moved = new.join(label.withColumnRenamed("component", "old"), "contig").filter("component <> old").limit(1).count()
+        spent(label)
         label = new
         if not moved:
             return label

@@ -29,6 +29,16 @@ def settled(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spent(*tables: DataFrame) -> None:
+    """Removes tables made by settled, once what was derived from them is a table itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/hicweave-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
     """Adds, for each of sums, the sum over all rows before in the given order, which should be total.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contacts as C
 from ..operators import correct, density, graph, layout, score
+from ..operators.tables import spent
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,8 @@ def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config())
             blocks = graph.settled(correct.pieces(placed, cuts), "blocks")
         before, whole = whole, graph.settled(layout.compose(whole, blocks), "whole")
         placed = graph.settled(layout.place(blocks, config.gap), "placed")
-        now = graph.settled(layout.lift(now, placed), "lifted")
+        old, now = now, graph.settled(layout.lift(now, placed), "lifted")
+        spent(old)
         lengths = graph.settled(layout.sizes(placed).select(F.col("chrom").alias("contig"), F.col("size").alias("len")), "lengths")
         if lengths.count() < config.clusters <= fit:
             whole = before if config.enough else whole
