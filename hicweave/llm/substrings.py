@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, trim, trimmed
 
 K = 13
 #: Bytes of text that a task handles at a time.
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 #: Bytes of input for each bucket; more input gives more buckets, so that a bucket stays small.
 BYTES_PER_BUCKET = 1 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 24
@@ -42,9 +42,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -256,6 +259,7 @@ def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple
     rows = df.count()
     sample = df.select(text).sample(SAMPLE_ROWS / rows, 11) if rows > SAMPLE_ROWS else df.select(text)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(0, batch.num_rows, 256):
@@ -281,6 +285,7 @@ def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     hot, splits = frequent_minimisers(df, text, k, buckets)
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(ids, texts):
             rows = list(_cut(ids, texts, k, buckets, hot, splits))
@@ -301,6 +306,7 @@ def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     def settle(group: pa.Table) -> pa.Table:
         d, a, b = _settle(group.column("blob").to_pylist(), k)
+        trim()
         return pa.table({key: pa.array(d, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
     cut_ = df.select(F.col(key).cast("long"), text).mapInArrow(cut, "bucket int, blob binary")
@@ -326,6 +332,7 @@ def without(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K)
     gone = materialise(removed_ranges(df, key, text, k), "ranges").withColumnRenamed(key, "_k")
     joined = df.select(key, text).join(gone, F.col(key) == F.col("_k"), "left").select(key, text, F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(0, batch.num_rows, 512):
@@ -341,6 +348,7 @@ def rewritten(df: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "
     joined = df.join(gone.toDF("__k", "__r"), F.col(key) == F.col("__k"), "left").select(*df.columns, F.col("__r.a").alias("__a"), F.col("__r.b").alias("__b"))
     names, place = df.columns, df.columns.index(text)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in range(0, batch.num_rows, 512):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import materialise, shared_dir, table, trimmed
 from .tokens import Ids
 
 END = 50256
@@ -31,6 +31,7 @@ def write_flat(df: DataFrame, vocabulary: str, to: str, end: int = END) -> DataF
     """Writes one token file for each partition of df into the folder `to`, which executors must share, and returns
     (file, shard, bytes). A repeated task writes a file of its own; only those in the result belong to the data."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -57,6 +58,7 @@ def separators(files: DataFrame, root: str, end: int = END, block: int = BLOCK)
     is open there."""
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {block}"))))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 

@@ -8,7 +8,7 @@ import re
 from .common import COARSE
 
 #: Runs whose ids a task keeps.
-KEPT = 600_000
+KEPT = 300_000
 
 
 def byte_letters() -> dict[str, int]:
