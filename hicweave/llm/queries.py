@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls
+from . import bpe, jaccard, manifest, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
     "op10_document_fingerprints": merkle.query,
+    "op13_merkle_manifest": manifest.query,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op10_document_fingerprints": merkle.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }
