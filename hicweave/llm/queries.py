@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, manifest, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls
+from . import bpe, jaccard, manifest, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secret_scans": secrets.query,
     "op10_document_fingerprints": merkle.query,
+    "op11_embedding_whitening": whitening.query,
     "op13_merkle_manifest": manifest.query,
 }
 ORACLE_SQL = {
