@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, manifest, merkle, packing, quality, secrets, sharding, substrings, tokencounts, urls, whitening
+from . import bpe, jaccard, manifest, merkle, packing, quality, secrets, sharding, substrings, suffixes, tokencounts, urls, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.query,
     "op10_document_fingerprints": merkle.query,
     "op11_embedding_whitening": whitening.query,
+    "op12_suffix_array_dedup": suffixes.query,
     "op13_merkle_manifest": manifest.query,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op10_document_fingerprints": merkle.ORACLE,
+    "op12_suffix_array_dedup": suffixes.ORACLE,
     "op13_merkle_manifest": manifest.ORACLE,
 }
