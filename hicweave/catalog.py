@@ -66,17 +66,27 @@ VIEWS = {
     "lifted": """SELECT p.chrom AS chr1, CASE WHEN p.orient = 1 THEN p."end" - pos1 + 1 ELSE p.start + pos1 - 1 END AS pos1,
         q.chrom AS chr2, CASE WHEN q.orient = 1 THEN q."end" - pos2 + 1 ELSE q.start + pos2 - 1 END AS pos2
       FROM contacts JOIN placed p ON p.contig = chr1 JOIN placed q ON q.contig = chr2""",
-    "ratio": """SELECT chrom, CAST(floor(b / 10000) AS BIGINT) AS bin, CAST(sum(dn) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM (
-        SELECT chr1 AS chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000
-        UNION ALL SELECT chr1, least(pos1, pos2), 0, 1 FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2""",
+    "lparts": """SELECT CASE WHEN r = 32 THEN contig WHEN r < 15 THEN 'lng' || g || 'A' WHEN r < 27 THEN 'lng' || g || 'B' ELSE 'lng' || g || 'C' END AS chrom,
+        CAST(1 + CASE WHEN r = 32 THEN 0 WHEN r < 15 THEN r WHEN r < 27 THEN r - 15 ELSE r - 27 END AS INTEGER) AS ord, contig, CAST(CASE WHEN r = 32 THEN 1500000 ELSE 100000 END AS BIGINT) AS len, CASE WHEN k % 3 = 1 AND r < 32 THEN 1 ELSE 0 END AS orient, k
+      FROM (SELECT *, CAST(k // 33 AS BIGINT) AS g, k % 33 AS r FROM (SELECT contig, CAST(substr(contig, 4) AS BIGINT) AS k FROM contigs))""",
+    "lplaced": """SELECT *, start + len - 1 AS "end" FROM (SELECT *, CAST(1 + coalesce(sum(len + 100) OVER (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lparts)""",
+    "lcontacts": """WITH q AS (SELECT CAST(l_suppkey AS BIGINT) AS k, CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863 + c * 611953 AS number, CAST(l_orderkey AS BIGINT) AS x, (CAST(l_quantity AS BIGINT) + 7 * c - 1) % 50 + 1 AS q FROM lineitem, (VALUES (0), (1), (2), (3)) v(c)),
+        o AS (SELECT *, k % 33 AS r, number % CASE WHEN k % 33 = 32 THEN 1500000 ELSE 100000 END AS o, CASE WHEN q <= 25 THEN q * 200 + x % 200 ELSE (q - 25) * (q - 25) * 960 + x % 960 END AS d FROM q),
+        h AS (SELECT *, CASE WHEN r = 32 THEN 0 WHEN r < 15 THEN r WHEN r < 27 THEN r - 15 ELSE r - 27 END AS p, CASE WHEN r = 32 THEN 1 WHEN r < 15 THEN 15 WHEN r < 27 THEN 12 ELSE 5 END AS many FROM o),
+        e AS (SELECT *, p * 100000 + o AS a, p * 100000 + o + d AS b FROM h),
+        f AS (SELECT *, CASE WHEN r = 32 THEN k ELSE k - p + b // 100000 END AS k2, CASE WHEN r = 32 THEN b ELSE b % 100000 END AS o2 FROM e WHERE CASE WHEN r = 32 THEN b < 1500000 ELSE b < many * 100000 END)
+      SELECT concat('ctg', lpad(CAST(k AS VARCHAR), 6, '0')) AS chr1, CASE WHEN r < 32 AND k % 3 = 1 THEN 100000 - o ELSE o + 1 END AS pos1, concat('ctg', lpad(CAST(k2 AS VARCHAR), 6, '0')) AS chr2, CASE WHEN r < 32 AND k2 % 3 = 1 THEN 100000 - o2 ELSE o2 + 1 END AS pos2
+      FROM f WHERE NOT (r < 15 AND k // 33 % 2 = 0 AND a < 700000 AND b >= 700000 AND d > 50000)""",
+    "survey": """SELECT p.chrom, CASE WHEN p.orient = 1 THEN p."end" - pos1 + 1 ELSE p.start + pos1 - 1 END AS pos1, CASE WHEN q.orient = 1 THEN q."end" - pos2 + 1 ELSE q.start + pos2 - 1 END AS pos2
+      FROM lcontacts JOIN lplaced p ON p.contig = chr1 JOIN lplaced q ON q.contig = chr2 JOIN (SELECT chrom, max("end") AS size FROM lplaced GROUP BY chrom) z ON z.chrom = p.chrom
+      WHERE p.chrom = q.chrom AND z.size > 1000000 AND p.chrom <> chr1""",
+    "ratio": """SELECT chrom, CAST(b // 10000 AS BIGINT) AS bin, CAST(sum(dn) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM (
+        SELECT chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM survey WHERE abs(pos2 - pos1) > 100000 AND abs(pos2 - pos1) < 500000
+        UNION ALL SELECT chrom, least(pos1, pos2), 0, 1 FROM survey WHERE abs(pos2 - pos1) > 100000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2""",
+    "signal": """SELECT g.chrom, g.bin, count(*) OVER (PARTITION BY g.chrom) AS n, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
+      FROM (SELECT chrom, unnest(range(CAST(max("end") // 10000 AS BIGINT) + 1)) AS bin FROM lplaced WHERE chrom IN (SELECT chrom FROM ratio) GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin""",
     "clipped": """SELECT chrom, bin, n, CASE WHEN bin BETWEEN 50 AND n - 51 THEN greatest(least(s, high), low) ELSE s END AS v
-      FROM (SELECT *, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.005) OVER (PARTITION BY chrom) AS low, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.995) OVER (PARTITION BY chrom) AS high
-        FROM (SELECT g.chrom, g.bin, count(*) OVER (PARTITION BY g.chrom) AS n, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
-          FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 1000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g
-          LEFT JOIN (SELECT chrom, CAST(floor(b / 1000) AS BIGINT) AS bin, sum(dn) AS down, sum(up) AS up FROM (
-            SELECT chr1 AS chrom, greatest(pos1, pos2) AS b, 1 AS dn, 0 AS up FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000
-            UNION ALL SELECT chr1, least(pos1, pos2), 0, 1 FROM lifted WHERE chr1 = chr2 AND abs(pos2 - pos1) > 40000 AND abs(pos2 - pos1) < 500000) GROUP BY 1, 2) r
-          ON r.chrom = g.chrom AND r.bin = g.bin)) WHERE n > 100""",
+      FROM (SELECT *, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.005) OVER (PARTITION BY chrom) AS low, quantile_cont(CASE WHEN bin BETWEEN 50 AND n - 51 THEN s END, 0.995) OVER (PARTITION BY chrom) AS high FROM signal) WHERE n > 100""",
     "smooth": """SELECT chrom, i, m, mean FROM (SELECT chrom, i, m, round(avg(v) OVER (PARTITION BY chrom ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean
         FROM (SELECT chrom, n - 100 AS m, v, unnest([bin - 50, CASE WHEN bin - 50 < 5 THEN 49 - bin END, CASE WHEN bin - 50 >= n - 104 THEN 2 * (n - 100) - 1 - (bin - 50) END]) AS i FROM clipped WHERE bin BETWEEN 50 AND n - 51)
         WHERE i IS NOT NULL) WHERE i >= 0 AND i < m""",
@@ -87,6 +97,8 @@ VIEWS = {
         WINDOW w AS (PARTITION BY chrom ORDER BY g)) WHERE mean > before AND mean > after AND mean >= 0.7 * highest""",
     "drops": """SELECT t.chrom, t.p, min(c.v) AS low, arg_min(c.bin, (c.v, c.bin)) AS spot, any_value(CASE WHEN c.bin = t.p + 50 THEN c.v END) AS v
       FROM tops t JOIN clipped c ON c.chrom = t.chrom AND c.bin BETWEEN t.p + 10 AND t.p + 50 GROUP BY t.chrom, t.p""",
+    "points": """SELECT chrom, (spot + p + 50) / 2.0 AS break_bin FROM (SELECT *, lag(spot) OVER (PARTITION BY chrom ORDER BY p) AS prior FROM drops WHERE v - trunc(low) > 0.6) WHERE prior IS NULL OR prior <> spot""",
+    "cuts": """SELECT DISTINCT chrom, cut FROM (SELECT p.chrom, b.break_bin, arg_min(ord - 1, (abs(start - break_bin * 10000), ord)) AS cut FROM lplaced p JOIN points b ON b.chrom = p.chrom GROUP BY 1, 2)""",
     "lens": "SELECT n_chars AS len FROM documents",
     "seqs": "SELECT concat('seq', CAST(doc_id AS VARCHAR)) AS name, regexp_replace(translate(regexp_replace(text, '\\s', '', 'g'), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS seq FROM documents",
 }
@@ -267,12 +279,12 @@ def _(spark, d):
 
 @query(
     "a9_contact_map",
-    """SELECT c.chr1 AS x, c.chr2 AS y, ex.e + 2 * ey.e AS code, CASE WHEN ex.e = 0 THEN CAST(floor((c.pos1 - 1) / 10000) AS BIGINT) ELSE CAST(floor((100000 - c.pos1) / 10000) AS BIGINT) END AS bx,
-       CASE WHEN ey.e = 0 THEN CAST(floor((c.pos2 - 1) / 10000) AS BIGINT) ELSE CAST(floor((100000 - c.pos2) / 10000) AS BIGINT) END AS "by", count(*) AS n
-       FROM canon c, (VALUES (0), (1)) ex(e), (VALUES (0), (1)) ey(e) WHERE c.pos1 >= 1 AND c.pos2 >= 1 GROUP BY 1, 2, 3, 4, 5""",
+    """WITH c AS (SELECT chr1, chr2, least(pos1 - 1, a.len) AS p, least(pos2 - 1, b.len) AS q, a.len AS n, b.len AS m FROM canon JOIN contigs a ON a.contig = chr1 JOIN contigs b ON b.contig = chr2),
+       t AS (SELECT chr1 AS x, chr2 AS y, e + 2 * f AS code, (CASE WHEN e = 0 THEN p ELSE n - p END) // 10000 AS bx, (CASE WHEN f = 0 THEN q ELSE m - q END) // 10000 AS "by" FROM c, (VALUES (0), (1)) u(e), (VALUES (0), (1)) v(f))
+       SELECT x, y, code, CAST(bx AS BIGINT) AS bx, CAST("by" AS BIGINT) AS "by", CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM t UNION ALL SELECT x, y, code, "by", bx FROM t WHERE x = y AND bx <> "by") GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(spark, d):
-    return density.contact_map(D.contacts(spark, d).filter("pos1 >= 1 and pos2 >= 1"), D.contigs(spark, d), B)
+    return density.contact_map(D.contacts(spark, d), D.contigs(spark, d), B)
 
 
 @query("t3_g1_edges", "SELECT i, j, round(w, 9) AS w, code FROM edges")
@@ -381,33 +393,42 @@ def _(spark, d):
     return layout.adjacent(placed(spark, d))
 
 
-#: Derived contacts reach no further than 68 kb, so that the lower distance is less here than by default.
-NEAR = 40_000
+def long_placed(spark, d) -> DataFrame:
+    return layout.place(D.long_components(spark, d))
+
+
+def survey(spark, d) -> DataFrame:
+    return correct.surveyed(D.long_contacts(spark, d), long_placed(spark, d))
 
 
 @query("a10_e1_directionality", "SELECT * FROM ratio")
 def _(spark, d):
-    return correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), B, NEAR)
+    return correct.directionality(survey(spark, d), B)
 
 
 def signal(spark, d):
-    counts = correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), B, NEAR)
-    return correct.signal(counts, layout.sizes(placed(spark, d)), B)
+    return correct.signal(correct.directionality(survey(spark, d), B), layout.sizes(long_placed(spark, d)), B)
 
 
-@query(
-    "e2_signal",
-    """SELECT g.chrom, g.bin, round(log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)), 9) AS s
-       FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin""",
-)
+@query("e2_signal", "SELECT chrom, bin, round(s, 9) AS s FROM signal")
 def _(spark, d):
     return signal(spark, d).select("chrom", "bin", F.round("s", 9).alias("s"))
 
 
-@query("e3_break_points", """SELECT chrom, (spot + p + 50) / 2.0 AS break_bin FROM (SELECT *, lag(spot) OVER (PARTITION BY chrom ORDER BY p) AS prior FROM drops WHERE v - trunc(low) > 0.6) WHERE prior IS NULL OR prior <> spot""")
+@query("e3_break_points", "SELECT * FROM points")
+def _(spark, d):
+    return correct.break_points(signal(spark, d))
+
+
+@query(
+    "e1_e5_corrected_layout",
+    """WITH m AS (SELECT p.*, c.cut, max(CASE WHEN c.cut IS NOT NULL THEN 1 END) OVER (PARTITION BY p.chrom) AS hit, 1 + coalesce(sum(CASE WHEN c.cut > 0 THEN 1 END) OVER (PARTITION BY p.chrom ORDER BY p.ord), 0) AS piece
+         FROM lplaced p LEFT JOIN cuts c ON c.chrom = p.chrom AND c.cut = p.ord - 1)
+       SELECT CASE WHEN hit = 1 THEN chrom || '_break_' || CAST(piece AS BIGINT) ELSE chrom END AS chrom, CAST(row_number() OVER (PARTITION BY chrom, piece ORDER BY ord) AS INTEGER) AS ord, contig, len, orient FROM m""",
+)
 def _(spark, d):
-    fine = correct.directionality(layout.lift(D.contacts(spark, d), placed(spark, d)), 1000, NEAR)
-    return correct.break_points(correct.signal(fine, layout.sizes(placed(spark, d)), 1000))
+    p = long_placed(spark, d)
+    return correct.pieces(p, correct.snapped(correct.break_points(signal(spark, d)), p, B))
 
 
 @query(
@@ -565,9 +586,9 @@ def _(spark, d):
     return S.components_of(agp_rows(spark, d), ["chr0", "chr2"]).select("chrom", "contig", "len")
 
 
-@query("a11_same_bin_counts", "SELECT chr1 AS chrom, CAST(floor(pos1 / 10000) AS BIGINT) AS bin, count(*) AS n FROM lifted WHERE chr1 = chr2 AND floor(pos1 / 10000) = floor(pos2 / 10000) GROUP BY 1, 2")
+@query("a11_same_bin_counts", "SELECT chrom, CAST(pos1 // 10000 AS BIGINT) AS bin, count(*) AS n FROM survey WHERE abs(pos2 - pos1) <= 100000 AND pos1 // 10000 = pos2 // 10000 GROUP BY 1, 2")
 def _(spark, d):
-    return correct.same_bin(layout.lift(D.contacts(spark, d), placed(spark, d)), B)
+    return correct.same_bin(survey(spark, d), B)
 
 
 @query("t3_u3_mutual_top_two", "SELECT a.i, a.j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) a JOIN (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM norm) b ON a.i = b.j AND a.j = b.i WHERE a.k <= 2 AND b.k <= 2 AND a.i < a.j")
@@ -589,9 +610,7 @@ def _(spark, d):
 @query(
     "w9_w11_signal_windows",
     """SELECT chrom, bin, round(avg(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean,
-       round(min(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 40 PRECEDING AND CURRENT ROW), 9) AS low
-       FROM (SELECT g.chrom, g.bin, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
-         FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin)""",
+       round(min(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 40 PRECEDING AND CURRENT ROW), 9) AS low FROM signal""",
 )
 def _(spark, d):
     return correct.windows(signal(spark, d)).select("chrom", "bin", F.round("mean", 9).alias("mean"), F.round("low", 9).alias("low"))
@@ -599,9 +618,7 @@ def _(spark, d):
 
 @query(
     "w9_mirrored_mean",
-    """WITH g AS (SELECT g.chrom, g.bin, count(*) OVER (PARTITION BY g.chrom) AS n, log10((coalesce(down, 0) + 1) / (coalesce(up, 0) + 1)) AS s
-         FROM (SELECT chrom, unnest(range(CAST(floor(max("end") / 10000) AS BIGINT) + 1)) AS bin FROM placed GROUP BY chrom) g LEFT JOIN ratio r ON r.chrom = g.chrom AND r.bin = g.bin),
-       f AS (SELECT chrom, n, s, unnest([bin, CASE WHEN bin < 5 THEN -1 - bin END, CASE WHEN bin >= n - 4 THEN 2 * n - 1 - bin END]) AS bin FROM g)
+    """WITH f AS (SELECT chrom, n, s, unnest([bin, CASE WHEN bin < 5 THEN -1 - bin END, CASE WHEN bin >= n - 4 THEN 2 * n - 1 - bin END]) AS bin FROM signal)
        SELECT chrom, bin, mean FROM (SELECT chrom, bin, n, round(avg(s) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS mean FROM f WHERE bin IS NOT NULL) WHERE bin >= 0 AND bin < n""",
 )
 def _(spark, d):

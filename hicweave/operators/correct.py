@@ -4,23 +4,34 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floor_div
+from .layout import lift, sizes
 
 
-def directionality(lifted: DataFrame, bin_size: int, near: int = 100_000, far: int = 500_000) -> DataFrame:
-    """chrom, bin, down, up: contacts of a scaffold over middling distances, at the bin of their larger (down) and of
-    their smaller position (up)."""
-    inside = lifted.filter("chr1 = chr2").withColumn("d", F.abs(F.col("pos2") - F.col("pos1"))).filter((F.col("d") > near) & (F.col("d") < far))
+def surveyed(contacts: DataFrame, placed: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """Lifted contacts within one scaffold that is longer than `least` and is not just its first contact's contig: a
+    contig that was joined to nothing keeps its name as a scaffold. Only the layout of such scaffolds meets the contacts."""
+    long = sizes(placed).filter(F.col("size") > least).select("chrom")
+    on = placed.join(long, "chrom", "left_semi")
+    joined = on.filter("contig <> chrom").select(F.col("contig").alias("chr1"))
+    return lift(contacts.join(joined, "chr1", "left_semi"), on).filter("chr1 = chr2")
+
+
+def directionality(inside: DataFrame, bin_size: int, near: int = 100_000, far: int = 500_000) -> DataFrame:
+    """chrom, bin, down, up: surveyed contacts over middling distances, at the bin of their larger (down) and of their
+    smaller position (up)."""
+    inside = inside.withColumn("d", F.abs(F.col("pos2") - F.col("pos1"))).filter((F.col("d") > near) & (F.col("d") < far))
     at = inside.select(F.col("chr1").alias("chrom"), F.explode(F.array(F.struct(floor_div(F.greatest("pos1", "pos2"), bin_size).alias("bin"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(floor_div(F.least("pos1", "pos2"), bin_size).alias("bin"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("x"))
     return at.groupBy("chrom", F.col("x.bin").alias("bin")).agg(F.sum("x.down").alias("down"), F.sum("x.up").alias("up"))
 
 
-def signal(counts: DataFrame, sizes: DataFrame, bin_size: int) -> DataFrame:
-    """chrom, bin, s: log ratio for every bin of every scaffold."""
-    grid = sizes.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("size"), bin_size))).alias("bin"))
+def signal(counts: DataFrame, sizes_: DataFrame, bin_size: int) -> DataFrame:
+    """chrom, bin, s: log ratio for every bin of every scaffold that has counts."""
+    some = sizes_.join(counts.select("chrom").distinct(), "chrom", "left_semi")
+    grid = some.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("size"), bin_size))).alias("bin"))
     full = grid.join(counts, ["chrom", "bin"], "left").fillna(0, ["down", "up"])
     return full.select("chrom", "bin", F.log10((F.col("down") + 1) / (F.col("up") + 1)).alias("s"))
 
@@ -82,32 +93,47 @@ def break_points(signals: DataFrame) -> DataFrame:
 
 
 def snapped(points: DataFrame, placed: DataFrame, bin_size: int) -> DataFrame:
-    """chrom, cut: number of the part whose start is nearest to each break, the first of equals; parts count from 0."""
-    n = placed.select("chrom", (F.col("ord") - 1).alias("k"), "start").join(points, "chrom")
-    away = F.abs(F.col("start") - F.col("break_bin") * bin_size)
-    return n.groupBy("chrom", "break_bin").agg(F.min(F.struct(away.alias("d"), "k")).alias("m")).select("chrom", F.col("m.k").alias("cut")).distinct()
+    """chrom, cut: number of the part whose start is nearest to each break, the first of equals; parts count from 0.
+
+    Parts and breaks of a scaffold are laid in one order of position, and a break looks back to the last part and ahead to
+    the next one: each row is met once, whatever their numbers.
+    """
+    part = placed.select("chrom", F.col("start").cast("double").alias("at"), (F.col("ord") - 1).alias("k"), "start")
+    both = part.unionByName(points.select("chrom", (F.col("break_bin") * bin_size).cast("double").alias("at")).distinct(), allowMissingColumns=True)
+    # Of a part and a break at one place, the part comes first; parts with one start count as the first of them.
+    first = both.withColumn("k", F.when(F.col("k").isNotNull(), F.min("k").over(Window.partitionBy("chrom", "start"))))
+    w = Window.partitionBy("chrom").orderBy("at", F.col("k").isNull(), "k")
+    seen = F.struct("start", "k")
+    back = F.last(F.when(F.col("k").isNotNull(), seen), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(F.when(F.col("k").isNotNull(), seen), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = first.withColumns({"b": back, "a": ahead}).filter("k is null")
+    away = lambda c: F.abs(F.col(f"{c}.start") - F.col("at"))
+    cut = F.when(F.col("a").isNull() | (away("b") < away("a")), F.col("b.k")).when(F.col("b").isNull() | (away("a") < away("b")), F.col("a.k")).otherwise(F.least("a.k", "b.k"))
+    return near.select("chrom", cut.alias("cut")).filter("cut is not null").distinct()
 
 
 def pieces(placed: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(chrom, ord, contig, len, orient) with scaffolds cut before the given parts into {chrom}_break_1, _2 ..."""
-    from pyspark.sql import Window
-
-    at = cuts.filter("cut > 0").select("chrom", (F.col("cut") + 1).alias("ord"), F.lit(1).alias("c")).distinct()
-    marked = placed.join(at, ["chrom", "ord"], "left").withColumn("piece", F.coalesce(F.sum("c").over(Window.partitionBy("chrom").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + 1)
+    """(chrom, ord, contig, len, orient) with scaffolds cut before the given parts into {chrom}_break_1, _2 ...; scaffolds
+    without a cut keep their names, those with a cut before their first part alone become {chrom}_break_1."""
+    at = cuts.select("chrom", (F.col("cut") + 1).alias("ord"), F.lit(1).alias("c")).distinct()
+    marked = placed.join(at, ["chrom", "ord"], "left")
+    whole = Window.partitionBy("chrom")
+    before = F.sum(F.when(F.col("ord") > 1, F.col("c"))).over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumns({"piece": F.coalesce(before, F.lit(0)) + 1, "any": F.max("c").over(whole)})
+    name = F.when(F.col("any") == 1, F.concat("chrom", F.lit("_break_"), F.col("piece").cast("string"))).otherwise(F.col("chrom"))
     order = F.row_number().over(Window.partitionBy("chrom", "piece").orderBy("ord"))
-    return marked.withColumn("o", order).select(F.concat("chrom", F.lit("_break_"), F.col("piece").cast("string")).alias("chrom"), F.col("o").alias("ord"), "contig", "len", "orient")
+    return marked.withColumn("o", order).select(name.alias("chrom"), F.col("o").alias("ord"), "contig", "len", "orient")
 
 
-def same_bin(lifted: DataFrame, bin_size: int) -> DataFrame:
-    """chrom, bin, n: contacts of a scaffold with both ends in one bin."""
+def same_bin(inside: DataFrame, bin_size: int, near: int = 100_000) -> DataFrame:
+    """chrom, bin, n: surveyed contacts with both ends in one bin and no further apart than `near`."""
     a, b = floor_div(F.col("pos1"), bin_size), floor_div(F.col("pos2"), bin_size)
-    return lifted.filter("chr1 = chr2").filter(a == b).groupBy(F.col("chr1").alias("chrom"), a.alias("bin")).agg(F.count("*").alias("n"))
+    inside = inside.filter(F.abs(F.col("pos2") - F.col("pos1")) <= near)
+    return inside.filter(a == b).groupBy(F.col("chr1").alias("chrom"), a.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def windows(signals: DataFrame) -> DataFrame:
     """Adds mean over WIDTH neighbours (fewer at the edges) and low, the least of the BACK bins before and the bin."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("chrom").orderBy("bin")
     return signals.withColumns({"mean": F.avg("s").over(w.rowsBetween(-(WIDTH // 2), WIDTH - WIDTH // 2 - 1)), "low": F.min("s").over(w.rowsBetween(-BACK, 0))})
 
@@ -115,8 +141,6 @@ def windows(signals: DataFrame) -> DataFrame:
 def mirrored_mean(signals: DataFrame, size: int = WIDTH) -> DataFrame:
     """chrom, bin, mean: means over size neighbours, one more before than after where size is even, with the signal
     mirrored at both edges; bins count from 0 without a hole. The mirror images are rows of their own."""
-    from pyspark.sql import Window
-
     before, after = size // 2, size - 1 - size // 2
     n = F.max("bin").over(Window.partitionBy("chrom")) + 1
     image = lambda at, use: F.when(use, at)

@@ -37,10 +37,16 @@ def flagged(end_density: DataFrame, average: float, least: float = 30, share: fl
 
 
 def contact_map(contacts: DataFrame, contigs: DataFrame, bin_size: int) -> DataFrame:
-    """x, y, code, bx, by, n: binned contacts of pairs of contigs for the four ways to turn them."""
-    from .contacts import canonical, with_lengths
-
-    c = with_lengths(canonical(contacts.select("chr1", "pos1", "chr2", "pos2")), contigs)
-    bins = lambda p, n: F.array(F.struct(F.lit(0).alias("e"), floor_div(F.col(p) - 1, bin_size).alias("bin")), F.struct(F.lit(1).alias("e"), floor_div(F.col(n) - F.col(p), bin_size).alias("bin")))
+    """x, y, code, bx, by, n: binned contacts of pairs of contigs for the four ways to turn them. Positions count from 0 and
+    are clamped to the length; a turned axis counts from the length on. A contact within one contig also counts with its
+    two bins exchanged, where they differ."""
+    from .contacts import canonical
+
+    lengths = lambda c, n: contigs.select(F.col("contig").alias(c), F.col("len").alias(n))
+    c = canonical(contacts.select("chr1", "pos1", "chr2", "pos2")).join(lengths("chr1", "len1"), "chr1").join(lengths("chr2", "len2"), "chr2")
+    place = lambda p, n: F.least(F.col(p) - 1, F.col(n))
+    bins = lambda p, n: F.array(F.struct(F.lit(0).alias("e"), floor_div(place(p, n), bin_size).alias("bin")), F.struct(F.lit(1).alias("e"), floor_div(F.col(n) - place(p, n), bin_size).alias("bin")))
     c = c.select("chr1", "chr2", F.explode(bins("pos1", "len1")).alias("p"), bins("pos2", "len2").alias("q")).select("chr1", "chr2", "p", F.explode("q").alias("q"))
-    return c.groupBy(F.col("chr1").alias("x"), F.col("chr2").alias("y"), (F.col("p.e") + 2 * F.col("q.e")).alias("code"), F.col("p.bin").alias("bx"), F.col("q.bin").alias("by")).agg(F.count("*").alias("n"))
+    cells = c.groupBy(F.col("chr1").alias("x"), F.col("chr2").alias("y"), (F.col("p.e") + 2 * F.col("q.e")).alias("code"), F.col("p.bin").alias("bx"), F.col("q.bin").alias("by")).agg(F.count("*").alias("n"))
+    mirror = cells.filter("x = y and bx <> by").select("x", "y", "code", F.col("by").alias("bx"), F.col("bx").alias("by"), "n")
+    return cells.unionByName(mirror).groupBy("x", "y", "code", "bx", "by").agg(F.sum("n").alias("n"))

@@ -47,6 +47,11 @@ def initial(contigs: DataFrame) -> DataFrame:
     return contigs.select(F.col("contig").alias("chrom"), F.lit(1).cast("long").alias("start"), F.col("len").alias("end"), F.lit(1).alias("ord"), F.lit("W").alias("tag"), "contig", F.lit(1).cast("long").alias("contig_start"), F.col("len").alias("contig_end"), F.lit(0).alias("orient"))
 
 
+def round_rows(placed: DataFrame) -> DataFrame:
+    """Nine-column rows of a round's layout: parts alone, orientation as 0 or 1."""
+    return placed.select("chrom", "start", "end", F.lit(1).alias("ord"), F.lit("W").alias("tag"), "contig", F.lit(1).cast("long").alias("contig_start"), F.col("len").alias("contig_end"), "orient")
+
+
 def renumbered(placed: DataFrame) -> DataFrame:
     """Scaffolds named scaffold_1, scaffold_2 ... by falling size; the smaller first contig comes first of equals. The
     ranking is over scaffolds, not parts, by ranges of their sizes."""

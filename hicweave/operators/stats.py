@@ -103,6 +103,18 @@ def placed_pieces(placed: DataFrame, seqs: DataFrame, gap: int = 100, size: int
     return part.select("chrom", "ord", F.posexplode(pieces).alias("piece", "seq"))
 
 
+def placed_lines(placed: DataFrame, pieces: DataFrame, gap: int = 100) -> DataFrame:
+    """chrom, ord, place, value: the pieces (name, offset, piece) of contigs where they lie on scaffolds, reversed ones
+    complemented and in falling order, and N behind each contig but the last. Ordered, they are the scaffolds."""
+    last = placed.groupBy("chrom").agg(F.max("ord").alias("_last"))
+    part = placed.join(last, "chrom").select("chrom", "ord", "contig", "orient", "_last")
+    at = part.join(pieces.filter("piece <> ''").select(F.col("name").alias("contig"), "offset", "piece"), "contig")
+    turned = F.col("orient") == 1
+    lines = at.select("chrom", "ord", F.when(turned, -F.col("offset") - 1).otherwise(F.col("offset")).alias("place"), F.when(turned, reverse_complement(F.col("piece"))).otherwise(F.col("piece")).alias("value"))
+    gaps = part.filter("ord < _last").select("chrom", "ord", F.lit((1 << 63) - 1).alias("place"), F.lit("N" * gap).alias("value"))
+    return lines.unionByName(gaps) if gap else lines
+
+
 def chunks(seqs: DataFrame, size: int) -> DataFrame:
     """name, seq: pieces of size, named by name, start and end (from 0); pieces of N alone are left out."""
     at = seqs.filter(F.length("seq") > 0).select("name", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(size))).alias("a"))

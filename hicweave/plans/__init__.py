@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import contacts as C
 from ..operators import correct, density, graph, layout, score
 from ..operators.tables import spent
+from ..sources.text import write_agp
 
 
 @dataclass(frozen=True)
@@ -22,17 +23,52 @@ class Config:
     error_correction: bool = False
     #: Contacts that a contig's best pair must exceed.
     least_score: int = 30
-    #: Distances, in bases, between which contacts tell misjoins.
+    #: Scaffolds longer than this are looked at for misjoins, and distances, in bases, between which contacts tell them.
+    survey_least: int = 1_000_000
     near: int = 100_000
     far: int = 500_000
-    #: A round that leaves fewer scaffolds than asked for ends the run; its layout is the result, or, with this, the one before.
-    enough: bool = False
+    #: Which layout is the result when a round, but the first, leaves fewer scaffolds than asked for: that of the round
+    #: before, of this "last" round, or of "two_before".
+    stop: str = "before"
     #: The triangle outgrows any scaffold long before.
     most_rounds: int = 60
 
     def __post_init__(self) -> None:
         if self.triangle < 2:
             raise ValueError("a triangle of 1 never grows")
+        if self.stop not in ("before", "last", "two_before"):
+            raise ValueError("stop is before, last or two_before")
+
+
+@dataclass(frozen=True)
+class Rounds:
+    """The rounds of a run in a folder: of round k the blocks, as a table and as {k}.agp, and, written last, {k}.done, which
+    states the settings. A round without it does not count, so that a run cut off at any moment goes on from whole rounds.
+    """
+
+    folder: str
+
+    def _done(self, spark, number: int) -> str | None:
+        path = f"{self.folder}/{number}.done"
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return spark.read.text(path).collect()[0].value if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+    def found(self, spark, number: int, config: Config) -> DataFrame | None:
+        """The blocks of a whole round, or None."""
+        said = self._done(spark, number)
+        if said is not None and said != str(config):
+            raise ValueError(f"round {number} was made with other settings: {said}")
+        return None if said is None else spark.read.parquet(f"{self.folder}/{number}.blocks")
+
+    def commit(self, number: int, blocks: DataFrame, config: Config) -> None:
+        blocks.write.mode("overwrite").parquet(f"{self.folder}/{number}.blocks")
+        write_agp(layout.round_rows(layout.place(blocks, config.gap)), f"{self.folder}/{number}.agp")
+        blocks.sparkSession.createDataFrame([(str(config),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{number}.done")
+
+    def clear(self, spark) -> None:
+        """Forgets the rounds of an earlier run."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def pair_scores(contacts: DataFrame, contigs: DataFrame, average: float, config: Config, triangle: int) -> DataFrame:
@@ -67,36 +103,51 @@ def one_round(contacts: DataFrame, contigs: DataFrame, average: float, config: C
     return named.join(contigs, "contig").select("chrom", "ord", "contig", "len", "orient")
 
 
-def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config()) -> DataFrame:
+def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config(), rounds: Rounds | None = None) -> DataFrame:
     """Final parts (chrom, ord, contig, len, orient, start, end), scaffolds numbered by falling size.
 
-    A round lifts the contacts once, to a table that its readers share; layouts are composed, and contigs too short for a
-    round come back as scaffolds of their own.
+    A round lifts the first contacts by the layout so far, to a table that its readers share; layouts are composed, and
+    contigs too short for a round come back as scaffolds of their own. With `rounds`, each round's blocks are committed,
+    and a run goes on behind the last whole round that it finds there.
     """
     contacts = graph.settled(contacts.select("chr1", "pos1", "chr2", "pos2"), "contacts")
     average = average_links(contacts, contigs, config)
-    whole = contigs.select(F.col("contig").alias("chrom"), F.lit(1).alias("ord"), "contig", "len", F.lit(0).alias("orient"))
-    now, lengths, triangle = contacts, contigs, config.triangle
+    wholes = [contigs.select(F.col("contig").alias("chrom"), F.lit(1).alias("ord"), "contig", "len", F.lit(0).alias("orient"))]
+    lengths, now, triangle, before = contigs, contacts, config.triangle, None
     for number in range(config.most_rounds):
-        fit = C.eligible(lengths, config.bin_size, triangle).count()
-        if fit <= config.clusters:
+        blocks = rounds.found(contacts.sparkSession, number, config) if rounds else None
+        if blocks is None:
+            if C.eligible(lengths, config.bin_size, triangle).count() <= config.clusters:
+                break
+            if now is None:  # contacts on the scaffolds that go into this round; others went with an earlier one
+                there = wholes[-1].join(lengths.select(F.col("contig").alias("chrom")), "chrom", "left_semi")
+                now = graph.settled(layout.lift(contacts, layout.place(there, config.gap)), "lifted")
+            blocks = graph.settled(one_round(now, lengths, average, config, triangle, number), "blocks")
+            if config.error_correction:
+                whole, blocks = blocks, graph.settled(corrected(now, blocks, config), "blocks")
+                spent(whole)
+            if rounds:
+                rounds.commit(number, blocks, config)
+            if now is not contacts:
+                spent(now)
+        wholes.append(graph.settled(layout.compose(wholes[-1], blocks), "whole"))
+        sizes = layout.sizes(layout.place(blocks, config.gap))
+        last, lengths = lengths, graph.settled(sizes.select(F.col("chrom").alias("contig"), F.col("size").alias("len")), "lengths")
+        if last is not contigs:
+            spent(last)
+        now, count = None, lengths.count()
+        if before is not None and count < config.clusters <= before:
+            wholes = wholes[: len(wholes) - {"last": 0, "before": 1, "two_before": 2}[config.stop]]
             break
-        blocks = graph.settled(one_round(now, lengths, average, config, triangle, number), "blocks")
-        placed = layout.place(blocks, config.gap)
-        if config.error_correction:
-            moved = layout.lift(now, placed)
-            signal = correct.signal(correct.directionality(moved, config.bin_size, config.near, config.far), layout.sizes(placed), config.bin_size)
-            cuts = correct.snapped(correct.break_points(signal), placed, config.bin_size)
-            blocks = graph.settled(correct.pieces(placed, cuts), "blocks")
-        before, whole = whole, graph.settled(layout.compose(whole, blocks), "whole")
-        placed = graph.settled(layout.place(blocks, config.gap), "placed")
-        old, now = now, graph.settled(layout.lift(now, placed), "lifted")
-        spent(old)
-        lengths = graph.settled(layout.sizes(placed).select(F.col("chrom").alias("contig"), F.col("size").alias("len")), "lengths")
-        if lengths.count() < config.clusters <= fit:
-            whole = before if config.enough else whole
-            break
-        triangle = round(triangle * 1.4)
+        before, triangle = count, round(triangle * 1.4)
     else:
         raise RuntimeError(f"not settled after {config.most_rounds} rounds")
-    return layout.renumbered(layout.place(whole, config.gap))
+    return layout.renumbered(layout.place(wholes[-1], config.gap))
+
+
+def corrected(contacts: DataFrame, blocks: DataFrame, config: Config) -> DataFrame:
+    """Blocks broken where the contacts of long ones show a misjoin."""
+    placed = layout.place(blocks, config.gap)
+    counts = correct.directionality(correct.surveyed(contacts, placed, config.survey_least), config.bin_size, config.near, config.far)
+    points = correct.break_points(correct.signal(counts, layout.sizes(placed), config.bin_size))
+    return correct.pieces(placed, correct.snapped(points, placed, config.bin_size))

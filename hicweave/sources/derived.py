@@ -6,10 +6,13 @@ number % 3 = 1 are reversed. Each line item stands for COPIES contacts of its su
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import floor_div
+from ..operators.tables import settled
 
 CONTIG_LENGTH = 100_000
 PER_CHROMOSOME = 5
@@ -33,19 +36,103 @@ def known_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(_name(F.col("s_suppkey")).alias("contig"))
 
 
+#: Stored tables of a session: by the application, the name and the folder that they were derived from.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(make):
+    """A derived table that a session works out once for each folder. Its expressions would otherwise be written into each
+    condition on it; read back, it is four columns."""
+
+    @functools.wraps(make)
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+        if key not in _STORED:
+            _STORED[key] = settled(make(spark, sf_dir), make.__name__)
+        return _STORED[key]
+
+    return found
+
+
+def _line_items(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
+    """k1, q (1 to 50), number and x, which tell items apart: `copies` rows for each line item."""
+    line = read(spark, sf_dir, "lineitem").withColumn("c", F.explode(F.array(*[F.lit(c) for c in range(copies)])))
+    number = F.col("l_partkey").cast("long") * 7919 + F.col("l_orderkey").cast("long") * 104729 + F.col("l_linenumber").cast("long") * 15485863 + F.col("c") * 611953
+    return line.select(F.col("l_suppkey").cast("long").alias("k1"), ((F.col("l_quantity").cast("long") + 7 * F.col("c") - 1) % 50 + 1).alias("q"), number.alias("number"), F.col("l_orderkey").cast("long").alias("x"))
+
+
+def _turned(k: str, o: str, length: Column | int = CONTIG_LENGTH) -> Column:
+    return F.when(F.col(k) % 3 == 1, length - F.col(o)).otherwise(F.col(o) + 1)
+
+
+@stored
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").withColumn("c", F.explode(F.array(*[F.lit(c) for c in range(COPIES)])))
-    line = line.withColumn("q", (F.col("l_quantity").cast("long") + 7 * F.col("c") - 1) % 50 + 1)
+    line = _line_items(spark, sf_dir, COPIES)
     far = F.col("q") - 35
-    line = line.select(
-        F.col("l_suppkey").cast("long").alias("k1"),
-        ((F.col("l_partkey").cast("long") * 7919 + F.col("l_orderkey").cast("long") * 104729 + F.col("l_linenumber").cast("long") * 15485863 + F.col("c") * 611953) % CONTIG_LENGTH).alias("o1"),
-        F.when(F.col("q") <= 35, F.col("q") * 200 + F.col("l_orderkey") % 200).otherwise(far * far * 300 + F.col("l_orderkey") % 300).alias("d"),
-    )
+    line = line.select("k1", (F.col("number") % CONTIG_LENGTH).alias("o1"), F.when(F.col("q") <= 35, F.col("q") * 200 + F.col("x") % 200).otherwise(far * far * 300 + F.col("x") % 300).alias("d"))
     line = line.withColumns({"k2": F.col("k1") + floor_div(F.col("o1") + F.col("d"), CONTIG_LENGTH), "o2": (F.col("o1") + F.col("d")) % CONTIG_LENGTH})
     line = line.filter(floor_div(F.col("k1"), PER_CHROMOSOME) == floor_div(F.col("k2"), PER_CHROMOSOME))  # contacts beyond a chromosome go
-    place = lambda k, o: F.when(F.col(k) % 3 == 1, CONTIG_LENGTH - F.col(o)).otherwise(F.col(o) + 1)
-    return line.select(_name(F.col("k1")).alias("chr1"), place("k1", "o1").alias("pos1"), _name(F.col("k2")).alias("chr2"), place("k2", "o2").alias("pos2"))
+    return line.select(_name(F.col("k1")).alias("chr1"), _turned("k1", "o1").alias("pos1"), _name(F.col("k2")).alias("chr2"), _turned("k2", "o2").alias("pos2"))
+
+
+#: Of each LONG_GROUP suppliers, the first 15 are a chromosome, the next 12, the next 5, and the last one is a contig of
+#: LONE_LENGTH bases by itself.
+LONG_GROUP, LONE_LENGTH = 33, 1_500_000
+
+
+def _long_place(k: Column) -> tuple[Column, Column]:
+    """Chromosome (A, B, C or D, with the number of the group) and place in it, from 0."""
+    g, r = floor_div(k, LONG_GROUP), k % LONG_GROUP
+    letter = F.when(r < 15, "A").when(r < 27, "B").when(r < 32, "C").otherwise("D")
+    return F.concat(F.lit("lng"), g.cast("string"), letter), F.when(r < 15, r).when(r < 27, r - 15).when(r < 32, r - 27).otherwise(0)
+
+
+def long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planted layout with scaffolds of more and of less than a megabase: chrom, ord, contig, len, orient. A lone contig
+    is a scaffold of its own name."""
+    k = F.col("s_suppkey").cast("long")
+    chrom, place = _long_place(k)
+    alone = k % LONG_GROUP == LONG_GROUP - 1
+    return read(spark, sf_dir, "supplier").select(
+        F.when(alone, _name(k)).otherwise(chrom).alias("chrom"), (place + 1).cast("int").alias("ord"), _name(k).alias("contig"),
+        F.when(alone, LONE_LENGTH).otherwise(CONTIG_LENGTH).cast("long").alias("len"), F.when((k % 3 == 1) & ~alone, 1).otherwise(0).alias("orient"),
+    )
+
+
+@stored
+def long_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of up to 600 kb on the long layout. In the first chromosome of every other group nothing over 50 kb crosses
+    the bound between the seventh and the eighth contig: a misjoin."""
+    line = _line_items(spark, sf_dir, COPIES)
+    far = F.col("q") - 25
+    alone = F.col("k1") % LONG_GROUP == LONG_GROUP - 1
+    span = F.when(alone, LONE_LENGTH).otherwise(CONTIG_LENGTH)
+    chrom, place = _long_place(F.col("k1"))
+    line = line.select("k1", alone.alias("alone"), chrom.alias("c1"), place.alias("p1"), (F.col("number") % span).alias("o1"), F.when(F.col("q") <= 25, F.col("q") * 200 + F.col("x") % 200).otherwise(far * far * 960 + F.col("x") % 960).alias("d"))
+    line = line.withColumns({"a": F.col("p1") * CONTIG_LENGTH + F.col("o1"), "b": F.col("p1") * CONTIG_LENGTH + F.col("o1") + F.col("d")})
+    line = line.withColumns({"k2": F.when(F.col("alone"), F.col("k1")).otherwise(F.col("k1") - F.col("p1") + floor_div(F.col("b"), CONTIG_LENGTH)), "o2": F.when(F.col("alone"), F.col("b")).otherwise(F.col("b") % CONTIG_LENGTH)})
+    line = line.filter((F.col("alone") & (F.col("b") < LONE_LENGTH)) | (~F.col("alone") & (F.col("c1") == _long_place(F.col("k2"))[0])))
+    misjoin = (F.substring(F.col("c1"), -1, 1) == "A") & (floor_div(F.col("k1"), LONG_GROUP) % 2 == 0) & (F.col("a") < 7 * CONTIG_LENGTH) & (F.col("b") >= 7 * CONTIG_LENGTH) & (F.col("d") > 50_000)
+    line = line.filter(~misjoin)
+    turn = lambda k, o: F.when(F.col("alone"), F.col(o) + 1).otherwise(_turned(k, o))
+    return line.select(_name(F.col("k1")).alias("chr1"), turn("k1", "o1").alias("pos1"), _name(F.col("k2")).alias("chr2"), turn("k2", "o2").alias("pos2"))
+
+
+#: Contigs of a chromosome that takes two rounds, and copies of a line item there.
+PER_STEPPED, STEPPED_COPIES = 4, 8
+
+
+@stored
+def stepped_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts on chromosomes of four contigs. Between the second and the third none lies within a triangle of three bins
+    of 10 kb, so that a first round joins pairs and a second one, whose triangle is larger, the pairs."""
+    line = _line_items(spark, sf_dir, STEPPED_COPIES)
+    line = line.select("k1", (F.col("number") % CONTIG_LENGTH).alias("o1"), F.when(F.col("q") <= 25, F.col("q") * 200 + F.col("x") % 200).otherwise(20_000 + (F.col("q") - 25) * 1000 + F.col("x") % 1000).alias("d"))
+    line = line.withColumns({"k2": F.col("k1") + floor_div(F.col("o1") + F.col("d"), CONTIG_LENGTH), "o2": (F.col("o1") + F.col("d")) % CONTIG_LENGTH})
+    line = line.filter(floor_div(F.col("k1"), PER_STEPPED) == floor_div(F.col("k2"), PER_STEPPED))
+    weak = (F.col("k1") % PER_STEPPED == 1) & (F.col("k2") % PER_STEPPED == 2)
+    line = line.filter(~weak | (floor_div(CONTIG_LENGTH - F.col("o1"), 10_000) + floor_div(F.col("o2") + 1, 10_000) >= 3))
+    return line.select(_name(F.col("k1")).alias("chr1"), _turned("k1", "o1").alias("pos1"), _name(F.col("k2")).alias("chr2"), _turned("k2", "o2").alias("pos2"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.contacts import canonical
-from ..operators.stats import assembly_text, placed_pieces, report_lines
-from ..operators.tables import numbered
+from ..operators.stats import assembly_text, placed_lines, placed_pieces, report_lines
+from ..operators.tables import numbered, running, settled
 
 FIELDS = ["str1", "chr1", "pos1", "frag1", "str2", "chr2", "pos2", "frag2"]
 AGP = "chrom string, start long, end long, ord int, tag string, contig string, contig_start string, contig_end string, orient string"
@@ -55,7 +55,72 @@ def read_agp(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
 
 
 def write_agp(agp: DataFrame, path: str) -> None:
-    agp.coalesce(1).sortWithinPartitions("chrom", "start", "ord").write.mode("overwrite").csv(path, sep="\t", header=False)
+    """Rows in order, in one file: one task writes it, what lies behind is computed by many."""
+    agp.repartition(1).sortWithinPartitions("chrom", "start", "ord").write.mode("overwrite").csv(path, sep="\t", header=False)
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """split, at, value: lines of the files of a path with the number of the split that they were read in, from 1 in order
+    of files and places, and their place in it, from 0. A split's rows follow each other as they were read."""
+    raw = spark.read.text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("id"), "value")
+    raw = settled(raw, "lines")
+    splits = raw.groupBy("s").agg(F.min("id").alias("first"))
+    splits = numbered(splits.select("s.file_path", "s.file_block_start", "first"), ["file_path", "file_block_start"], "split")
+    splits = splits.select(F.struct("file_path", "file_block_start").alias("s"), "first", "split")
+    return raw.join(splits, "s").select("split", (F.col("id") - F.col("first")).alias("at"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, value: lines are counted by split, and those of the splits before are added."""
+    lines = split_lines(spark, path)
+    counts = lines.groupBy("split").agg(F.count("*").alias("n"))
+    begins = running(counts, ["split"], {"begin": F.col("n")}).select("split", "begin")
+    return lines.join(begins, "split").select((F.col("begin") + F.col("at") + 1).alias("line_no"), "value")
+
+
+def read_assembly(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(idx, contig, len) and (chain, place, idx, reversed) of the .assembly text in a file, or in the files of a folder
+    in the order of their names."""
+    return assembly_lines(numbered_lines(spark, path))
+
+
+def fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """name, record, offset, piece: each line of sequence with the record that it belongs to and its offset there, from 0,
+    and an empty piece for each record's header; records count from 1. A record of any length is read by as many tasks as its file has splits, and never a row.
+
+    Each split finds its own headers and the lengths behind them; what lies before its first header belongs to the last
+    record of a split before, which one row for each split tells.
+    """
+    lines = split_lines(spark, path)
+    header = F.startswith("value", F.lit(">"))
+    lines = lines.select("split", "at", header.alias("header"), F.when(header, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), F.when(~header, F.regexp_replace("value", r"\s", "")).alias("piece"))
+    inside = Window.partitionBy("split").orderBy("at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({"own": F.coalesce(F.sum(F.col("header").cast("long")).over(upto), F.lit(0)), "size": F.coalesce(F.length("piece"), F.lit(0)).cast("long")})
+    before = Window.partitionBy("split", "own").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = settled(lines.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))), "pieces")
+    tails = lines.groupBy("split").agg(F.max("own").alias("headers"), F.max_by("name", F.when(F.col("header"), F.col("at"))).alias("last"))
+    open_ = lines.join(tails, "split").filter("own = headers").groupBy("split").agg(F.sum("size").alias("tail"))
+    tails = tails.join(open_, "split")
+    sums = running(tails, ["split"], {"records": F.col("headers"), "done": F.col("tail"), "marks": (F.col("headers") > 0).cast("long")})
+    # Splits up to the next one with a header carry one record on: what is open there is the tails since that header.
+    ends = sums.filter("headers > 0").select((F.col("marks") + 1).alias("marks"), F.col("last").alias("carried"), F.col("done").alias("since"))
+    begins = sums.join(ends, "marks", "left").select("split", "records", "carried", (F.col("done") - F.col("since")).alias("ahead"))
+    first = lines.filter("header").select("split", F.col("own"), F.col("name").alias("named"))
+    out = lines.filter("header or size > 0").withColumn("piece", F.coalesce("piece", F.lit(""))).join(begins, "split").join(first, ["split", "own"], "left")
+    return out.filter("records + own > 0").select(
+        F.when(F.col("own") > 0, F.col("named")).otherwise(F.col("carried")).alias("name"), (F.col("records") + F.col("own")).alias("record"),
+        F.when(F.col("own") > 0, F.col("offset")).otherwise(F.col("offset") + F.col("ahead")).alias("offset"), "piece",
+    )
+
+
+def fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """name, record, len of every record, from pieces: partial sums, no record in a row."""
+    return lengths_of(fasta_pieces(spark, path))
+
+
+def lengths_of(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("name", "record").agg(F.sum(F.length("piece")).cast("long").alias("len"))
 
 
 def assembly_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +134,7 @@ def assembly_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_sizes(sizes: DataFrame, path: str) -> None:
-    sizes.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=False)
+    sizes.repartition(1).sortWithinPartitions(*sizes.columns).write.mode("overwrite").csv(path, sep="\t", header=False)
 
 
 def write_fasta(records: DataFrame, path: str, prefix: int = 9) -> None:
@@ -80,7 +145,7 @@ def write_fasta(records: DataFrame, path: str, prefix: int = 9) -> None:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """(line_no, value) as one text."""
-    lines.coalesce(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(path)
+    lines.repartition(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(path)
 
 
 def write_assembly(parts: DataFrame, path: str) -> None:
@@ -107,6 +172,15 @@ def write_scaffolds(placed: DataFrame, seqs: DataFrame, path: str, gap: int = 10
     pieces.unionByName(heads).orderBy(number, "chrom", "ord", "piece").select("value").write.mode("overwrite").text(path)
 
 
+def write_scaffold_lines(placed: DataFrame, pieces: DataFrame, path: str, gap: int = 100, prefix: int = 9) -> None:
+    """The same from sequences in pieces (name, offset, piece), as fasta_pieces gives them: neither a scaffold nor a
+    contig is ever one row."""
+    lines = placed_lines(placed, pieces, gap)
+    heads = placed.select("chrom").distinct().select("chrom", F.lit(-1).alias("ord"), F.lit(0).cast("long").alias("place"), F.concat(F.lit(">"), "chrom").alias("value"))
+    number = F.expr(f"try_cast(substr(chrom, {prefix + 1}) as int)")
+    lines.select("chrom", "ord", "place", "value").unionByName(heads).orderBy(number, "chrom", "ord", "place").select("value").write.mode("overwrite").text(path)
+
+
 def review_bundle(contacts: DataFrame, parts: DataFrame, folder: str) -> None:
     """What the review tool opens: review.assembly, the contacts on one long scaffold, and its size."""
     from ..operators import layout

@@ -315,7 +315,7 @@ def test_planted_order_is_recovered(spark):
 def test_a_run_with_error_correction(spark):
     """Each step of a round by itself, and cuts where the signal of the joined scaffolds has them."""
     contacts_, contigs, order = planted(spark, [7, 4])
-    config = Config(clusters=4, bin_size=2000, triangle=5, error_correction=True, near=1000, far=12_000)
+    config = Config(clusters=4, bin_size=2000, triangle=5, error_correction=True, near=1000, far=12_000, survey_least=200_000)
     got = chromosomes(scaffold(contacts_, contigs, config))
     average = plans.average_links(contacts_, contigs, config)
     blocks = settled(plans.one_round(contacts_, contigs, average, config, 5, 0))
@@ -329,38 +329,186 @@ def test_a_run_with_error_correction(spark):
         n = part.end.max() // 2000 + 1
         down = np.bincount(np.maximum(own.pos1, own.pos2) // 2000, minlength=n)
         up = np.bincount(np.minimum(own.pos1, own.pos2) // 2000, minlength=n)
-        found = brute_breaks(np.log10((down + 1) / (up + 1)).tolist())
+        found = brute_breaks(np.log10((down + 1) / (up + 1)).tolist()) if part.end.max() > 200_000 else []
         starts = part.start.tolist()
         cuts = sorted({min(range(len(starts)), key=lambda k: (abs(starts[k] - b * 2000), k)) for b in found} - {0})
         parts = list(zip(part.contig, part.orient))
         want += [parts[a:b] for a, b in zip([0, *cuts], [*cuts, len(parts)])]
     assert len(want) >= 2 and sum(map(len, want)) == 11
-    one = layout.place(blocks, config.gap)
-    signal = correct.signal(correct.directionality(layout.lift(contacts_, one), 2000, 1000, 12_000), layout.sizes(one), 2000)
-    assert chromosomes(correct.pieces(one, correct.snapped(correct.break_points(signal), one, 2000))) == sorted(want)
+    assert chromosomes(plans.corrected(contacts_, blocks, config)) == sorted(want)
     assert sorted(c for x in got for c, _ in x) == sorted(c for x in order for c, _ in x)
 
 
-def test_a_stop_by_clusters_may_keep_enough(spark):
-    contacts_, contigs, order = planted(spark, [4, 2])
-    few = Config(clusters=3, bin_size=2000, triangle=5)
-    assert either_way(chromosomes(scaffold(contacts_, contigs, few))) == either_way(order)
-    assert len(chromosomes(scaffold(contacts_, contigs, replace(few, enough=True)))) == 6
+def test_survey_wants_long_scaffolds_of_other_names(spark):
+    """Contacts on a short scaffold, and on a long contig that was joined to nothing, tell nothing."""
+    parts = spark.createDataFrame([("long", 1, "a", 600, 0), ("long", 2, "b", 600, 1), ("short", 1, "c", 300, 0), ("short", 2, "d", 300, 0), ("e", 1, "e", 5000, 0)], "chrom string, ord int, contig string, len long, orient int")
+    c = spark.createDataFrame([("a", 10, "a", 215), ("a", 500, "b", 590), ("b", 1, "b", 30), ("c", 1, "d", 1), ("e", 1, "e", 150), ("a", 1, "c", 1), ("a", 1, "zz", 1)], "chr1 string, pos1 long, chr2 string, pos2 long")
+    inside = correct.surveyed(c, layout.place(parts, 0), 1000)
+    assert rows(inside.select("chr1", "pos1", "pos2")) == [("long", 10, 215), ("long", 500, 611), ("long", 1200, 1171)]
+    assert rows(correct.directionality(inside, 100, 100, 500)) == [("long", 0, 0, 1), ("long", 2, 1, 0), ("long", 5, 0, 1), ("long", 6, 1, 0)]
+    assert rows(correct.same_bin(inside, 1000, 50)) == [("long", 1, 1)] and rows(correct.same_bin(inside, 1000, 20)) == []
+    assert correct.surveyed(c, layout.place(parts, 0), 1200).count() == 0  # longer, not as long
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_breaks_snap_to_the_nearest_part(spark, seed):
+    rng = np.random.default_rng(seed)
+    starts = {c: np.cumsum(rng.integers(0, 40, n)).tolist() for c, n in (("a", 1), ("b", 7), ("c", 40), ("d", 5))}
+    points = [(c, float(rng.integers(0, 120) / 2)) for c in ("a", "b", "c", "zz") for _ in range(25)]
+    placed = spark.createDataFrame([(c, k + 1, int(x)) for c, s in starts.items() for k, x in enumerate(s)], "chrom string, ord int, start long")
+    want = {(c, min(range(len(starts[c])), key=lambda k: (abs(starts[c][k] - b * 10), k))) for c, b in points if c in starts}
+    assert rows(correct.snapped(spark.createDataFrame(points, "chrom string, break_bin double"), placed, 10)) == sorted(want)
+
+
+def test_pieces_keep_the_names_of_whole_scaffolds(spark):
+    schema = "chrom string, ord int, contig string, len long, orient int"
+    placed = spark.createDataFrame([(c, k, f"{c}{k}", 5, 0) for c in "xyz" for k in (1, 2, 3)], schema)
+    cuts = spark.createDataFrame([("x", 0), ("x", 2), ("y", 0)], "chrom string, cut int")
+    got = sorted((r.chrom, r.ord, r.contig) for r in correct.pieces(placed, cuts).collect())
+    assert got == [("x_break_1", 1, "x1"), ("x_break_1", 2, "x2"), ("x_break_2", 1, "x3"), *[("y_break_1", k, f"y{k}") for k in (1, 2, 3)], *[("z", k, f"z{k}") for k in (1, 2, 3)]]
+
+
+def test_contact_map_of_one_contig(spark):
+    """Axes from 0, turned ones from the length on, both sides of the diagonal."""
+    contigs = spark.createDataFrame([("a", 100_000)], "contig string, len long")
+    c = spark.createDataFrame([("a", 1, "a", 25_001), ("a", 7, "a", 200_000)], "chr1 string, pos1 long, chr2 string, pos2 long")
+    got = rows(density.contact_map(c.limit(1), contigs, 10_000).select("code", "bx", "by", "n"))
+    assert got == [(0, 0, 2, 1), (0, 2, 0, 1), (1, 2, 10, 1), (1, 10, 2, 1), (2, 0, 7, 1), (2, 7, 0, 1), (3, 7, 10, 1), (3, 10, 7, 1)]
+    assert (0, 0, 10, 1) in rows(density.contact_map(c, contigs, 10_000).select("code", "bx", "by", "n"))  # clamped to the length
+
+
+def test_a_stop_by_clusters(spark):
+    """A second round leaves fewer scaffolds than asked for: the first one's layout stays, or the second one's, or none."""
+    contacts_, contigs, order = stepped(spark)
+    few = Config(clusters=2, bin_size=2000, triangle=4)
+    assert [len(x) for x in chromosomes(scaffold(contacts_, contigs, few))] == [2, 2, 2]
+    assert either_way(chromosomes(scaffold(contacts_, contigs, replace(few, stop="last")))) == either_way(order)
+    assert [len(x) for x in chromosomes(scaffold(contacts_, contigs, replace(few, stop="two_before")))] == [1] * 6
     with pytest.raises(RuntimeError):
-        scaffold(contacts_, contigs, replace(few, clusters=1, most_rounds=1))
+        scaffold(contacts_, contigs, replace(few, most_rounds=1))
+    with pytest.raises(ValueError):
+        Config(stop="never")
+    # The first round by itself never ends a run by the number of its scaffolds.
+    assert len(chromosomes(scaffold(contacts_, contigs, replace(few, clusters=5)))) == 3
+
+
+def stepped(spark):
+    """Six contigs; between the second and the third, and the fourth and the fifth, no contact lies within a triangle of
+    four bins, so that a first round joins pairs, and a second one the pairs."""
+    contacts_, contigs, order = planted(spark, [6], each=20_000)
+    flip = dict(order[0])
+
+    def inward(contig, pos, right):  # bins of a position from the right or the left end of a contig as it lies
+        p = 40_000 - pos + 1 if flip[contig] else pos
+        return floor_div(40_000 - p + 1 if right else p, 2000)
+
+    for left, right in (("c01", "c02"), ("c03", "c04")):
+        near = inward(left, F.col("pos1"), True) + inward(right, F.col("pos2"), False) < 4
+        contacts_ = contacts_.filter(~((F.col("chr1") == left) & (F.col("chr2") == right) & near))
+    return settled(contacts_), contigs, order
+
+
+def test_a_run_goes_on_from_whole_rounds(spark, tmp_path, monkeypatch):
+    contacts_, contigs, order = stepped(spark)
+    config, rounds = Config(clusters=1, bin_size=2000, triangle=4), plans.Rounds(str(tmp_path / "r"))
+    whole = rows(scaffold(contacts_, contigs, config))
+    one_round = plans.one_round
+
+    def dies(now, lengths, average, config_, triangle, number):
+        if number == 1:
+            raise KeyboardInterrupt
+        return one_round(now, lengths, average, config_, triangle, number)
+
+    monkeypatch.setattr(plans, "one_round", dies)
+    with pytest.raises(KeyboardInterrupt):
+        scaffold(contacts_, contigs, config, rounds)
+    (tmp_path / "r" / "1.blocks").mkdir()  # a round that was cut off
+    numbers = []
+    monkeypatch.setattr(plans, "one_round", lambda *a: numbers.append(a[-1]) or one_round(*a))
+    assert rows(scaffold(contacts_, contigs, config, rounds)) == whole and numbers[0] == 1
+    assert rows(scaffold(contacts_, contigs, config, rounds)) == whole and len(numbers) < 20
+    first = rows(text.read_agp(spark, str(tmp_path / "r" / "0.agp")).select("chrom", "start", "end", "ord", "tag", "contig", "orient"))
+    assert [(r[1], r[2]) for r in first] == [(1, 40_000), (40_101, 80_100)] * 3 and {r[3:5] for r in first} == {(1, "W")}
+    with pytest.raises(ValueError):
+        scaffold(contacts_, contigs, replace(config, gap=5), rounds)
+    rounds.clear(spark)
+    assert not (tmp_path / "r").exists()
+
+
+def test_lines_and_records_over_splits(spark, tmp_path):
+    """Names, offsets and numbers carry over file splits: a record over five and more of them, headers at their ends."""
+    rng = np.random.default_rng(5)
+    records = [(f"r{k}", "".join(rng.choice(list("ACGT"), n))) for k, n in enumerate([0, 3, 700, 1, 60, 0, 0, 2500, 10])]
+    body = "".join(f">{n} about > it\n" + "".join(s[a : a + 60] + "\n" for a in range(0, len(s), 60)) for n, s in records)
+    folder = tmp_path / "fa"
+    folder.mkdir()
+    cut = body.index("\n", 1500) + 1
+    (folder / "a.fa").write_text(body[:cut])
+    (folder / "b.fa").write_text(body[cut:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128b")
+    try:
+        lines = text.numbered_lines(spark, str(folder)).orderBy("line_no").collect()
+        pieces = settled(text.fasta_pieces(spark, str(folder)))
+        assert text.split_lines(spark, str(folder)).select("split").distinct().count() > 20
+        lengths = rows(text.fasta_lengths(spark, str(folder)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line_no for r in lines] == list(range(1, body.count("\n") + 1)) and "".join(r.value + "\n" for r in lines) == body
+    assert lengths == sorted((n, k + 1, len(s)) for k, (n, s) in enumerate(records))
+    got = {}
+    for r in pieces.orderBy("record", "offset").collect():
+        assert r.offset == len(got.setdefault((r.record, r.name), "")) or not r.piece
+        got[r.record, r.name] += r.piece
+    assert got == {(k + 1, n): s for k, (n, s) in enumerate(records)}
+    parts = spark.createDataFrame([("scaffold_2", 1, "r1", 3, 0), ("scaffold_1", 1, "r7", 2500, 1), ("scaffold_1", 2, "r4", 60, 0), ("scaffold_1", 3, "r2", 700, 1)], "chrom string, ord int, contig string, len long, orient int")
+    text.write_scaffold_lines(parts, pieces, str(tmp_path / "out"), 7)
+    whole = {r.chrom: r.seq for r in stats.joined_sequences(parts, spark.createDataFrame(records, "name string, seq string"), 7).collect()}
+    assert {r.name: r.seq for r in text.read_fasta(spark, str(tmp_path / "out")).collect()} == whole
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect() if r.value[0] == ">"] == [">scaffold_1", ">scaffold_2"]
+
+
+def test_assembly_files_of_many_splits(spark, tmp_path):
+    parts = spark.createDataFrame([(f"s{c:02d}", k, f"c{c}_{k}", 10 + k, k % 2) for c in range(30) for k in range(1, 4)], "chrom string, ord int, contig string, len long, orient int")
+    text.write_assembly(parts, str(tmp_path / "a"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        back = stats.from_chains(*text.read_assembly(spark, str(tmp_path / "a")))
+        got = sorted((r.chrom, r.ord, r.contig, r.len, r.orient) for r in back.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f"chain{int(r.chrom[1:]) + 1}", r.ord, r.contig, r.len, r.orient) for r in parts.collect())
 
 
 def test_command_line(spark, tmp_path):
-    from hicweave.__main__ import arguments, config, run
+    from hicweave.__main__ import arguments, config
 
     contacts_, contigs, order = planted(spark, [3])
     text.short_lines(contacts_.withColumns({c: F.lit("0") for c in ("str1", "frag1", "str2", "frag2")})).write.text(str(tmp_path / "c"))
     (tmp_path / "f.fa").write_text("".join(f">c{k:02d}\n{'ACGTT' * 8000}\n" for k in range(3)))
-    a = arguments(["--contacts", str(tmp_path / "c"), "--fasta", str(tmp_path / "f.fa"), "--out", str(tmp_path / "out"), "--clusters", "1", "--binsize", "2000", "--triangle", "5"])
+    a = arguments(["scaffold", "--contacts", str(tmp_path / "c"), "--fasta", str(tmp_path / "f.fa"), "--out", str(tmp_path / "out"), "--clusters", "1", "--binsize", "2000", "--triangle", "5"])
     assert config(a) == Config(clusters=1, bin_size=2000, triangle=5)
-    run(spark, a)
+    a.run(spark, a)
     final = text.read_agp(spark, str(tmp_path / "out" / "final.agp")).filter("tag = 'W'").orderBy("ord").collect()
     assert either_way([[(r.contig, int(r.orient == "-")) for r in final]]) == either_way(order)
     fa = text.read_fasta(spark, str(tmp_path / "out" / "final.fa")).collect()
     assert [(r.name, r.len) for r in fa] == [("scaffold_1", 120_200)]
     assert spark.read.text(str(tmp_path / "out" / "contacts")).count() == 30_000
+    assert spark.read.text(str(tmp_path / "out" / "rounds" / "0.agp")).count() == 3
+    path = lambda x: str(tmp_path / x)
+
+    def command(*argv):
+        b = arguments(list(argv))
+        b.run(spark, b)
+        return b
+
+    command("review", "--agp", path("out/final.agp"), "--contacts", path("c"), "--out", path("review"))
+    assert spark.read.text(path("review/contacts")).count() == 30_000
+    command("reviewed", "--assembly", path("review/review.assembly"), "--out", path("back.agp"))
+    back = text.components_of(text.read_agp(spark, path("back.agp"))).orderBy("ord").collect()
+    assert [(r.contig, r.orient) for r in back] == [(r.contig, int(r.orient == "-")) for r in final]
+    command("sequences", "--agp", path("out/final.agp"), "--fasta", path("f.fa"), "--out", path("again.fa"))
+    assert text.read_fasta(spark, path("again.fa")).collect() == fa
+    command("sizes", "--agp", path("out/final.agp"), "--out", path("sizes"))
+    assert [r.value for r in spark.read.text(path("sizes")).collect()] == ["scaffold_1\t120200"]
+    command("lengths", "--fasta", path("f.fa"), "--out", path("lengths"), "--shares", "50,90")
+    assert [r.value for r in spark.read.text(path("lengths")).collect()] == ["# Total size:120000\t Total scaffolds: 3", "# Nx\tLength\tL", "N50\t40000\t2", "N90\t40000\t3"]
