@@ -3,8 +3,9 @@
 Strings of `size` bytes are windows. A window's anchor is the place of the least hash of GRAM bytes among its first
 bytes, the leftmost of equals; its core is what follows the anchor and lies in every window with this anchor. Equal
 windows have equal cores, so cores are counted first, with partial counts, and only windows around cores that occur twice
-or more go on: neighbours with one anchor as one string, to a group with those of their core. A group puts the suffixes of
-its strings in order by their first `size` bytes and finds, for each, the previous and the next one in this order that
+or more go on: neighbours with one anchor as one string, to a group with those of their core. A group takes equal strings
+as one, leaves windows whose hash is theirs alone, puts the suffixes that begin with the others in order by their first
+`size` bytes and finds, for each, the previous and the next one in this order that
 begin earlier in the corpus: the longer of the two common beginnings is its longest previous factor. Windows whose factor
 is a whole window are later copies; the mirror image finds those with copies behind them. Documents are in order of their
 ids, so that `keep` may keep the first copy ("first") or none ("none").
@@ -34,18 +35,18 @@ from .substrings import mixed, ranges
 SIZE = 400
 GRAM = 16
 #: Windows of a stretch of a long text, and bytes that a task works on at a time; places in them take PLACE_BITS.
-STEP, CHUNK, PLACE_BITS = 1 << 20, 1 << 20, 22
+STEP, CHUNK, PLACE_BITS = 1 << 20, 1 << 18, 22
 #: Strings of one core that a group holds, and strings of all its cores.
 CAP, GROUP = 2048, 4096
 LAST = (1 << 63) - 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def spread(size: int) -> int:
     """First bytes of a window among which its anchor is sought."""
-    if size < 2 * GRAM:
-        raise ValueError(f"windows have {2 * GRAM} bytes or more")
-    return 2 * size // 5
+    if size < 3 * GRAM:
+        raise ValueError(f"windows have {3 * GRAM} bytes or more")
+    return 3 * size // 5
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -59,8 +60,11 @@ def anchors(words: np.ndarray, size: int) -> np.ndarray:
     """The anchor of the window that begins at each place. Hashes are cut to make room for places, so that the least of
     both together is the leftmost least hash."""
     mask = np.uint64((1 << PLACE_BITS) - 1)
-    gram = mixed(words[: -(GRAM - 8)] * _MIX ^ mixed(words[GRAM - 8 :])) & ~mask
-    low = gram | np.arange(len(gram), dtype=np.uint64)
+    low = words[: -(GRAM - 8)] * _MIX ^ words[GRAM - 8 :] * _AGAIN
+    low ^= low >> np.uint64(32)
+    low *= _MIX
+    low &= ~mask
+    low |= np.arange(len(low), dtype=np.uint64)
     width, wanted = 1, spread(size)
     while 2 * width <= wanted:
         low = np.minimum(low[:-width], low[width:])
@@ -190,15 +194,30 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarr
     return out
 
 
-def copies(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows that begin at `at`, in the order in which they count as earlier and later: which have an earlier
-    copy, and which a later one."""
-    order, lcp = suffix_order(words_at(data), at, size)
-    mirrored = previous_factors(len(at) - 1 - order, lcp, size)[::-1]
-    return previous_factors(order, lcp, size) >= size, mirrored >= size
+def window_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window, from its bytes alone: differences of prefix sums, moved to one origin."""
+    power = np.cumprod(np.full(len(data) + 1, _MIX), dtype=np.uint64)
+    back = np.cumprod(np.full(len(data) + 1, np.uint64(pow(int(_MIX), -1, 1 << 64))), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    return (sums[at + size] - sums[at]) * back[at]
 
 
-SEGMENT = "h bigint, width int, i bigint, t bigint, anchor int, at int, windows int, data binary"
+def copies(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows that begin at `at`, in the order in which they count as earlier and later: which have an earlier
+    copy, and which a later one. Windows whose hash is theirs alone have none and stay out of the suffix order."""
+    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    hashes = window_hashes(data, at, size)
+    ordered = np.sort(hashes)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes)
+        order, lcp = suffix_order(words_at(data), at[some], size)
+        earlier[some] = previous_factors(order, lcp, size) >= size
+        later[some] = (previous_factors(len(some) - 1 - order, lcp, size) >= size)[::-1]
+    return earlier, later
+
+
+SEGMENT = "h bigint, n bigint, width int, i bigint, t bigint, anchor int, at int, windows int, data binary"
 _FIELDS = [c.split()[0] for c in SEGMENT.split(", ")]
 #: What a group gives: byte ranges to remove, or strings that go on, with the number of their core's strings before.
 SETTLED = "i bigint, t bigint, a int, b int, h bigint, width int, anchor int, at int, windows int, data binary, was bigint"
@@ -225,22 +244,25 @@ def cores(df: DataFrame, size: int) -> DataFrame:
 
 
 def segments(df: DataFrame, size: int) -> DataFrame:
-    """The windows around the anchors that `spots`, an array for each row of (i, t, text), lists: a string for each."""
+    """The windows around the anchors that `spots`, an array of (anchor, n) for each row of (i, t, text), lists: a string
+    for each, with the number n of its core's strings."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in _chunked(batches, size):
             data, words, row, anchor, start, windows, shift = held.runs()
             spots = batch.column("spots")
-            key = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy())) << 32 | spots.flatten().to_numpy()
+            place, count = (spots.flatten().field(c).to_numpy() for c in ("anchor", "n"))
+            key = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy())) << 32 | place  # sorted
             mine = row << 32 | (anchor + shift)
-            hit = np.flatnonzero(np.isin(mine, key))
+            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+            hit = np.flatnonzero(key[at] == mine)
             if not len(hit):
                 continue
             whose = pa.array(row[hit])
             n = windows[hit]
             arrays = [
-                pa.array(core_hashes(words, anchor[hit], size).view(np.int64)), pa.array(np.full(len(hit), spread(size), np.int32)), batch.column("i").take(whose), batch.column("t").take(whose),
+                pa.array(core_hashes(words, anchor[hit], size).view(np.int64)), pa.array(count[at[hit]]), pa.array(np.full(len(hit), spread(size), np.int32)), batch.column("i").take(whose), batch.column("t").take(whose),
                 pa.array((anchor + shift)[hit].astype(np.int32)), pa.array((start + shift)[hit].astype(np.int32)), pa.array(n.astype(np.int32)), _binary(data, start[hit], n + size - 1),
             ]
             yield pa.RecordBatch.from_arrays(arrays, _FIELDS)
@@ -258,35 +280,49 @@ def _runs_of(mask: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _settled(group: pa.Table, size: int, keep: str) -> pa.Table:
     """Rows (i, t, a, b) to remove, and, of groups that hold a part of a core's strings only (`part`), rows of strings
     that go on: one of each window."""
-    columns = {c: group.column(c).to_numpy().astype(np.int64) for c in ("h", "width", "i", "t", "anchor", "at", "windows")}
+    columns = {c: group.column(c).to_numpy().astype(np.int64) for c in ("h", "n", "width", "i", "t", "anchor", "at", "windows")}
     rank = np.lexsort((columns["windows"], columns["at"], columns["t"], columns["i"]))
     columns = {c: v[rank] for c, v in columns.items()}
     if keep == "first" and len(rank):  # rows that share id and text are no copies of each other
         same = np.all([columns[c][1:] == columns[c][:-1] for c in ("i", "t", "at", "windows", "h")], axis=0)
         fresh = np.concatenate([[True], ~same])
         rank, columns = rank[fresh], {c: v[fresh] for c, v in columns.items()}
-    texts = group.column("data").combine_chunks().take(pa.array(rank))
+    # Equal strings are taken as one, in the order of the first of each.
+    coded = group.column("data").combine_chunks().take(pa.array(rank)).dictionary_encode()
+    code, texts = coded.indices.to_numpy(), coded.dictionary
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    count = columns["windows"]
+    first = np.unique(code, return_index=True)[1]
+    often = np.bincount(code, minlength=len(first)) > 1
+    count = columns["windows"][first]
     begin = np.cumsum(count + size - 1) - (count + size - 1)
-    at, segment = ranges(begin, count), np.repeat(np.arange(len(count)), count)
-    place = ranges(columns["at"], count)
+    at, string, place = ranges(begin, count), np.repeat(np.arange(len(count)), count), ranges(np.zeros(len(count), np.int64), count)
     earlier, later = copies(data, at, size)
-    first, n = _runs_of(earlier if keep == "first" else earlier | later, segment)
-    whose = segment[first]
 
     def rows(whose: np.ndarray, **have) -> pa.Table:
         have |= {"i": columns["i"][whose], "t": columns["t"][whose]}
         return pa.table([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(len(whose), f.type) for f in _SETTLED], schema=_SETTLED)
 
-    out = rows(segment[first], a=place[first], b=place[first] + n + size - 1)
-    if not group.column("part")[0].as_py():
-        return out
-    first, n = _runs_of(~earlier, segment)
-    whose = segment[first]
-    own = {c: columns[c][whose] for c in ("h", "width", "anchor")}
-    on = rows(whose, **own, at=place[first], windows=n, data=_binary(data, at[first], n + size - 1), was=group.column("n").to_numpy()[rank][whose])
-    return pa.concat_tables([out, on])
+    def removed(whose: np.ndarray, mask: np.ndarray) -> pa.Table:
+        """Runs of a string's windows, for each of its rows in whose."""
+        s, n = _runs_of(mask, string)
+        own = np.bincount(string[s], minlength=len(count))
+        c = code[whose]
+        run, row = ranges((np.cumsum(own) - own)[c], own[c]), np.repeat(whose, own[c])
+        a = columns["at"][row] + place[s[run]]
+        return rows(row, a=a, b=a + n[run] + size - 1)
+
+    if keep == "none":
+        out = [removed(np.arange(len(code)), earlier | later | often[string])]
+    else:
+        others = np.ones(len(code), bool)
+        others[first] = False
+        out = [removed(first, earlier), removed(np.flatnonzero(others), np.ones(len(at), bool))]
+    if group.column("part")[0].as_py():
+        s, n = _runs_of(~earlier, string)
+        whose = first[string[s]]
+        own = {c: columns[c][whose] for c in ("h", "width", "anchor")}
+        out.append(rows(whose, **own, at=columns["at"][whose] + place[s], windows=n, data=_binary(data, at[s], n + size - 1), was=columns["n"][whose]))
+    return pa.concat_tables(out)
 
 
 def divided(rows: DataFrame, size: int) -> DataFrame:
@@ -307,9 +343,9 @@ def divided(rows: DataFrame, size: int) -> DataFrame:
                     shift = r["at"]
                     core = r["data"][r["anchor"] - j * width - shift : r["anchor"] - (j + 1) * width + 1 + size - shift]
                     h = xxhash.xxh3_64_intdigest(core, (r["h"] ^ j) & (1 << 64) - 1)
-                    out.append((h - (1 << 64) if h >> 63 else h, width, r["i"], r["t"], r["anchor"], begin, stop - begin, r["data"][begin - shift : stop - shift + size - 1]))
+                    out.append((h - (1 << 64) if h >> 63 else h, r["n"], width, r["i"], r["t"], r["anchor"], begin, stop - begin, r["data"][begin - shift : stop - shift + size - 1]))
             if out:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], _FIELDS)
 
     return rows.select(*_FIELDS).mapInArrow(run, SEGMENT)
@@ -320,27 +356,30 @@ def repeats(df: DataFrame, size: int = SIZE, keep: str = "none", cap: int = CAP,
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     every = materialise(cores(df, size), "cores")
-    common = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    spots = every.join(common, "h").groupBy("i", "t").agg(F.sort_array(F.collect_set("anchor")).alias("spots"))
-    now = materialise(segments(df.join(spots, ["i", "t"]), size), "segments")
-    spend(every)
-    done = None
+    common = materialise(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    spots = every.join(common, "h").groupBy("i", "t").agg(F.sort_array(F.collect_set(F.struct("anchor", "n"))).alias("spots"))
+    rows = common.agg(F.sum("n")).collect()[0][0] or 0
+    now, done, old = segments(df.join(spots, ["i", "t"]), size), None, [every, common]
     while True:
-        rows = now.count()
-        sized = now.groupBy("h", "width").agg(F.count("*").alias("n")).filter("n > 1")
-        now = now.join(sized, ["h", "width"])
-        buckets = max(1, -(-rows // group))
         parts = F.when(F.col("n") > cap, F.ceil(F.col("n") / cap))
-        dealt = now.select(*_FIELDS, "n", F.pmod("h", F.lit(buckets)).alias("bucket"), F.when(F.col("n") > cap, F.col("h")).alias("hot"), F.pmod(F.xxhash64("i", "t", "at", "anchor"), parts).alias("salt"), (F.col("n") > cap).alias("part"))
+        dealt = now.select(
+            *_FIELDS, F.pmod("h", F.lit(max(1, -(-rows // group)))).alias("bucket"), F.when(F.col("n") > cap, F.col("h")).alias("hot"),
+            F.pmod(F.xxhash64("i", "t", "at", "anchor"), parts).alias("salt"), (F.col("n") > cap).alias("part"),
+        )
         settled = materialise(dealt.groupBy("bucket", "hot", "salt").applyInArrow(lambda g: _settled(g, size, keep), SETTLED), "settled")
+        spend(*old)
         found = settled.filter("a is not null").select("i", "t", F.struct("a", "b").alias("r"))
         done = found if done is None else done.unionByName(found)
         left = settled.filter("h is not null")
         if not left.limit(1).count():
             break
+        # The strings that are left of a core; where they hardly shrank, they are divided and counted anew.
         shrunk = left.join(left.groupBy("h", "width").agg(F.count("*").alias("n")).filter("n > 1"), ["h", "width"])
         stuck = (F.col("n") > cap) & (2 * F.col("n") > F.col("was")) & (F.col("width") > 1)
-        now = materialise(shrunk.filter(~stuck).select(*_FIELDS).unionByName(divided(shrunk.filter(stuck), size)), "segments")
+        finer = materialise(divided(shrunk.filter(stuck), size), "divided")
+        again = finer.groupBy("h", "width").agg(F.count("*").alias("n")).filter("n > 1")
+        now = materialise(shrunk.filter(~stuck).select(*_FIELDS).unionByName(finer.drop("n").join(again, ["h", "width"]).select(*_FIELDS)), "segments")
+        rows, old = now.count(), [finer, now]
     return done.groupBy("i", "t").agg(F.sort_array(F.collect_set("r")).alias("ranges"))
 
 

@@ -44,7 +44,7 @@ def documents(seed, n=60, alphabet="ab ", most=300):
     """Texts that share passages: some whole, some twice in one text, some ending with others' beginnings."""
     rnd = random.Random(seed)
     some = lambda k: "".join(rnd.choice(alphabet) for _ in range(k))
-    passages = [some(rnd.randrange(30, 200)) for _ in range(6)]
+    passages = [some(rnd.randrange(40, 200)) for _ in range(6)]
     texts = []
     for _ in range(n):
         parts = [rnd.choice(passages)[rnd.randrange(10) :] if rnd.random() < 0.4 else some(rnd.randrange(most // 3)) for _ in range(rnd.randrange(5))]
@@ -67,7 +67,7 @@ def test_odd_rows(spark, odd, none, keep):
 def test_shared_passages(spark, seed, keep):
     rows = documents(seed) + documents(seed + 10, 20, "aé ")
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(df, size=32, keep=keep) == brute(rows, 32, keep)
+    assert result(df, size=48, keep=keep) == brute(rows, 48, keep)
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
@@ -75,14 +75,14 @@ def test_frequent_passages_go_by_levels(spark, keep, monkeypatch):
     """Groups of three strings: copies of a passage meet over levels; a common core with other bytes behind is divided."""
     rnd = random.Random(3)
     some = lambda k: "".join(rnd.choice("abcdef") for _ in range(k))
-    passage, head = some(90), some(38)
+    passage, head = some(90), some(46)
     rows = [(k, some(rnd.randrange(8)) + passage + some(5)) for k in range(60)]
     rows += [(100 + k, head + some(20)) for k in range(60)]
     rows += [(200 + k, rows[60 + k // 2][1] + some(2)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     divided, strings = suffixes.divided, []
     monkeypatch.setattr(suffixes, "divided", lambda rows, size: strings.append(rows.count()) or divided(rows, size))
-    assert result(df, size=40, keep=keep, cap=3, group=10) == brute(rows, 40, keep)
+    assert result(df, size=48, keep=keep, cap=3, group=10) == brute(rows, 48, keep)
     assert len(strings) > 2 and max(strings) > 20
 
 
@@ -92,7 +92,7 @@ def test_long_texts_go_by_stretches(spark, monkeypatch):
     rows = [(1, long), (2, "x" * 50 + long[1000:1500] + "y" * 40), (3, long[2990:] + long[:60])]
     monkeypatch.setattr(suffixes, "STEP", 128)
     monkeypatch.setattr(suffixes, "CHUNK", 300)
-    assert result(spark.createDataFrame(rows, "doc_id long, text string"), size=40) == brute(rows, 40, "none")
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), size=48) == brute(rows, 48, "none")
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -117,4 +117,4 @@ def test_order_and_factors(seed):
 def test_cut():
     assert suffixes.cut(b"abcdefghij", [(0, 3), (1, 4), (4, 5), (7, 9)]) == (7, 2, b"fgj")
     with pytest.raises(ValueError):
-        suffixes.spread(20)
+        suffixes.spread(40)
