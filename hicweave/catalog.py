@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import floor_div, reverse_complement
 from .operators import contacts as C
 from .operators import correct, density, layout, score, stats
 from .operators import graph as G
-from .operators.tables import numbered
+from .operators.tables import numbered, shared_folder
 from .plans import Config, average_links, linked, one_round, pair_scores, scaffold
 from .sources import derived as D
 from .sources import text as S
@@ -70,7 +71,7 @@ VIEWS = {
         CAST(1 + CASE WHEN r = 32 THEN 0 WHEN r < 15 THEN r WHEN r < 27 THEN r - 15 ELSE r - 27 END AS INTEGER) AS ord, contig, CAST(CASE WHEN r = 32 THEN 1500000 ELSE 100000 END AS BIGINT) AS len, CASE WHEN k % 3 = 1 AND r < 32 THEN 1 ELSE 0 END AS orient, k
       FROM (SELECT *, CAST(k // 33 AS BIGINT) AS g, k % 33 AS r FROM (SELECT contig, CAST(substr(contig, 4) AS BIGINT) AS k FROM contigs))""",
     "lplaced": """SELECT *, start + len - 1 AS "end" FROM (SELECT *, CAST(1 + coalesce(sum(len + 100) OVER (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lparts)""",
-    "lcontacts": """WITH q AS (SELECT CAST(l_suppkey AS BIGINT) AS k, CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863 + c * 611953 AS number, CAST(l_orderkey AS BIGINT) AS x, (CAST(l_quantity AS BIGINT) + 7 * c - 1) % 50 + 1 AS q FROM lineitem, (VALUES (0), (1), (2), (3)) v(c)),
+    "lcontacts": """WITH q AS (SELECT CAST(l_suppkey AS BIGINT) AS k, CAST(l_partkey AS BIGINT) * 7919 + CAST(l_orderkey AS BIGINT) * 104729 + CAST(l_linenumber AS BIGINT) * 15485863 + c * 611953 AS number, CAST(l_orderkey AS BIGINT) AS x, (CAST(l_quantity AS BIGINT) + 7 * c - 1) % 50 + 1 AS q FROM lineitem, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) v(c)),
         o AS (SELECT *, k % 33 AS r, number % CASE WHEN k % 33 = 32 THEN 1500000 ELSE 100000 END AS o, CASE WHEN q <= 25 THEN q * 200 + x % 200 ELSE (q - 25) * (q - 25) * 960 + x % 960 END AS d FROM q),
         h AS (SELECT *, CASE WHEN r = 32 THEN 0 WHEN r < 15 THEN r WHEN r < 27 THEN r - 15 ELSE r - 27 END AS p, CASE WHEN r = 32 THEN 1 WHEN r < 15 THEN 15 WHEN r < 27 THEN 12 ELSE 5 END AS many FROM o),
         e AS (SELECT *, p * 100000 + o AS a, p * 100000 + o + d AS b FROM h),
@@ -426,7 +427,7 @@ def _(spark, d):
          FROM lplaced p LEFT JOIN cuts c ON c.chrom = p.chrom AND c.cut = p.ord - 1)
        SELECT CASE WHEN hit = 1 THEN chrom || '_break_' || CAST(piece AS BIGINT) ELSE chrom END AS chrom, CAST(row_number() OVER (PARTITION BY chrom, piece ORDER BY ord) AS INTEGER) AS ord, contig, len, orient FROM m""",
 )
-def _(spark, d):
+def corrected_layout(spark, d):
     p = long_placed(spark, d)
     return correct.pieces(p, correct.snapped(correct.break_points(signal(spark, d)), p, B))
 
@@ -467,6 +468,29 @@ def _(spark, d):
     return layout.place(stats.from_chains(*S.assembly_lines(text))).select("chrom", "ord", "contig", "len", "orient", "start", "end")
 
 
+def written(spark, df: DataFrame, name: str, write) -> str:
+    """A path in the shared folder that `write` has written df to."""
+    path = f"{shared_folder(spark)}/hicweave-{name}-{uuid.uuid4().hex}"
+    write(df, path)
+    return path
+
+
+@query("s7_c2_assembly_files", """SELECT concat('chain', CAST(dense_rank() OVER (ORDER BY chrom) AS VARCHAR)) AS chrom, CAST(ord AS INTEGER) AS ord, contig, len, orient FROM parts""")
+def _(spark, d):
+    """An .assembly text written to files and read back: lines are numbered over files and splits."""
+    path = written(spark, D.components(spark, d), "assembly", S.write_assembly)
+    return stats.from_chains(*S.read_assembly(spark, path))
+
+
+@query("s3_s4_fasta_pieces", "SELECT name, CAST(length(seq) AS BIGINT) AS len, CAST(coalesce(nullif(strpos(seq, 'N'), 0) - 1, -1) AS BIGINT) AS first_n FROM seqs")
+def _(spark, d):
+    """Sequences written as lines of 60 to files and read in pieces: lengths, and where the first N lies."""
+    lines = D.sequences(spark, d).select(F.concat(F.lit(">"), "name", F.lit(" text\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    pieces = S.fasta_pieces(spark, written(spark, lines, "fasta", lambda df, path: df.write.text(path)))
+    at = F.when(F.instr("piece", "N") > 0, F.col("offset") + F.instr("piece", "N") - 1)
+    return pieces.groupBy("name", "record").agg(F.sum(F.length("piece")).cast("long").alias("len"), F.coalesce(F.min(at), F.lit(-1)).cast("long").alias("first_n")).drop("record")
+
+
 @query(
     "c2_w5_chained_layout",
     """WITH p AS (SELECT *, coalesce(sum(len + 100) OVER (PARTITION BY chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, max(ord) OVER (PARTITION BY chrom) AS m FROM parts),
@@ -554,13 +578,40 @@ def _(spark, d):
     """SELECT contig, CAST(ord AS INTEGER) AS ord, len, orient, start, "end", count(*) OVER (PARTITION BY chrom) AS parts FROM placed""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
+    c = D.contigs(spark, d)
+    return with_parts(scaffold(D.contacts(spark, d), c, Config(clusters=-(-c.count() // D.PER_CHROMOSOME), bin_size=B, triangle=T)))
+
 
+@query(
+    "g9_two_merging_rounds",
+    """SELECT contig, CAST(k % 4 + 1 AS INTEGER) AS ord, len, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS orient, CAST(1 + k % 4 * (len + 100) AS BIGINT) AS start, CAST((k % 4 + 1) * len + k % 4 * 100 AS BIGINT) AS "end", count(*) OVER (PARTITION BY k // 4) AS parts
+       FROM (SELECT *, CAST(substr(contig, 4) AS BIGINT) AS k FROM contigs)""",
+)
+def _(spark, d):
+    """Pairs in a first round, pairs of pairs in a second one with a larger triangle; a chromosome is turned to its first contig."""
     c = D.contigs(spark, d)
-    out = scaffold(D.contacts(spark, d), c, Config(clusters=-(-c.count() // D.PER_CHROMOSOME), bin_size=B, triangle=T))
+    out = scaffold(D.stepped_contacts(spark, d), c, Config(clusters=-(-c.count() // D.PER_STEPPED), bin_size=B, triangle=T))
+    return with_parts(out)
+
+
+def with_parts(out: DataFrame) -> DataFrame:
     return out.select("contig", "ord", "len", "orient", "start", "end", F.count("*").over(Window.partitionBy("chrom")).alias("parts"))
 
 
+@query(
+    "g9_corrected_run",
+    """WITH m AS (SELECT p.*, 1 + coalesce(sum(CASE WHEN c.cut > 0 THEN 1 END) OVER (PARTITION BY p.chrom ORDER BY p.ord), 0) AS piece FROM lplaced p LEFT JOIN cuts c ON c.chrom = p.chrom AND c.cut = p.ord - 1)
+       SELECT contig, CAST(row_number() OVER w AS INTEGER) AS ord, len, CASE WHEN count(*) OVER (PARTITION BY chrom, piece) > 1 THEN orient ELSE 0 END AS orient, CAST(1 + sum(len + 100) OVER w - len - 100 AS BIGINT) AS start, CAST(sum(len + 100) OVER w - 100 AS BIGINT) AS "end", count(*) OVER (PARTITION BY chrom, piece) AS parts
+       FROM m WINDOW w AS (PARTITION BY chrom, piece ORDER BY ord)""",
+)
+def _(spark, d):
+    """A round that joins across the planted misjoins and breaks what it joined there; asked for as many scaffolds as that
+    leaves, the run ends."""
+    c = D.long_components(spark, d).select("contig", "len")
+    clusters = corrected_layout(spark, d).select("chrom").distinct().count()
+    return with_parts(scaffold(D.long_contacts(spark, d), c, Config(clusters=clusters, bin_size=B, triangle=T, error_correction=True)))
+
+
 def agp_rows(spark, d) -> DataFrame:
     return layout.with_gaps(placed(spark, d))
 

@@ -77,7 +77,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of each LONG_GROUP suppliers, the first 15 are a chromosome, the next 12, the next 5, and the last one is a contig of
 #: LONE_LENGTH bases by itself.
-LONG_GROUP, LONE_LENGTH = 33, 1_500_000
+LONG_GROUP, LONE_LENGTH, LONG_COPIES = 33, 1_500_000, 8
 
 
 def _long_place(k: Column) -> tuple[Column, Column]:
@@ -103,7 +103,7 @@ def long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of up to 600 kb on the long layout. In the first chromosome of every other group nothing over 50 kb crosses
     the bound between the seventh and the eighth contig: a misjoin."""
-    line = _line_items(spark, sf_dir, COPIES)
+    line = _line_items(spark, sf_dir, LONG_COPIES)
     far = F.col("q") - 25
     alone = F.col("k1") % LONG_GROUP == LONG_GROUP - 1
     span = F.when(alone, LONE_LENGTH).otherwise(CONTIG_LENGTH)
