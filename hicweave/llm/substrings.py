@@ -4,9 +4,12 @@ A window is `k` consecutive words of a document. Each window has a minimiser, th
 neighbouring words; consecutive windows with the same minimiser are cut out as one string, and strings go to the bucket
 of their minimiser. Equal windows have equal minimisers, so a bucket sees all copies of a window, sorts the windows and
 compares equal hashes word by word. Before anything is sent, a task settles the windows that it has seen in a smaller
-document itself and sends only the smallest document's: of a passage with a million copies, each task sends one. Minimisers that
-a bounded sample shows to be frequent have several buckets each, by the windows' minimisers under a second hash, so that
-no bucket grows with the commonest words; which ones are split changes no result.
+document itself and sends only the smallest document's: of a passage with a million copies, each chunk sends one.
+
+A bounded sample steers two things, which change no result. Minimisers of very many windows have several buckets each, by
+the windows' minimisers under a second hash, so that no bucket grows with the commonest words. And windows that several
+rows of the sample share are reduced in levels: their strings are dealt over salts by chunk, each salt keeps the smallest
+document's, and only these meet in the bucket, so that a passage of every chunk reaches it once for each salt.
 
 Null and blank texts have no words; texts of any length are cut whole. Ids are whole numbers; rows without one neither
 lose words nor make others lose them. Equal rows get equal results; rows that share an id but not their text share the
@@ -18,6 +21,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, trim, trimmed
+from .common import materialise, spend, table, trim, trimmed
 
 K = 13
 #: Bytes of text that a task handles at a time.
@@ -37,6 +41,8 @@ LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 24
 SAMPLE_ROWS = 4000
 HOT_SHARE = 0.25
 MOST_HOT = 100_000
+#: Rows of the sample that share a window whose strings are then reduced in levels, and the most salts of a level.
+SHARED_ROWS, MOST_SALTS = 3, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,8 +178,24 @@ def flattened(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(ends)
 
 
-def _cut(ids_of: list[int], texts: pa.Array, k: int, buckets: int, hot: np.ndarray, splits: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed strings) of some documents."""
+@dataclass(frozen=True)
+class Steering:
+    """What the sample has shown: minimisers with several buckets, sorted, and how many; minimisers, sorted, of windows
+    that go by levels, and the salts of a level."""
+
+    hot: np.ndarray
+    splits: np.ndarray
+    shared: np.ndarray
+    salts: int
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _cut(ids_of: list[int], texts: pa.Array, k: int, buckets: int, steer: Steering, chunk: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, salt, packed strings) of some documents; a salt of 0 is final."""
     known, ids, sizes = flattened(texts)
     if len(ids) < k:
         return
@@ -196,15 +218,13 @@ def _cut(ids_of: list[int], texts: pa.Array, k: int, buckets: int, hot: np.ndarr
 
     s, n = runs(settled, edge)
     to = (mixed(ids_arr.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc[s]]
-    known_of = {b: (s[p], n[p]) for b, p in _by(to)}
-    goal = low
-    if len(hot):
-        found = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
-        wide = np.flatnonzero(hot[found] == low)
+    known_of = {2 * b: (s[p], n[p]) for b, p in _by(to)}
+    goal, wide = low, np.flatnonzero(_among(low, steer.hot))
+    if len(wide):
         goal = low.copy()
-        goal[wide] ^= mixed(mixed(minimisers(h, k, 0x5EED)[wide]) % splits[found[wide]] + np.uint64(1))
+        goal[wide] ^= mixed(mixed(minimisers(h, k, 0x5EED)[wide]) % steer.splits[np.searchsorted(steer.hot, low[wide])] + np.uint64(1))
     s, n = runs(sent, edge | np.concatenate([[True], goal[1:] != goal[:-1]]))
-    to = (mixed(goal[s]) % np.uint64(buckets)).astype(np.int64)
+    to = (mixed(goal[s]) % np.uint64(buckets)).astype(np.int64) * 2 + _among(low[s], steer.shared)
     dealt = list(_by(to, known_of))
     order = np.concatenate([p for _, p in dealt]) if dealt else np.zeros(0, np.int64)
     # The strings of all buckets, one after the other; a bucket's words are joined to one string.
@@ -215,7 +235,7 @@ def _cut(ids_of: list[int], texts: pa.Array, k: int, buckets: int, hot: np.ndarr
         x, y = known_of.get(b, (s[:0], n[:0]))
         ss, nn = s[p], n[p]
         columns = [a.tobytes() for a in (np.diff(ids_arr[doc[ss]], prepend=0), place[ss].astype(np.int32), nn.astype(np.int32), ids_arr[doc[x]], place[x].astype(np.int32), y.astype(np.int32))]
-        yield int(b), _packed(text.as_py(), *columns)
+        yield b // 2, 1 + chunk % steer.salts if b % 2 else 0, _packed(text.as_py(), *columns)
 
 
 def _by(key: np.ndarray, also=()) -> Iterator[tuple[int, np.ndarray]]:
@@ -228,8 +248,9 @@ def _by(key: np.ndarray, also=()) -> Iterator[tuple[int, np.ndarray]]:
         yield v, order[:0]
 
 
-def _settle(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last word + 1 of what a bucket removes."""
+def _settle(blobs: list[bytes], k: int, on: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes | None]:
+    """Document, first and last word + 1 of what a bucket removes, and, with `on`, what goes on to the next level: the
+    windows of the smallest document of each."""
     texts, parts = [], [[], [], []]
     done = [[], [], []]
     for blob in blobs:
@@ -239,9 +260,9 @@ def _settle(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             to.append(a.astype(np.int64))
         for to, a in zip(done, (np.frombuffer(x, np.int64), np.frombuffer(y, np.int32), np.frombuffer(z, np.int32))):
             to.append(a.astype(np.int64))
-    _, ids, _ = flattened(pa.array(texts, pa.binary()).cast(pa.string()))
+    known, ids, _ = flattened(pa.array(texts, pa.binary()).cast(pa.string()))
     owner, place, count = (np.concatenate(a) for a in parts)
-    out = [np.concatenate(a) for a in done]
+    out, left = [np.concatenate(a) for a in done], None
     if len(owner):
         begin = np.cumsum(count + k - 1) - (count + k - 1)
         at = ranges(begin, count)
@@ -251,11 +272,16 @@ def _settle(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         edge = np.concatenate([[True], np.diff(at) != 1])
         s, n = runs(late, edge)
         out = [np.concatenate([a, b]) for a, b in zip(out, (who[s], where[s], n))]
-    return out[0], out[1], out[1] + out[2] + k - 1
+        if on and not late.all():
+            s, n = runs(~late, edge)
+            text = b" ".join(known.take(pa.array(ids[ranges(at[s], n + k - 1)])).cast(pa.binary()).to_pylist())
+            none = np.zeros(0, np.int32)
+            left = _packed(text, *(x.tobytes() for x in (np.diff(who[s], prepend=0), where[s].astype(np.int32), n.astype(np.int32), none, none, none)))
+    return out[0], out[1], out[1] + out[2] + k - 1, left
 
 
-def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimisers, sorted, of many windows of a bounded sample, and the number of buckets for each."""
+def steering(df: DataFrame, text: str, k: int, buckets: int, chunks: int) -> Steering:
+    """What a bounded sample shows of frequent minimisers and of windows that many rows share."""
     rows = df.count()
     sample = df.select(text).sample(SAMPLE_ROWS / rows, 11) if rows > SAMPLE_ROWS else df.select(text)
 
@@ -266,32 +292,47 @@ def frequent_minimisers(df: DataFrame, text: str, k: int, buckets: int) -> tuple
                 known, ids, sizes = flattened(batch.column(0).slice(j, 256).drop_null())
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 if len(ids) >= k:
-                    low = minimisers(polynomials(known)[ids], k)[doc[: len(ids) - k + 1] == doc[k - 1 :]]
+                    h, whole = polynomials(known)[ids], doc[: len(ids) - k + 1] == doc[k - 1 :]
+                    low, w = minimisers(h, k)[whole], window_hashes(h, k)[whole]
                     m, n = np.unique(low, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], ["m", "n"])
-
-    counts = sample.mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
+                    # A window counts once for each row that it starts in.
+                    order = np.lexsort((doc[: len(whole)][whole], w))
+                    w, low, d = w[order], low[order], doc[: len(whole)][whole][order]
+                    fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])]) if len(w) else np.zeros(0, bool)
+                    w, low = w[fresh], low[fresh]
+                    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+                    n2 = np.diff(np.append(first, len(w)))
+                    ends = pa.array(np.concatenate([m.view(np.int64), low[first].view(np.int64)])), pa.array(np.concatenate([n, n2]))
+                    yield pa.RecordBatch.from_arrays([pa.array([None] * len(m) + w[first].view(np.int64).tolist(), pa.int64()), *ends], ["w", "m", "n"])
+
+    seen = materialise(sample.mapInArrow(run, "w bigint, m bigint, n bigint"), "sample")
+    counts = seen.filter("w is null").groupBy("m").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).collect()[0][0] or 0
     most = counts.filter(F.col("n") * buckets > HOT_SHARE * total).orderBy(F.desc("n"), "m").limit(MOST_HOT).toPandas()
     m, n = most["m"].to_numpy(np.int64).view(np.uint64), most["n"].to_numpy(np.int64)
     order = np.argsort(m)
-    return m[order], np.ceil(n[order] * buckets / (HOT_SHARE * max(1, total))).astype(np.uint64)
+    common = seen.filter("w is not null").groupBy("w", "m").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED_ROWS)
+    shared = common.groupBy("m").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "m").limit(MOST_HOT).toPandas()["m"].to_numpy(np.int64).view(np.uint64)
+    spend(seen)
+    salts = max(2, min(MOST_SALTS, math.isqrt(chunks)))
+    return Steering(m[order], np.ceil(n[order] * buckets / (HOT_SHARE * max(1, total))).astype(np.uint64), np.sort(shared), salts)
 
 
 def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(key, ranges): for each id with something to remove, the word ranges [a, b) as an array of structs, sorted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, math.ceil(size / BYTES_PER_BUCKET)))
-
-    hot, splits = frequent_minimisers(df, text, k, buckets)
+    steer = steering(df, text, k, buckets, size // CHUNK)
 
     @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(ids, texts):
-            rows = list(_cut(ids, texts, k, buckets, hot, splits))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+        from pyspark import TaskContext
 
-        ids, texts, held = [], [], 0
+        def pack(ids, texts, chunk):
+            rows = list(_cut(ids, texts, k, buckets, steer, chunk))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "salt", "blob"])
+
+        ids, texts, held, chunk = [], [], 0, TaskContext.get().partitionId()
         for batch in batches:
             for j in range(0, batch.num_rows, 256):
                 part = batch.slice(j, 256).drop_null()
@@ -299,18 +340,26 @@ def removed_ranges(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 texts.append(part.column(1))
                 held += part.column(1).nbytes
                 if held >= CHUNK:
-                    yield pack(ids, pa.concat_arrays(texts))
-                    ids, texts, held = [], [], 0
+                    yield pack(ids, pa.concat_arrays(texts), chunk)
+                    ids, texts, held, chunk = [], [], 0, chunk + 1
         if ids:
-            yield pack(ids, pa.concat_arrays(texts))
+            yield pack(ids, pa.concat_arrays(texts), chunk)
 
     def settle(group: pa.Table) -> pa.Table:
-        d, a, b = _settle(group.column("blob").to_pylist(), k)
+        on = bool(group.column("salt")[0].as_py())
+        d, a, b, left = _settle(group.column("blob").to_pylist(), k, on)
         trim()
-        return pa.table({key: pa.array(d, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
-
-    cut_ = df.select(F.col(key).cast("long"), text).mapInArrow(cut, "bucket int, blob binary")
-    found = cut_.groupBy("bucket").applyInArrow(settle, f"`{key}` bigint, a int, b int")
+        out = pa.table({key: pa.array(d, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "bucket": pa.nulls(len(d), pa.int32()), "blob": pa.nulls(len(d), pa.binary())})
+        if left is None:
+            return out
+        more = pa.table({key: pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int32()), "b": pa.nulls(1, pa.int32()), "bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "blob": pa.array([left], pa.binary())})
+        return pa.concat_tables([out, more])
+
+    schema = f"`{key}` bigint, a int, b int, bucket int, blob binary"
+    cut_ = df.select(F.col(key).cast("long"), text).mapInArrow(cut, "bucket int, salt int, blob binary")
+    one = materialise(cut_.groupBy("bucket", "salt").applyInArrow(settle, schema), "level")
+    two = one.filter("blob is not null").select("bucket", F.lit(0).alias("salt"), "blob").groupBy("bucket", "salt").applyInArrow(settle, schema)
+    found = one.filter("blob is null").unionByName(two).select(key, "a", "b")
     return found.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))
 
 

@@ -188,6 +188,33 @@ def test_substrings(odd, none, odd_docs):
     assert new.columns == odd.columns and {r.doc_id: r.text for r in new.collect()}[5] == odd_docs[5][1]
 
 
+def test_passages_of_every_chunk_go_by_levels(spark, monkeypatch):
+    """A passage that every row holds: its strings take a salt for each chunk, and of a salt one goes on."""
+    rnd = random.Random(7)
+    some = lambda n: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    passage = some(40)
+    rows = [(k, f"{some(rnd.randrange(30))} {passage} {some(rnd.randrange(30))}") for k in range(300)]
+    monkeypatch.setattr(substrings, "CHUNK", 2000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    steer = substrings.steering(df, "text", 13, 256, 40)
+    lows = substrings.minimisers(substrings.polynomials(pa.array(passage.split())), 13)
+    assert set(lows.tolist()) <= set(steer.shared.tolist()) and steer.salts == 6
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+        want[i] = " ".join(x for p, x in enumerate(w) if not any(first.get(tuple(w[q : q + 13]), i) < i for q in range(max(0, p - 12), p + 1)))
+    got = {r.doc_id: bytes(r.kept_text).decode() for r in substrings.without(df).collect()}
+    assert got == want and sum(passage in t for t in want.values()) == 1
+    sent = [(b, s, x) for c in range(30) for b, s, x in substrings._cut([i for i, _ in rows[10 * c : 10 * c + 10]], pa.array([t for _, t in rows[10 * c : 10 * c + 10]]), 13, 256, steer, c)]
+    bucket, salted = max(((b, [x for b2, s, x in sent if b2 == b and s == 1]) for b in {b for b, s, _ in sent if s == 1}), key=lambda x: len(x[1]))
+    assert len(salted) == 5 and {s for b, s, _ in sent} == set(range(7))  # thirty chunks over six salts
+    *_, left = substrings._settle(salted, 13, on=True)
+    _, owners, *_ = substrings._unpacked(left)
+    assert set(np.cumsum(np.frombuffer(owners, np.int64)).tolist()) == {0}
+
+
 def test_rows_without_an_id_take_and_lose_nothing(spark):
     text = " ".join(f"w{k}" for k in range(20))
     got = substrings.without(spark.createDataFrame([(None, text), (4, text), (7, text), (None, text)], "doc_id long, text string")).collect()
