@@ -96,7 +96,7 @@ def strange_texts(n):
 
 @pytest.mark.parametrize("targets", [None, {"hot": 0.9, "s1": 0.05}])
 def test_packing_is_whole_and_gapless(odd, odd_docs, targets):
-    got = packing.pack(odd, VOCABULARY, targets, length=128).collect()
+    got = packing.pack(odd, VOCABULARY, targets, length=128, least=(1 if targets is None else 50)).collect()
     encode = ids_of()
     want = Counter((i, tuple(encode(t) + [0])) for i, t, *_ in odd_docs)
     assert sum(r.length for r in got) == sum(len(x) * n for (_, x), n in want.items())
@@ -163,6 +163,57 @@ def test_long_documents_are_placed_in_stretches(odd, monkeypatch):
     assert max(x.sum() for _, _, x in lots) < 300 and sum(x.sum() for _, _, x in lots) == 356
 
 
+@pytest.mark.parametrize(("sources", "least"), [(3, 64), (20, 100), (5000, 100)])
+def test_stretches_keep_documents_together(sources, least):
+    """However many queues there are, documents are cut where stretches and sequences end; queues keep to their shares."""
+    rnd = np.random.default_rng(sources)
+    share, length = rnd.dirichlet(np.ones(sources)), 100
+    totals = np.maximum(1, (share * 100_000).astype(int)) if sources < 100 else rnd.integers(1, 300, sources)
+    quantum = packing.quanta(totals.tolist(), None, length)
+    doc, start, size, seq, off = packing.place(np.zeros(sources, int), totals, np.arange(sources), totals.tolist(), quantum, length, least)
+    order = np.lexsort((off, seq))
+    at = (seq * length + off)[order]
+    assert at.tolist() == np.concatenate([[0], np.cumsum(size[order])[:-1]]).tolist()  # gapless
+    assert np.bincount(doc, size).astype(int).tolist() == totals.tolist()
+    pieces = np.bincount(doc, minlength=sources)
+    assert (pieces <= 2 * (totals // least + 1) + totals // length + 1).all()
+    if sources < 100:  # at any token of the stream, each queue has its share within a stretch of each
+        whole = np.repeat(doc[order], size[order])
+        for upto in range(1000, 100_000, 7001):
+            got = np.bincount(whole[:upto], minlength=sources)
+            assert (np.abs(got - totals * upto / totals.sum()) <= least * (2 + sources * totals / totals.sum())).all()
+
+
+def test_registered_packing(spark):
+    """The query's columns by the tokenizers library, document by document, and pieces that are not shreds."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from hicweave.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    coder, got = Tokenizer.from_file(VOCABULARY), {}
+    rows = QUERIES["op2_packing"](spark, small).collect()
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert set(got) == {d.doc_id for d in docs}
+    for d in docs:
+        ids = coder.encode(d.text or "", add_special_tokens=False).ids + [0]
+        at = 0
+        for r in sorted(got[d.doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert all(n == 1024 for s, n in ends.items() if s < max(ends)) and sum(ends.values()) / len(rows) > 250
+
+
 def test_packing_nothing(none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
