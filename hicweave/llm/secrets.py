@@ -1,7 +1,9 @@
 """Secret scans in DataFrame functions only: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Null texts count as empty. Repeated rows are scanned one by one, empty tables give empty results, other columns are
-carried along. Offsets are code points, ends exclusive.
+carried along. Offsets are code points, ends exclusive. Texts of any length and with any number of hits are scanned whole,
+in time proportional to both: running sums over hits go by blocks of BLOCK, overlaps are told by binary search among
+sorted bounds, and masked texts are put together from pieces that are cut block by block.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits per character that a window of a class must reach: hexadecimal digits, letters of one case, and more kinds of
 #: signs. Windows of digits alone never do. A window of 20 has 4.32 bits at most.
-BITS = {"hex": 3.0, "case": 3.6, "mixed": 3.6}
+BITS = {"hex": 3.0, "case": 3.6, "rare": 3.3, "mixed": 3.6}
 NEVER = 99.0
+#: Letters that words of few languages have many of: a window of one case with RARE_LEAST of them counts as "rare".
+RARE, RARE_LEAST = "jqwxyJQWXY", 2
+#: Elements of an array that are folded one by one; longer arrays are folded block by block.
+BLOCK = 256
 #: A word, in capitals or as up to five humps of an identifier; longer runs of one case are judged by their bits.
 WORD = r"(?:[A-Z]{2,19}|[A-Za-z][a-z]{0,18}(?:[A-Z][a-z]{2,18}){0,4})"
 #: Seven consonants without a vowel between, which words do not have.
@@ -41,19 +47,42 @@ ALLOWED = [
 ]
 
 
+def _blocks(x: str) -> str:
+    """SQL for the array x cut into arrays of BLOCK elements."""
+    return f"transform(sequence(0, (size({x}) - 1) div {BLOCK}), b -> slice({x}, b * {BLOCK} + 1, {BLOCK}))"
+
+
+def _running(blocks: str, step: str, element: str, kind: str) -> str:
+    """SQL for an array of `element`, over $at and $y, for each $y of the arrays in `blocks`: $at is what `step` has made of
+    0 and all elements before. A fold that collects its steps copies them; folds over blocks, then over each block, keep
+    that short."""
+    one = step.replace("$at", "a.at").replace("$y", "y")
+    begins = f"""aggregate({blocks}, named_struct('at', 0, 'got', cast(array() as array<int>)),
+        (a, q) -> named_struct('at', aggregate(q, a.at, (at, y) -> {step.replace("$at", "at").replace("$y", "y")}), 'got', concat(a.got, array(a.at))), a -> a.got)"""
+    return f"""flatten(zip_with({blocks}, {begins}, (q, begin) -> aggregate(q, named_struct('at', begin, 'got', cast(array() as array<{kind}>)),
+        (a, y) -> named_struct('at', {one}, 'got', concat(a.got, array({element.replace("$at", "a.at").replace("$y", "y")}))), a -> a.got)))"""
+
+
+NO_SPANS = "cast(array() as array<struct<s:int,o:int,e:int>>)"
+
+
 def _located(df: DataFrame, text: str, name: str, pattern: str, order: int, keep: str) -> DataFrame:
     """Adds the array `name` of struct(s, o, e) for the matches of pattern for which `keep`, SQL over x, holds."""
-    m, p = f"_{name}_m", f"_{name}_p"
+    m, q = f"_{name}_m", f"_{name}_q"
     df = df.withColumn(m, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    df = df.withColumn(p, F.when(F.size(m) > 0, F.transform(F.split(text, pattern, -1), F.char_length)))
-    walk = f"""aggregate(zip_with({m}, slice({p}, 1, size({m})), (x, n) -> struct(x as x, n as n)),
-        struct(0 as at, cast(array() as array<struct<s:int,o:int,e:int>>) as got),
-        (a, y) -> struct(a.at + y.n + char_length(y.x) as at,
-            case when {keep.replace("$x", "y.x")} then concat(a.got, array(struct(a.at + y.n as s, {order} as o, a.at + y.n + char_length(y.x) as e)))
-                 else a.got end as got),
-        a -> a.got)"""
-    df = df.withColumn(name, F.when(F.size(m) > 0, F.expr(walk)).otherwise(F.expr("cast(array() as array<struct<s:int,o:int,e:int>>)")))
-    return df.drop(m, p)
+    between = F.transform(F.split(text, pattern, -1), F.char_length)  # one more than matches: the last is left out
+    df = df.withColumn(q, F.when(F.size(m) > 0, F.zip_with(m, F.slice(between, 1, F.size(m)), lambda x, n: F.struct(x.alias("x"), n.alias("n")))))
+    df = df.withColumn(q, F.when(F.size(m) > 0, F.expr(_blocks(q))))
+    walk = _running(q, "$at + $y.n + char_length($y.x)", "named_struct('x', $y.x, 's', $at + $y.n)", "struct<x:string,s:int>")
+    spans = f"transform(filter({walk}, w -> {keep.replace('$x', 'w.x')}), w -> struct(w.s as s, {order} as o, w.s + char_length(w.x) as e))"
+    return df.withColumn(name, F.when(F.size(m) > 0, F.expr(spans)).otherwise(F.expr(NO_SPANS))).drop(m, q)
+
+
+def _count_below(sorted_: str, value: str, strict: bool) -> str:
+    """SQL for how many elements of a sorted array are below a value, or not above it: by halving."""
+    return f"""aggregate(sequence(1, 32), named_struct('lo', 0, 'hi', size({sorted_})), (a, i) -> case when a.lo >= a.hi then a
+        when get({sorted_}, (a.lo + a.hi) div 2) {"<" if strict else "<="} {value} then named_struct('lo', int((a.lo + a.hi) div 2 + 1), 'hi', a.hi)
+        else named_struct('lo', a.lo, 'hi', int((a.lo + a.hi) div 2)) end, a -> a.lo)"""
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -67,9 +96,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     out = _located(out, "_t", "_hex", HEX_LONG, 2, f"char_length($x) >= {HEX_LEAST}")
     out = _located(out, "_t", "_entropy", CANDIDATE, 3, f"not ({_allowed('$x')}) and {excess_bits('$x')} >= 0")
     out = out.withColumn("base_spans", F.sort_array(F.concat("_assign", "_access", "_hex")))
-    extra = F.expr("filter(_entropy, x -> not exists(base_spans, y -> y.s < x.e and x.s < y.e))")
+    # Base spans that begin before a span's end, less those that end before its start, overlap it.
+    begins, ends = F.sort_array(F.transform("base_spans", lambda y: y["s"])), F.sort_array(F.transform("base_spans", lambda y: y["e"]))
+    out = out.withColumns({"_begins": F.when(F.size("_entropy") > 0, begins), "_ends": F.when(F.size("_entropy") > 0, ends)})
+    extra = F.expr(f"filter(_entropy, x -> {_count_below('_begins', 'x.e', True)} = {_count_below('_ends', 'x.s', False)})")
     out = out.withColumn("found_spans", F.when(F.size("_entropy") == 0, F.col("base_spans")).otherwise(F.sort_array(F.concat("base_spans", extra))))
-    return out.withColumnRenamed("_entropy", "entropy_spans").drop("_t", "_assign", "_access", "_hex")
+    return out.withColumnRenamed("_entropy", "entropy_spans").drop("_t", "_assign", "_access", "_hex", "_begins", "_ends")
 
 
 #: A maximal run that is long enough; possessive, so that a short run costs one pass.
@@ -96,9 +128,10 @@ def _codes() -> list[int]:
 
 
 def _classes() -> list[int]:
-    """For each sign a one at its class's place: digits, letters to f, other letters, the same as capitals, the rest."""
+    """For each sign a one at its class's place: digits, letters to f, other letters, the same as capitals, the rest; and a
+    one at the place of rare letters."""
     place = lambda c: 0 if c.isdigit() else 4 if not c.isalpha() else (1 if c in "abcdef" else 2) if c.islower() else (3 if c in "ABCDEF" else 5)
-    return [1 << 8 * place(c) for c in SIGNS]
+    return [(1 << 8 * place(c)) + ((1 << 48) if c in RARE else 0) for c in SIGNS]
 
 
 def excess_bits(x: str, window: int = WINDOW, classes: bool = True) -> str:
@@ -118,7 +151,7 @@ def excess_bits(x: str, window: int = WINDOW, classes: bool = True) -> str:
     count = lambda c: f"cast(shiftright({slot(c)}, {PLACE_BITS} * ({c} % {PLACES})) & {(1 << PLACE_BITS) - 1} as int)"
     moved = lambda k: f"a.c{k} + (case when z.i div {PLACES} = {k} then {whole('z.i')} else 0L end) - (case when z.o div {PLACES} = {k} and z.o >= 0 then {whole('z.o')} else 0L end)"
     mask = lambda *places: sum(255 << 8 * p for p in places)
-    least = f"""case when k & {mask(1, 2, 3, 4, 5)}L = 0 then {NEVER} when k & {mask(0, 3, 4, 5)}L = 0 or k & {mask(0, 1, 2, 4)}L = 0 then {BITS['case']}
+    least = f"""case when k & {mask(1, 2, 3, 4, 5)}L = 0 then {NEVER} when k & {mask(0, 3, 4, 5)}L = 0 or k & {mask(0, 1, 2, 4)}L = 0 then case when shiftright(k, 48) >= {RARE_LEAST} then {BITS['rare']} else {BITS['case']} end
         when k & {mask(2, 4, 5)}L = 0 then {BITS['hex']} else {BITS['mixed']} end"""
     fields = ", ".join(f"'c{k}', 0L" for k in range(SLOTS))
     updates = ", ".join(f"'c{k}', {moved(k)}" for k in range(SLOTS))
@@ -144,12 +177,16 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFra
     columns, whatever their names, stay as they are."""
     own = {c: f"_own_{c}" for c in ("base_spans", "entropy_spans", "found_spans") if c in df.columns}
     out = scan(df.withColumnsRenamed(own), text)
-    fold = f"""aggregate(found_spans, struct(1 as at, '' as t),
-        (a, x) -> case when x.e < a.at then a
-                  when x.s + 1 < a.at then struct(x.e + 1 as at, a.t as t)
-                  else struct(x.e + 1 as at, concat(a.t, substr(`{text}`, a.at, x.s + 1 - a.at), '{mask}') as t) end,
-        a -> concat(a.t, substr(`{text}`, a.at)))"""
-    return out.withColumn(text, F.when(F.size("found_spans") > 0, F.expr(fold)).otherwise(F.col(text))).drop("base_spans", "entropy_spans", "found_spans").withColumnsRenamed({b: a for a, b in own.items()}).select(df.columns)
+    out = out.withColumn("_f", F.when(F.size("found_spans") > 0, F.expr(_blocks("found_spans"))))
+    # Of spans that overlap, the first begins a gap; what is kept lies between the furthest end so far and the next gap.
+    gaps = f"filter({_running('_f', 'greatest($at, $y.e)', "named_struct('a', $at, 'b', $y.s)", 'struct<a:int,b:int>')}, g -> g.b >= g.a)"
+    out = out.withColumn("_g", F.when(F.size("found_spans") > 0, F.expr(gaps)))
+    out = out.withColumn("_h", F.when(F.size("found_spans") > 0, F.expr(_blocks("_g"))))
+    cut = f"""flatten(transform(_h, q -> transform(array(substr(`{text}`, q[0].a + 1, element_at(q, -1).b - q[0].a)), t -> transform(q, g -> substr(t, g.a - q[0].a + 1, g.b - g.a)))[0]))"""
+    tail = f"substr(`{text}`, aggregate(found_spans, 0, (a, y) -> greatest(a, y.e)) + 1)"
+    masked = F.expr(f"concat(array_join({cut}, '{mask}'), '{mask}', {tail})")
+    out = out.withColumn(text, F.when(F.size("found_spans") > 0, masked).otherwise(F.col(text)))
+    return out.drop("base_spans", "entropy_spans", "found_spans", "_f", "_g", "_h").withColumnsRenamed({b: a for a, b in own.items()}).select([f"`{c}`" for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -189,7 +226,7 @@ bits AS (
   SELECT x, w, -sum(c / {WINDOW}.0 * log2(c / {WINDOW}.0)) AS h
   FROM (SELECT x, w, ch, CAST(count(*) AS DOUBLE) AS c FROM (SELECT DISTINCT x, w FROM win), (SELECT unnest(range(1, {WINDOW + 1})) AS j), LATERAL (SELECT substr(w, j, 1) AS ch) GROUP BY x, w, ch) GROUP BY x, w),
 secret AS (
-  SELECT DISTINCT x FROM bits WHERE h >= CASE WHEN regexp_matches(w, '^[0-9]+$') THEN {NEVER} WHEN regexp_matches(w, '^([a-z]+|[A-Z]+)$') THEN {BITS['case']}
+  SELECT DISTINCT x FROM bits WHERE h >= CASE WHEN regexp_matches(w, '^[0-9]+$') THEN {NEVER} WHEN regexp_matches(w, '^([a-z]+|[A-Z]+)$') THEN CASE WHEN length(regexp_replace(w, '[^{RARE}]', '', 'g')) >= {RARE_LEAST} THEN {BITS['rare']} ELSE {BITS['case']} END
     WHEN regexp_matches(w, '^[0-9a-fA-F]+$') THEN {BITS['hex']} ELSE {BITS['mixed']} END),
 ent AS (SELECT rid, o, s, s + length(x) AS e FROM f JOIN secret USING (x) WHERE o = 3),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM ent WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = ent.rid AND base.s < ent.e AND ent.s < base.e)),
