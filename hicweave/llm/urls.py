@@ -5,6 +5,9 @@ token a whole run of letters and digits. The index holds a rule once for each al
 the fewest URLs contain; a URL's tokens fetch the rules to try, and only those run. Rules without a literal token are
 refused, and so are rules of which the regular expression does not show that every match holds an alternative.
 
+Letters match in either case if they are A to Z; others, even those that some engines fold to them (U+0130, U+0131, U+017F,
+U+212A), match as they are: in rules, in the index and in tokens alike.
+
 Null URLs and URLs without :// have empty host and path, fit no base rule and are allowed. Repeated rows and repeated ids
 are judged one by one, URLs of any length are judged whole; an empty table or an empty list of rules gives allow.
 Columns of the caller's that are named like a result (host, path, rule, verdict, patterns) are replaced.
@@ -87,7 +90,7 @@ def parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host and path."""
     at = F.instr(F.col(url), "://")
     rest = F.when(at > 0, F.substring(F.col(url), at + 3, F.length(F.col(url)))).otherwise(F.lit(""))
-    lower = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return df.withColumns({"host": F.coalesce(lower, F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
@@ -102,17 +105,19 @@ def base_rule(rules=BASE_RULES) -> Column:
 
 
 def tokens() -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(F.concat("host", F.lit(" "), "path")), LONG_S, "s"), F.lit(TOKEN), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.translate(F.concat("host", F.lit(" "), "path"), UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
 
 
-#: Matches s where case does not count.
-LONG_S = "\u017f"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(UPPER, LOWER)
+#: How rules match: letters A to Z in either case, no other letter as one of them.
+FLAGS = re.I | re.A
 #: What a way through a regular expression passes besides letters and digits: what parts tokens, and what may be anything.
 EDGE, ANYTHING = "|", "?"
 
 
 def _char(code: int) -> str:
-    c = chr(code).lower().replace(LONG_S, "s")
+    c = chr(code).translate(_TO_LOWER)
     return c if re.fullmatch("[a-z0-9]", c) else EDGE
 
 
@@ -172,7 +177,7 @@ def _joined(a: list[str], b: list[str]) -> list[str]:
 def unheld(p: Pattern) -> list[str]:
     """Ways through the rule's regular expression that do not show all tokens of some alternative as whole ones."""
     whole = lambda way: set(re.findall(r"(?<=\|)[a-z0-9]+(?=\|)", way))
-    return [w for w in _ways(_parser.parse(p.regex, re.I)) if not any(whole(w).issuperset(x) for x in p.entries)]
+    return [w for w in _ways(_parser.parse(p.regex, FLAGS)) if not any(whole(w).issuperset(x) for x in p.entries)]
 
 
 def index(df: DataFrame, patterns: list[Pattern]) -> dict[str, list[tuple[str, str]]]:
@@ -203,13 +208,13 @@ def matching(df: DataFrame, patterns: list[Pattern]) -> DataFrame:
     rules = index(df, patterns)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {t: [(name, re.compile(x, re.I)) for name, x in rs] for t, rs in rules.items()}
+        compiled = {t: [(name, re.compile(x, FLAGS)) for name, x in rs] for t, rs in rules.items()}
         split = re.compile(TOKEN).findall
         for batch in batches:
             found = []
             for host, path in zip(batch["host"], batch["path"]):
                 named = set()
-                for t in compiled.keys() & split(f"{host} {path}".lower().replace(LONG_S, "s")):
+                for t in compiled.keys() & split(f"{host} {path}".translate(_TO_LOWER)):
                     named.update(name for name, x in compiled[t] if x.search(host + path))
                 found.append(sorted(named))
             yield batch.assign(patterns=found)
@@ -229,7 +234,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-_LIKE = " OR ".join(f"regexp_matches(host || path, '(?i){p.regex}')" for p in PATTERNS)
+_LIKE = " OR ".join(f"regexp_matches(translate(host || path, '{UPPER}', '{LOWER}'), '{p.regex}')" for p in PATTERNS)
 ORACLE = rf"""
 WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 b AS (
