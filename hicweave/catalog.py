@@ -12,7 +12,7 @@ from .functions import floor_div, reverse_complement
 from .operators import contacts as C
 from .operators import correct, density, layout, score, stats
 from .operators import graph as G
-from .operators.tables import numbered, shared_folder
+from .operators.tables import numbered, quantiles, shared_folder
 from .plans import Config, average_links, linked, one_round, pair_scores, scaffold
 from .sources import derived as D
 from .sources import text as S
@@ -222,7 +222,7 @@ def _(spark, d):
 def _(spark, d):
     at = D.contigs(spark, d).select("contig", F.explode(F.expr("sequence(bigint(1), len, bigint(50000))")).alias("start")).withColumn("end", F.col("start") + 49_999)
     seg = at.withColumn("seg", F.concat_ws("_", "contig", F.col("start").cast("string"), F.col("end").cast("string")))
-    return C.split_by_segments(D.contacts(spark, d), seg, 50_000)
+    return C.split_by_segments(D.contacts(spark, d), seg)
 
 
 @query(
@@ -234,7 +234,19 @@ def _(spark, d):
 def _(spark, d):
     at = D.contigs(spark, d).select("contig", F.explode(F.expr("sequence(bigint(1), len, bigint(50000))")).alias("start")).withColumn("end", F.col("start") + 59_999)
     seg = at.withColumn("seg", F.concat_ws("_", "contig", F.col("start").cast("string"), F.col("end").cast("string")))
-    return C.split_by_segments(D.contacts(spark, d), seg, 50_000)
+    return C.split_by_segments(D.contacts(spark, d), seg)
+
+
+@query(
+    "j8_segments_of_any_length",
+    """WITH s AS (SELECT contig, CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS seg, CASE k WHEN 0 THEN 1 WHEN 1 THEN 1001 ELSE 1501 END AS a, CASE k WHEN 0 THEN 1000 WHEN 1 THEN 1500 ELSE 1000000000 END AS b FROM contigs, (VALUES (0), (1), (2)) v(k))
+       SELECT p.contig || p.seg AS chr1, pos1 - p.a + 1 AS pos1, q.contig || q.seg AS chr2, pos2 - q.a + 1 AS pos2 FROM contacts JOIN s p ON p.contig = chr1 AND pos1 BETWEEN p.a AND p.b JOIN s q ON q.contig = chr2 AND pos2 BETWEEN q.a AND q.b""",
+)
+def _(spark, d):
+    """Half a kilobase, one, and a gigabase on each contig."""
+    some = F.array(*[F.struct(F.lit(s).alias("seg"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for s, a, b in (("a", 1, 1000), ("b", 1001, 1500), ("c", 1501, 1_000_000_000))])
+    seg = D.contigs(spark, d).select("contig", F.explode(some).alias("s")).select("contig", F.concat("contig", "s.seg").alias("seg"), "s.start", "s.end")
+    return C.split_by_segments(D.contacts(spark, d), seg)
 
 
 @query("j1_contact_lengths", "SELECT chr1, chr2, pos1, pos2, a.len AS len1, b.len AS len2 FROM contacts JOIN contigs a ON chr1 = a.contig JOIN contigs b ON chr2 = b.contig")
@@ -295,7 +307,8 @@ def _(spark, d):
 
 @query(
     "g2_components",
-    """SELECT contig, concat('ctg', lpad(CAST(CAST(floor(CAST(substr(contig, 4) AS BIGINT) / 5) * 5 AS BIGINT) AS VARCHAR), 6, '0')) AS component FROM contigs""",
+    """WITH RECURSIVE b AS MATERIALIZED (SELECT i AS x, j AS y FROM edges UNION ALL SELECT j, i FROM edges), r AS (SELECT contig, contig AS other FROM contigs UNION SELECT r.contig, y FROM r JOIN b ON x = other)
+       SELECT contig, min(other) AS component FROM r GROUP BY contig""",
 )
 def _(spark, d):
     e = linked(D.contacts(spark, d), D.contigs(spark, d), average(spark, d), CONFIG, T)
@@ -652,10 +665,10 @@ def _(spark, d):
     return numbered(D.sequences(spark, d).select("name"), [F.substring("name", 4, 20).cast("long")], "place")
 
 
-@query("f8_quantiles", "SELECT quantile_cont(len, 0.005) AS low, median(len) AS middle, quantile_cont(len, 0.995) AS high FROM lens")
+@query("f8_quantiles", "SELECT round(quantile_cont(len, 0.005), 9) AS low, round(median(len), 9) AS middle, round(quantile_cont(len, 0.995), 9) AS high FROM lens")
 def _(spark, d):
-    n = D.read(spark, d, "documents")
-    return n.agg(F.percentile("n_chars", 0.005).alias("low"), F.median("n_chars").alias("middle"), F.percentile("n_chars", 0.995).alias("high"))
+    q = quantiles(D.read(spark, d, "documents"), "n_chars", [0.005, 0.5, 0.995])
+    return q.agg(*[F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 9).alias(name) for s, name in ((0.005, "low"), (0.5, "middle"), (0.995, "high"))])
 
 
 @query(

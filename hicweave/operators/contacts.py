@@ -47,16 +47,25 @@ def inter(contacts: DataFrame) -> DataFrame:
     return contacts.filter("chr1 <> chr2")
 
 
-def split_by_segments(contacts: DataFrame, segments: DataFrame, length: int) -> DataFrame:
+def split_by_segments(contacts: DataFrame, segments: DataFrame) -> DataFrame:
     """Contacts moved onto segments (contig, seg, start, end) of their contigs: the first segment that holds a position
-    wins, positions count from 1. Segments are matched through grid cells of `length`, so that the join is on equality.
-    Where segments overlap, the part that an earlier one holds is taken off the later one before any contact is met."""
+    wins, positions count from 1. Where segments overlap, the part that an earlier one holds is taken off the later one
+    before any contact is met.
+
+    A segment lies in one or two cells of the least power of two that is no shorter than it, whatever its length; a
+    position looks into its cell of each width that occurs, 63 at most. So the join is on equality, by contig, width and
+    cell, and segments of a kilobase and of a gigabase may stand side by side.
+    """
     before = Window.partitionBy("contig").orderBy("start", "end", "seg").rowsBetween(Window.unboundedPreceding, -1)
     own = segments.withColumn("own", F.greatest("start", F.coalesce(F.max("end").over(before) + 1, F.col("start")))).filter("own <= end")
-    cells = own.withColumn("cell", F.explode(F.sequence(floor_div(F.col("own"), length), floor_div(F.col("end"), length))))
+    length = F.col("end") - F.col("own") + 1
+    own = own.withColumn("width", F.when(length > 1, F.length(F.bin(length - 1))).otherwise(0))
+    widths = [r.width for r in own.select("width").distinct().collect()]
+    cells = own.withColumn("cell", F.explode(F.expr("sequence(shiftright(own, width), shiftright(end, width))"))).select(*[F.col(c).alias(f"_{c}") for c in ("contig", "seg", "start", "end", "own", "width", "cell")])
 
     def moved(df: DataFrame, c: str, p: str) -> DataFrame:
-        near = df.withColumn("cell", floor_div(F.col(p), length)).join(cells, (F.col(c) == F.col("contig")) & (df[p] >= F.col("own")) & (df[p] <= F.col("end")) & (floor_div(F.col(p), length) == cells["cell"]))
-        return near.withColumns({c: F.col("seg"), p: F.col(p) - F.col("start") + 1}).select(*df.columns)
+        at = df.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>"))).withColumn("_c", F.expr(f"shiftright({p}, _w)"))
+        near = at.join(cells, (F.col(c) == F.col("_contig")) & (F.col("_w") == F.col("_width")) & (F.col("_c") == F.col("_cell")) & (F.col(p) >= F.col("_own")) & (F.col(p) <= F.col("_end")))
+        return near.withColumns({c: F.col("_seg"), p: F.col(p) - F.col("_start") + 1}).select(*df.columns)
 
     return moved(moved(contacts, "chr1", "pos1"), "chr2", "pos2")

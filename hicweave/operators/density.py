@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import floor_div
 from .contacts import end_bins, intra
+from .tables import quantiles
 
 
 def diagonal(contacts: DataFrame, contigs: DataFrame, bin_size: int) -> DataFrame:
@@ -20,7 +21,7 @@ def diagonal(contacts: DataFrame, contigs: DataFrame, bin_size: int) -> DataFram
 def average_links(density: DataFrame, contigs: DataFrame, bin_size: int) -> DataFrame:
     """The exact median over all bins but each contig's last."""
     inner = density.join(contigs, "contig").filter(F.col("bin") < floor_div(F.col("len"), bin_size))
-    return inner.agg(F.median("n").alias("average_links"))
+    return quantiles(inner, "n", [0.5]).agg(F.max("value").alias("average_links"))
 
 
 def ends(contacts: DataFrame, contigs: DataFrame, bin_size: int, triangle: int) -> DataFrame:

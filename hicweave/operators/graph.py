@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled, spent
+from ..functions import transposed
+from .tables import running, settled, spent
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -27,63 +27,76 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> Dat
     raise RuntimeError("components did not settle")
 
 
-def walk(links: pd.DataFrame) -> list[list[str]]:
-    """Paths of one component, from links (i, j, w, code) with i < j. A cycle loses its weakest link; where a contig
-    would meet both neighbours with the same end, it becomes a path of its own."""
-    rows = {(a, b): (w, c) for a, b, w, c in links[["i", "j", "w", "code"]].itertuples(index=False)}
-    near: dict[str, list[str]] = {}
-    for a, b in rows:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    if all(len(x) == 2 for x in near.values()):
-        a, b = min(rows, key=lambda k: (rows[k][0], k))
-        near[a].remove(b)
-        near[b].remove(a)
-    path, last = [min(n for n, x in near.items() if len(x) == 1)], None
-    while following := [n for n in near[path[-1]] if n != last]:
-        last = path[-1]
-        path.append(following[0])
-    out, part, k = [], [path[0]], 1
-    while k < len(path):
-        if k + 1 < len(path) and len(part) and part[-1] == path[k - 1] and not (code(rows, path[k - 1], path[k]) >> 1 ^ code(rows, path[k], path[k + 1])) & 1:
-            out += [part, [path[k]]]
-            part = [path[k + 1]]
-            k += 2
-            continue
-        part.append(path[k])
-        k += 1
-    return [p for p in [*out, part] if p]
+def ranked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs (a, b, code, dist, end) of the chains: how many links lie from a over b to the chain's end, and which contig
+    that is; and arcs of the rings with `low`, the weakest link of each.
 
+    List ranking by pointer doubling: an arc points to the next one and knows what lies between; in each round it takes
+    over what that one knows, so that a chain of n contigs takes log n rounds and no task sees a chain. What has reached
+    an end rests. What goes on when all contigs would be passed is a ring, and has met each of its links.
+    """
+    both = edges.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("code").cast("int").alias("code"), F.struct("w", "i", "j").alias("low"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), transposed(F.col("code")).cast("int").alias("code"), "low"))
+    ahead = both.select(F.col("a").alias("b"), F.col("b").alias("next"))
+    joined = both.join(ahead.withColumnRenamed("b", "_at"), (F.col("b") == F.col("_at")) & (F.col("a") != F.col("next")), "left")
+    now = settled(joined.select("a", "b", "code", F.lit(1).cast("long").alias("dist"), F.col("b").alias("end"), F.when(F.col("next").isNotNull(), F.col("b")).alias("na"), F.col("next").alias("nb"), "low"), "arcs")
+    span, most = 1, edges.count() + 1
+    while now.filter("nb is not null").limit(1).count() and span < most:
+        other = now.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("dist").alias("_d"), F.col("end").alias("_e"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), F.col("low").alias("_l"))
+        step = now.filter("nb is not null").join(other, ["na", "nb"]).select("a", "b", "code", (F.col("dist") + F.col("_d")).alias("dist"), F.col("_e").alias("end"), F.col("_na").alias("na"), F.col("_nb").alias("nb"), F.least("low", "_l").alias("low"))
+        before, now = now, settled(now.filter("nb is null").unionByName(step), "arcs")
+        spent(before)
+        span *= 2
+    return now.filter("nb is null").select("a", "b", "code", "dist", "end"), now.filter("nb is not null").select("a", "b", "low")
 
-def code(rows: dict, a: str, b: str) -> int:
-    """Ends by which a (bit 0) and b (bit 1) meet."""
-    if (a, b) in rows:
-        return int(rows[a, b][1])
-    c = int(rows[b, a][1])
-    return c if c in (0, 3) else 3 - c
 
+def chained(edges: DataFrame) -> DataFrame:
+    """chain (its smaller end), ord, contig, before and behind: codes of the links to the contigs before and behind, null
+    at the ends. A ring is opened at its weakest link, of equals that of the smallest contigs."""
+    edges = edges.select("i", "j", "w", "code")
+    arcs, rings = ranked(edges)
+    if rings.limit(1).count():
+        ring = settled(edges.join(rings.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "low").distinct(), ["i", "j"]), "rings")
+        opened, _ = ranked(ring.filter("i <> low.i or j <> low.j").drop("low"))
+        arcs = settled(arcs.unionByName(opened), "arcs")
+    ends = arcs.groupBy("a").agg(F.min("end").alias("m"), F.count("*").alias("n"))
+    chain = ends.select("a", F.when(F.col("n") == 1, F.least("m", "a")).otherwise(F.col("m")).alias("chain"))
+    known = arcs.join(chain, "a")
+    back = known.filter("end = chain").select("chain", (F.col("dist") + 1).alias("ord"), F.col("a").alias("contig"), transposed(F.col("code")).alias("before"))
+    first = chain.filter("a = chain").select("chain", F.lit(1).cast("long").alias("ord"), F.col("a").alias("contig"), F.lit(None).cast("int").alias("before"))
+    on = known.filter("end <> chain").select(F.col("a").alias("contig"), F.col("code").alias("behind"))
+    return back.unionByName(first).join(on, "contig", "left").select("chain", "ord", "contig", "before", "behind")
 
-def oriented(path: list[str], rows: dict) -> list[int]:
-    """1 for contigs that lie reversed: a path leaves its first contig by one end and enters each other by one."""
-    if len(path) == 1:
-        return [0]
-    first = 0 if code(rows, path[0], path[1]) & 1 else 1
-    return [first, *(code(rows, a, b) >> 1 & 1 for a, b in zip(path, path[1:]))]
 
+def split_at_conflicts(chains: DataFrame) -> DataFrame:
+    """Adds part, a number, to chains: a contig that meets both neighbours with one end becomes a part of its own, and the
+    next one is not looked at.
 
-def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path (the smallest contig of it), ord, contig, orient. A component is a chain or a ring, as a contig has two
-    neighbours at most; each is walked by one task, a row for each link, so that the contigs of one chromosome have to
-    fit a task. Contigs without links are paths of one."""
-    label = components(edges, nodes)
-    linked = edges.join(label.withColumnRenamed("contig", "i"), "i")
+    That rule is an automaton of two states, looking and not: a contig without conflict leads to looking from either, one
+    with a conflict changes the state. So the state at a contig is told by how many conflicts follow each other before it:
+    of a run of them, the first, third, fifth ... are split. Runs and parts come from sums over ranges of all chains.
+    """
+    clash = F.col("before").isNotNull() & F.col("behind").isNotNull() & (F.shiftright("before", 1).bitwiseXOR(F.col("behind")).bitwiseAND(F.lit(1)) == 0)
+    counted = running(chains.withColumn("clash", clash), ["chain", "ord"], {"clashes": F.col("clash").cast("long")})
+    runs = counted.filter("clash").withColumn("run", F.col("ord") - F.col("clashes"))
+    starts = runs.groupBy("chain", "run").agg(F.min("ord").alias("begin"))
+    alone = settled(runs.join(starts, ["chain", "run"]).filter("(ord - begin) % 2 = 0").select("chain", "ord"), "alone")
+    marks = alone.select("chain", F.explode(F.array("ord", F.col("ord") + 1)).alias("ord"), F.lit(1).cast("long").alias("mark")).distinct()
+    marked = chains.join(marks, ["chain", "ord"], "left").withColumn("mark", F.when(F.col("ord") == 1, F.lit(1).cast("long")).otherwise(F.coalesce("mark", F.lit(0).cast("long"))))
+    out = running(marked, ["chain", "ord"], {"parts": F.col("mark")})
+    return out.select("chain", "ord", "contig", "before", "behind", (F.col("parts") + F.col("mark")).alias("part"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {(a, b): (w, c) for a, b, w, c in pdf[["i", "j", "w", "code"]].itertuples(index=False)}
-        out = [(min(p), k + 1, c, o) for p in walk(pdf) for k, (c, o) in enumerate(zip(p, oriented(p, rows)))]
-        return pd.DataFrame(out, columns=["path", "ord", "contig", "orient"])
 
-    found = linked.groupBy("component").applyInPandas(run, "path string, ord int, contig string, orient int")
+def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """path (the smallest contig of it), ord, contig, orient (1 for contigs that lie reversed). A path leaves its first
+    contig by one end and enters each other by one. Contigs without links are paths of one. Joins, sums and groups alone:
+    a chromosome of any number of contigs is no task's by itself."""
+    parts = settled(split_at_conflicts(settled(chained(edges), "chains")), "parts")
+    named = parts.groupBy("part").agg(F.min("contig").alias("path"), F.min("ord").alias("begin"), F.count("*").alias("n"))
+    leaves = 1 - F.col("behind").bitwiseAND(F.lit(1))
+    enters = F.shiftright("before", 1).bitwiseAND(F.lit(1))
+    orient = F.when(F.col("n") == 1, 0).when(F.col("ord") == F.col("begin"), leaves).otherwise(enters)
+    found = parts.join(named, "part").select("path", (F.col("ord") - F.col("begin") + 1).cast("int").alias("ord"), "contig", orient.cast("int").alias("orient"))
     ends = edges.select(F.col("i").alias("contig")).union(edges.select("j")).distinct()
     alone = nodes.join(ends, "contig", "left_anti").select(F.col("contig").alias("path"), F.lit(1).alias("ord"), "contig", F.lit(0).alias("orient"))
     return found.unionByName(alone)

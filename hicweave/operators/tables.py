@@ -60,3 +60,18 @@ def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
 def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     """Adds the place of each row in the given order, from 1."""
     return running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """share, value: exact quantiles of a column's values that are not null, interpolated between neighbours; no row if
+    there are none. Equal values are counted, the counts are summed up by ranges of values, and of all values only the one
+    or two at each share's place are taken: no task holds them all."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    run = settled(running(counts, ["value"], {"before": F.col("n")}), "quantiles")
+    total = run.agg(F.max(F.col("before") + F.col("n"))).collect()[0][0] or 0  # one number
+    wanted = df.sparkSession.createDataFrame([(float(s), int(k), s * (total - 1) - int(s * (total - 1))) for s in shares for k in [s * (total - 1)] if total], "share double, k long, part double")
+    places = wanted.select("share", "part", "k", F.explode(F.array("k", F.least(F.col("k") + 1, F.lit(total - 1)))).alias("place"))
+    # As many places as shares, twice, against ranges of counts.
+    met = run.join(F.broadcast(places), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
+    low, high = F.max(F.when(F.col("place") == F.col("k"), F.col("value"))), F.max(F.when(F.col("place") == F.least(F.col("k") + 1, F.lit(total - 1)), F.col("value")))
+    return met.groupBy("share", "part").agg(low.alias("low"), high.alias("high")).select("share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).cast("double").alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hicweave import plans
 from hicweave.functions import floor_div, half, reverse_complement, transposed
 from hicweave.operators import contacts, correct, density, graph, layout, score, stats
-from hicweave.operators.tables import numbered, running, settled
+from hicweave.operators.tables import numbered, quantiles, running, settled
 from hicweave.plans import Config, scaffold
 from hicweave.sources import text
 
@@ -62,17 +62,91 @@ def test_half_precision(spark):
     assert all(r.h == float(np.float16(r.v)) for r in got)
 
 
+def walk(links: pd.DataFrame) -> list[list[str]]:
+    """Paths of one component, from links (i, j, w, code) with i < j. A cycle loses its weakest link; where a contig
+    would meet both neighbours with the same end, it becomes a path of its own."""
+    rows = {(a, b): (w, c) for a, b, w, c in links[["i", "j", "w", "code"]].itertuples(index=False)}
+    near: dict[str, list[str]] = {}
+    for a, b in rows:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    if all(len(x) == 2 for x in near.values()):
+        a, b = min(rows, key=lambda k: (rows[k][0], k))
+        near[a].remove(b)
+        near[b].remove(a)
+    path, last = [min(n for n, x in near.items() if len(x) == 1)], None
+    while following := [n for n in near[path[-1]] if n != last]:
+        last = path[-1]
+        path.append(following[0])
+    out, part, k = [], [path[0]], 1
+    while k < len(path):
+        if k + 1 < len(path) and len(part) and part[-1] == path[k - 1] and not (code(rows, path[k - 1], path[k]) >> 1 ^ code(rows, path[k], path[k + 1])) & 1:
+            out += [part, [path[k]]]
+            part = [path[k + 1]]
+            k += 2
+            continue
+        part.append(path[k])
+        k += 1
+    return [p for p in [*out, part] if p]
+
+
+def code(rows: dict, a: str, b: str) -> int:
+    """Ends by which a (bit 0) and b (bit 1) meet."""
+    if (a, b) in rows:
+        return int(rows[a, b][1])
+    c = int(rows[b, a][1])
+    return c if c in (0, 3) else 3 - c
+
+
+def oriented(path: list[str], rows: dict) -> list[int]:
+    """1 for contigs that lie reversed: a path leaves its first contig by one end and enters each other by one."""
+    if len(path) == 1:
+        return [0]
+    first = 0 if code(rows, path[0], path[1]) & 1 else 1
+    return [first, *(code(rows, a, b) >> 1 & 1 for a, b in zip(path, path[1:]))]
+
+
 def links(*x):
     return pd.DataFrame(x, columns=["i", "j", "w", "code"])
 
 
 def test_cycle_loses_its_weakest_link():
-    assert graph.walk(links(("a", "b", 0.9, 1), ("b", "c", 0.8, 1), ("a", "c", 0.4, 2))) == [["a", "b", "c"]]
+    assert walk(links(("a", "b", 0.9, 1), ("b", "c", 0.8, 1), ("a", "c", 0.4, 2))) == [["a", "b", "c"]]
 
 
 def test_conflict_makes_single_paths():
     # b meets both neighbours with its start.
-    assert sorted(graph.walk(links(("a", "b", 0.9, 1), ("b", "c", 0.8, 0)))) == [["a"], ["b"], ["c"]]
+    assert sorted(walk(links(("a", "b", 0.9, 1), ("b", "c", 0.8, 0)))) == [["a"], ["b"], ["c"]]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_paths_against_a_walk(spark, seed):
+    """Chains and rings of every length with random ends: the walk of plain loops, without a Python worker."""
+    rng = np.random.default_rng(seed)
+    rows_, nodes, want, at = [], [], [], 0
+    for n in [1, 2, 3, 3, 4, 5, 6, 7, 9, 14, 30, 33] + [3, 4, 5, 8, 17]:
+        ring = len(nodes) > 110
+        own = [f"n{k:03d}" for k in rng.permutation(np.arange(at, at + n))]
+        at += n
+        nodes += own
+        pairs = list(zip(own, own[1:])) + ([(own[-1], own[0])] if ring else [])
+        mine = [(min(p), max(p), float(rng.integers(1, 4)), int(rng.integers(0, 4))) for p in pairs]
+        rows_ += mine
+        known = {(a, b): (w, c) for a, b, w, c in mine}
+        parts = walk(pd.DataFrame(mine, columns=["i", "j", "w", "code"])) if mine else [own]
+        want += [(min(p), k + 1, c, o) for p in parts for k, (c, o) in enumerate(zip(p, oriented(p, known)))]
+    e = spark.createDataFrame(rows_, "i string, j string, w double, code int")
+    found = graph.paths(settled(e), spark.createDataFrame([(n,) for n in nodes], "contig string"))
+    assert rows(found) == sorted(want)
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("InPandas", "InArrow", "Python"))
+
+
+def test_a_chain_of_many_contigs(spark):
+    n = 100_000
+    e = spark.range(n - 1).select(F.format_string("c%06d", "id").alias("i"), F.format_string("c%06d", F.col("id") + 1).alias("j"), F.lit(1.0).alias("w"), F.lit(1).alias("code"))
+    got = graph.paths(settled(e), spark.range(n).select(F.format_string("c%06d", "id").alias("contig")))
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("path").alias("p"), F.count_if(F.col("ord") == F.substring("contig", 2, 6).cast("int") + 1).alias("ok"), F.max("orient").alias("o")).collect()[0]
+    assert (r.n, r.p, r.ok, r.o) == (n, 1, n, 0)
 
 
 def test_layout_and_lift(spark):
@@ -132,10 +206,31 @@ def test_report(spark, tmp_path):
 def test_earlier_segments_win(spark):
     seg = spark.createDataFrame([("c", "A", 1, 10), ("c", "B", 5, 20), ("c", "C", 6, 8), ("c", "D", 30, 40)], "contig string, seg string, start long, end long")
     c = spark.createDataFrame([("c", p, "c", 35) for p in (1, 7, 10, 11, 20, 25, 30)], "chr1 string, pos1 long, chr2 string, pos2 long")
-    got = sorted((r.chr1, r.pos1, r.chr2, r.pos2) for r in contacts.split_by_segments(c, seg, 7).collect())
+    got = sorted((r.chr1, r.pos1, r.chr2, r.pos2) for r in contacts.split_by_segments(c, seg).collect())
     assert got == [(s, p, "D", 6) for s, p in (("A", 1), ("A", 7), ("A", 10), ("B", 7), ("B", 16), ("D", 1))]
 
 
+def test_segments_of_any_length(spark):
+    """Segments of a base beside one of ten gigabases, against a plain search; no cell is made for each kilobase."""
+    rng = np.random.default_rng(3)
+    seg = [("c", "long", 1, 10**10)] + [("d", f"s{k}", int(a), int(a + rng.integers(0, 3000))) for k, a in enumerate(rng.integers(1, 50_000, 40))] + [("d", "rest", 40_000, 10**9)]
+    c = [("c", int(p), "d", int(q)) for p, q in zip(rng.integers(1, 2 * 10**10, 200), rng.integers(1, 60_000, 200))]
+    order = sorted(seg, key=lambda s: (s[2], s[3], s[1]))
+    place = lambda n, p: next(((s[1], p - s[2] + 1) for s in order if s[0] == n and s[2] <= p <= s[3]), None)
+    want = sorted((*a, *b) for a, b in ((place(r[0], r[1]), place(r[2], r[3])) for r in c) if a and b)
+    got = contacts.split_by_segments(spark.createDataFrame(c, "chr1 string, pos1 long, chr2 string, pos2 long"), spark.createDataFrame(seg, "contig string, seg string, start long, end long"))
+    assert rows(got) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 5000])
+def test_quantiles(spark, n):
+    x = np.random.default_rng(n).integers(0, 3 * n + 1, n)
+    df = spark.createDataFrame([(int(v),) for v in x] + [(None,)], "v long").repartition(3)
+    got = {r.share: r.value for r in quantiles(df, "v", [0.0, 0.005, 0.5, 0.9, 1.0]).collect()}
+    assert set(got) == ({0.0, 0.005, 0.5, 0.9, 1.0} if n else set())
+    assert all(np.isclose(v, np.quantile(x, s)) for s, v in got.items())
+
+
 def test_whole_division(spark):
     df = spark.createDataFrame([(9_007_199_254_740_993 * 3 + 2,), (0,), (2,), (3,)], "x long")
     assert [r[0] for r in df.select(floor_div(F.col("x"), 3)).collect()] == [9_007_199_254_740_993, 0, 0, 1]
