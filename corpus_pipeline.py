@@ -9,6 +9,11 @@ from hicweave.llm import jaccard, packing, quality, secrets, substrings
 from hicweave.llm.common import materialise, table
 
 
+def columns(docs: DataFrame) -> list[str]:
+    """The names of docs' columns, quoted: a name may hold any sign."""
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return quality.kept_rows(docs)
@@ -21,20 +26,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = jaccard.join(docs, shingle=5, percent=80)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a document with a smaller id holds go; texts that lose nothing stay as they are."""
     gone = materialise(substrings.removed_ranges(docs), "ranges")
     out = substrings.rewritten(docs, gone)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(columns(docs))
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask."""
     out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
