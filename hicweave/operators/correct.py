@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floor_div
 from .layout import lift, sizes
+from .tables import settled
 
 
 def surveyed(contacts: DataFrame, placed: DataFrame, least: int = 1_000_000) -> DataFrame:
@@ -36,60 +35,74 @@ def signal(counts: DataFrame, sizes_: DataFrame, bin_size: int) -> DataFrame:
     return full.select("chrom", "bin", F.log10((F.col("down") + 1) / (F.col("up") + 1)).alias("s"))
 
 
-def moving_mean(x: np.ndarray, size: int) -> np.ndarray:
-    """Means over size neighbours, one more before than after where size is even; edges are mirrored."""
-    before = size // 2
-    padded = np.pad(x, (before, size - 1 - before), mode="symmetric")
-    return np.convolve(padded, np.ones(size) / size, "valid")
+#: Bins cut at either end, quantiles kept, width of means, share of the highest peak, bins searched for a
+#: minimum before a peak, least drop.
+EDGE, LOW, HIGH, WIDTH, SHARE, BACK, DROP = 50, 0.005, 0.995, 10, 0.7, 40, 0.60
+#: Bins of a range. Windows over bins run within ranges, to which the bins that their neighbours need are added.
+SPAN = 4096
 
 
-def peaks(x: np.ndarray, height: float) -> np.ndarray:
-    """Places higher than both sides and at least `height`; of a flat top its middle, rounded down; never an edge."""
-    change = np.flatnonzero(np.diff(x) != 0)
-    starts, stops = np.concatenate([[0], change + 1]), np.concatenate([change, [len(x) - 1]])
-    level = x[starts]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    return np.array([(starts[k] + stops[k]) // 2 for k in top if level[k] >= height], dtype=int)
+def _range(at: str, span: int, off: int = 0) -> Column:
+    return F.floor((F.col(at) + off) / span)
 
 
-#: Bins cut at either end, quantiles kept, width of means, share of the highest peak, bins searched for a
-#: minimum before a peak, least drop.
-EDGE, LOW, HIGH, WIDTH, SHARE, BACK, DROP = 50, 0.005, 0.995, 10, 0.7, 40, 0.60
+def _haloed(df: DataFrame, at: str, before: int, after: int, span: int) -> DataFrame:
+    """Rows in every range `_r` whose windows, from `before` rows back to `after` ahead, reach them."""
+    return df.withColumn("_r", F.explode(F.sequence(_range(at, span, -after), _range(at, span, before))))
 
 
-def breaks(values: np.ndarray) -> list[float]:
-    """Bins at which a scaffold breaks: midway between a peak and the lowest point before it, once for each low point.
-    Clipping also holds for the values in which the low point is sought; its value is cut to a whole number. Means are
-    rounded to nine places, so that a flat top is flat whatever the order of additions."""
-    whole = np.array(values, float)
-    if len(whole) <= 2 * EDGE:
-        return []
-    inner = whole[EDGE:-EDGE]  # a view: what is clipped here is clipped in whole
-    low, high = np.quantile(inner, LOW), np.quantile(inner, HIGH)
-    inner[inner > high] = high
-    inner[inner < low] = low
-    smooth = np.round(moving_mean(inner, WIDTH), 9)
-    out, last = [], None
-    for p in peaks(smooth, smooth.max() * SHARE):
-        begin = p + EDGE - BACK
-        part = whole[begin : p + EDGE + 1]
-        at = int(np.argmin(part)) + begin
-        if inner[p] - int(part.min()) > DROP:
-            if at != last:
-                out.append((at + p + EDGE) / 2)
-            last = at
-    return out
-
-
-def break_points(signals: DataFrame) -> DataFrame:
-    """chrom, break_bin. A scaffold's signal is one number for each bin and is read by one task: a chromosome of a
-    gigabase has 100,000 bins of 10,000 bases."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = breaks(pdf.sort_values("bin")["s"].to_numpy())
-        return pd.DataFrame({"chrom": pd.Series([pdf["chrom"].iloc[0]] * len(found), dtype=object), "break_bin": pd.Series(found, dtype=float)})
-
-    return signals.groupBy("chrom").applyInPandas(run, "chrom string, break_bin double")
+def mirrored_mean(signals: DataFrame, size: int = WIDTH, span: int = SPAN) -> DataFrame:
+    """chrom, bin, mean: means over size neighbours, one more before than after where size is even, with the signal
+    mirrored at both edges; bins count from 0 without a hole. The mirror images are rows of their own."""
+    before, after = size // 2, size - 1 - size // 2
+    n = signals.groupBy("chrom").agg((F.max("bin") + 1).alias("n"))
+    image = lambda at, use: F.when(use, at)
+    places = F.array(F.col("bin"), image(-1 - F.col("bin"), F.col("bin") < before), image(2 * F.col("n") - 1 - F.col("bin"), F.col("bin") >= F.col("n") - after))
+    full = signals.join(n, "chrom").select("chrom", "n", "s", F.explode(F.array_compact(places)).alias("bin"))
+    mean = F.avg("s").over(Window.partitionBy("chrom", "_r").orderBy("bin").rowsBetween(-before, after))
+    own = _haloed(full, "bin", before, after, span).withColumn("mean", mean).filter((F.col("_r") == _range("bin", span)) & (F.col("bin") >= 0) & (F.col("bin") < F.col("n")))
+    return own.select("chrom", "bin", "mean")
+
+
+def tops(means: DataFrame, span: int = SPAN) -> DataFrame:
+    """chrom, p, mean: places higher than both sides; of a flat top its middle, rounded down; never an edge.
+
+    A flat stretch is told by where it starts: the next start is sought in its range of bins and, where that has no more,
+    among the first starts of the ranges behind it, so that stretches may cross any number of ranges.
+    """
+    inside = Window.partitionBy("chrom", "_r").orderBy("bin")
+    at = _haloed(means, "bin", 1, 0, span).withColumn("prior", F.lag("mean").over(inside)).filter(F.col("_r") == _range("bin", span))
+    starts = settled(at.filter(F.col("prior").isNull() | (F.col("prior") != F.col("mean"))), "starts")
+    first = starts.groupBy("chrom", "_r").agg(F.min(F.struct("bin", "mean")).alias("first"))
+    behind = F.min("first").over(Window.partitionBy("chrom").orderBy("_r").rowsBetween(1, Window.unboundedFollowing))
+    later = first.select("chrom", "_r", behind.alias("later"))  # one row for each range
+    follow = F.lead(F.struct("bin", "mean")).over(inside)
+    ends = starts.withColumn("follow", follow).join(later, ["chrom", "_r"]).withColumn("next", F.coalesce("follow", "later"))
+    high = ends.filter(F.col("prior").isNotNull() & F.col("next").isNotNull() & (F.col("mean") > F.col("prior")) & (F.col("mean") > F.col("next.mean")))
+    return high.select("chrom", F.floor((F.col("bin") + F.col("next.bin") - 1) / 2).alias("p"), "mean")
+
+
+def break_points(signals: DataFrame, span: int = SPAN) -> DataFrame:
+    """chrom, break_bin: midway between a peak and the lowest point before it, once for each low point. Clipping also holds
+    for the values in which the low point is sought; its value is cut to a whole number. Means are rounded to nine places,
+    so that a flat top is flat whatever the order of additions. Scaffolds of few bins have none.
+
+    Windows run over ranges of bins, peaks meet the bins before them by a join: no task holds a scaffold's signal.
+    """
+    size = signals.groupBy("chrom").agg((F.max("bin") + 1).alias("n")).filter(F.col("n") > 2 * EDGE)
+    whole = signals.join(size, "chrom").withColumn("inner", (F.col("bin") >= EDGE) & (F.col("bin") < F.col("n") - EDGE))
+    limits = whole.filter("inner").groupBy("chrom").agg(F.percentile("s", F.lit(LOW)).alias("low"), F.percentile("s", F.lit(HIGH)).alias("high"))
+    kept = F.when(F.col("inner"), F.greatest(F.least("s", "high"), "low")).otherwise(F.col("s"))
+    whole = settled(whole.join(limits, "chrom").select("chrom", "bin", "inner", kept.alias("v")), "clipped")
+    means = mirrored_mean(whole.filter("inner").select("chrom", (F.col("bin") - EDGE).alias("bin"), F.col("v").alias("s")), WIDTH, span)
+    means = settled(means.withColumn("mean", F.round("mean", 9)), "means")
+    highest = means.groupBy("chrom").agg(F.max("mean").alias("highest"))
+    peaks = tops(means, span).join(highest, "chrom").filter(F.col("mean") >= F.col("highest") * SHARE).select("chrom", "p")
+    at = peaks.select("chrom", "p", F.explode(F.sequence(F.col("p") + EDGE - BACK, F.col("p") + EDGE)).alias("bin")).join(whole, ["chrom", "bin"])
+    low = at.groupBy("chrom", "p").agg(F.min(F.struct("v", "bin")).alias("low"), F.max(F.when(F.col("bin") == F.col("p") + EDGE, F.col("v"))).alias("v"))
+    deep = low.filter(F.col("v") - F.col("low.v").cast("long") > DROP)
+    # Low points never move back from one peak to the next, so that equal ones follow each other: the first peak stays.
+    return deep.groupBy("chrom", F.col("low.bin").alias("spot")).agg(F.min("p").alias("p")).select("chrom", ((F.col("spot") + F.col("p") + EDGE) / 2).alias("break_bin"))
 
 
 def snapped(points: DataFrame, placed: DataFrame, bin_size: int) -> DataFrame:
@@ -132,19 +145,9 @@ def same_bin(inside: DataFrame, bin_size: int, near: int = 100_000) -> DataFrame
     return inside.filter(a == b).groupBy(F.col("chr1").alias("chrom"), a.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def windows(signals: DataFrame) -> DataFrame:
+def windows(signals: DataFrame, span: int = SPAN) -> DataFrame:
     """Adds mean over WIDTH neighbours (fewer at the edges) and low, the least of the BACK bins before and the bin."""
-    w = Window.partitionBy("chrom").orderBy("bin")
-    return signals.withColumns({"mean": F.avg("s").over(w.rowsBetween(-(WIDTH // 2), WIDTH - WIDTH // 2 - 1)), "low": F.min("s").over(w.rowsBetween(-BACK, 0))})
-
-
-def mirrored_mean(signals: DataFrame, size: int = WIDTH) -> DataFrame:
-    """chrom, bin, mean: means over size neighbours, one more before than after where size is even, with the signal
-    mirrored at both edges; bins count from 0 without a hole. The mirror images are rows of their own."""
-    before, after = size // 2, size - 1 - size // 2
-    n = F.max("bin").over(Window.partitionBy("chrom")) + 1
-    image = lambda at, use: F.when(use, at)
-    places = F.array(F.col("bin"), image(-1 - F.col("bin"), F.col("bin") < before), image(2 * F.col("n") - 1 - F.col("bin"), F.col("bin") >= F.col("n") - after))
-    full = signals.withColumn("n", n).select("chrom", "n", "s", F.explode(F.array_compact(places)).alias("bin"))
-    mean = F.avg("s").over(Window.partitionBy("chrom").orderBy("bin").rowsBetween(-before, after))
-    return full.select("chrom", "bin", "n", mean.alias("mean")).filter("bin >= 0 and bin < n").drop("n")
+    w = Window.partitionBy("chrom", "_r").orderBy("bin")
+    after = WIDTH - WIDTH // 2 - 1
+    out = _haloed(signals, "bin", BACK, after, span).withColumns({"mean": F.avg("s").over(w.rowsBetween(-(WIDTH // 2), after)), "low": F.min("s").over(w.rowsBetween(-BACK, 0))})
+    return out.filter(F.col("_r") == _range("bin", span)).drop("_r")

@@ -276,25 +276,40 @@ def brute_breaks(s):
 
 
 def test_break_points_against_plain_loops(spark):
+    """Whole signals, and ranges of 64 bins with flat tops that cross their bounds."""
     rng = np.random.default_rng(4)
     signals = {f"s{k}": np.round(np.cumsum(rng.normal(0, 0.3, n)) * 0.2 + np.sin(np.arange(n) / rng.uniform(5, 30)), 2) for k, n in enumerate([90, 100, 101, 150, 220, 400, 700, 1000])}
-    df = spark.createDataFrame([(c, b, float(x)) for c, s in signals.items() for b, x in enumerate(s)], "chrom string, bin long, s double")
+    signals |= {f"flat{k}": np.repeat(rng.integers(0, 4, 12) * 1.5, rng.integers(5, 90, 12)) for k in range(6)}
+    signals["long"] = np.concatenate([np.zeros(150), np.full(200, 2.0), np.zeros(100)])  # a top over three ranges
+    df = settled(spark.createDataFrame([(c, b, float(x)) for c, s in signals.items() for b, x in enumerate(s)], "chrom string, bin long, s double").repartition(5))
     want = sorted((c, b) for c, s in signals.items() for b in brute_breaks([float(x) for x in s]))
-    assert len(want) > 5 and rows(correct.break_points(df)) == want
+    assert len(want) > 12
+    for span in (correct.SPAN, 64):
+        assert rows(correct.break_points(df, span)) == want
+    found = correct.break_points(df, 64)
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("InPandas", "InArrow", "Python"))
+    one = correct.tops(spark.createDataFrame([("t", k, float(x)) for k, x in enumerate([1] * 3 + [2] * 200 + [1] * 70 + [3] * 5)], "chrom string, bin long, mean double"), 16)
+    assert rows(one) == [("t", 102, 2.0)]
 
 
-def test_mirrored_mean(spark):
-    x = np.random.default_rng(2).random(23)
-    got = correct.mirrored_mean(spark.createDataFrame([("c", b, float(v)) for b, v in enumerate(x)], "chrom string, bin long, s double")).orderBy("bin").collect()
-    assert np.allclose([r["mean"] for r in got], correct.moving_mean(x, correct.WIDTH))
+@pytest.mark.parametrize("span", [16, 4096])
+def test_windows_over_ranges(spark, span):
+    x = np.random.default_rng(2).random(73)
+    df = spark.createDataFrame([("c", b, float(v)) for b, v in enumerate(x)], "chrom string, bin long, s double")
+    got = correct.mirrored_mean(df, span=span).orderBy("bin").collect()
+    padded = np.pad(x, (5, 4), mode="symmetric")
+    assert np.allclose([r["mean"] for r in got], [padded[k : k + 10].mean() for k in range(73)])
+    got = correct.windows(df, span).orderBy("bin").collect()
+    assert np.allclose([r["mean"] for r in got], [x[max(0, k - 5) : k + 5].mean() for k in range(73)])
+    assert [r.low for r in got] == [x[max(0, k - 40) : k + 1].min() for k in range(73)]
 
 
-def test_break_points():
-    assert correct.breaks(np.zeros(90)) == []
+def test_break_points(spark):
     x = np.zeros(200)
     x[80:101] = np.linspace(0, 2, 21)
-    found = correct.breaks(x)
-    assert len(found) == 1 and 60 <= found[0] <= 100
+    df = spark.createDataFrame([("short", k, 0.0) for k in range(90)] + [("one", k, float(v)) for k, v in enumerate(x)], "chrom string, bin long, s double")
+    found = correct.break_points(df).collect()
+    assert len(found) == 1 and found[0].chrom == "one" and 60 <= found[0].break_bin <= 100
 
 
 def test_assembly_chain(spark):
