@@ -1,11 +1,13 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
 
 A section is a line of the text; a paragraph, the leaf, is a run of it that ends with a sentence, in long sentences with
-the first word end of a certain kind after SOFT characters, or after HARD characters. Where a leaf ends depends on
-what is near, so that an insertion changes the leaves around it and not all that follow. Leaves cover the text wholly.
+the first word end of a certain kind after SOFT characters, or after HARD characters; in texts of up to SHORT characters a
+word is a leaf. Where a leaf ends depends on what is near, so that an insertion changes the leaves around it and not all
+that follow: sentences and words end in the signs of many scripts; where a script has none of them, leaves of HARD
+characters follow each other to the end of the line. Leaves cover the text wholly.
 A leaf's hash is that of its characters, a section's that of its leaves' hashes, the root that of the sections' hashes: a
-fingerprint, which lists them all, can be verified from its root down. Where roots differ, sections and then leaves are
-aligned from both ends, and what is left between them locates the edit.
+fingerprint, which lists them all, can be verified from its root down. Where roots differ, an edit is located by descent:
+sections are aligned from both ends by their hashes, and the leaves of those that differ, and of no others, in turn.
 
 Equal texts have equal fingerprints. Null texts count as empty, texts of any length are hashed whole. Rows with the same
 doc_id are ordered by their text's hash, rows without one come last; a range of neighbours is no smaller than the rows of
@@ -21,7 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SOFT, HARD = 100, 240
+SOFT, HARD, SHORT = 100, 240, 160
+#: Signs that end sentences; letters and signs with which a leaf may end, before a blank or, in scripts
+#: that have none, by themselves.
+STOPS = ".!?\u3002\uff01\uff1f\u0964\u0965\u061f\u06d4\u2026\u037e\u1362\u104b"
+BEFORE_BLANK = "dnst\u043c\u043d\u0442\u044c\u0439\u03bd\u03c2\u05d4\u05dd\u05ea\u0646\u0629\u0631\u0930\u0928\u0947\u1295\u10d8"
+BY_ITSELF = "\uff0c\u3001\uff1b\uff1a\u7684\u4e86\u306e\u306f\u3092\u0e19\u0e23\u104a"
+LEAF = rf"[^{STOPS}]{{{SOFT},{HARD - 1}}}?(?:[{BEFORE_BLANK}] |[{BY_ITSELF}])|[^{STOPS}]{{1,{HARD}}}[{STOPS}]*|[{STOPS}]+"
+WORD = r"[^ ]+ ?| "
 #: Hexadecimal digits of the hashes of leaves, sections and roots.
 LEAF_DIGITS, SECTION_DIGITS, ROOT_DIGITS = 16, 16, 32
 #: Neighbours are found within ranges of doc_id; at most so many ranges, so that their limits may be broadcast.
@@ -36,9 +45,9 @@ def _let(value: Column, use) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """root|section:leaf,leaf|section:leaf ..."""
-    leaf = rf"[^.!?]{{{SOFT},{HARD - 1}}}?[dnst] |[^.!?]{{1,{HARD}}}[.!?]*|[.!?]+"
+    leaf = F.when(F.char_length(text) <= SHORT, WORD).otherwise(LEAF)
     short = lambda c, digits: F.substring(F.md5(c), 1, digits)
-    section = lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(leaf), F.lit(0)), lambda x: short(x, LEAF_DIGITS)), ",")
+    section = lambda line: F.array_join(F.transform(F.regexp_extract_all(line, leaf, F.lit(0)), lambda x: short(x, LEAF_DIGITS)), ",")
     body = F.array_join(F.transform(F.transform(F.split(text, "\n"), section), lambda s: F.concat(short(s, SECTION_DIGITS), F.lit(":"), s)), "|")
     return _let(body, lambda b: F.concat(F.substring(root_of(b), 1, ROOT_DIGITS), F.lit("|"), b))
 
@@ -82,15 +91,30 @@ def _middle(x: Column, y: Column) -> Column:
     return _let(_let(F.struct(x.alias("x"), y.alias("y")), ends), cut)
 
 
-def edited_leaves(a: Column, b: Column) -> Column:
-    """struct(at, n, m): the edit that makes b of a replaces n leaves of a, from number at on, by m of b."""
-    return _middle(leaf_list(a), leaf_list(b))
+def _sections(print_: Column) -> Column:
+    """The sections of a fingerprint, each its hash and its leaves."""
+    return F.slice(F.split(print_, r"\|"), 2, 1 << 30)
 
 
 def edited_sections(a: Column, b: Column) -> Column:
-    """The same for sections: the branches in which to look."""
-    sections = lambda c: F.slice(F.split(c, r"\|"), 2, 1 << 30)
-    return _middle(sections(a), sections(b))
+    """struct(at, n, m): the edit that makes b of a replaces n sections of a, from number at on, by m of b: the branches
+    in which to look. Sections are told by their hashes."""
+    hashes = lambda c: F.transform(_sections(c), lambda s: F.substring(s, 1, SECTION_DIGITS))
+    return _middle(hashes(a), hashes(b))
+
+
+def edited_leaves(a: Column, b: Column) -> Column:
+    """The same for leaves: those of the sections that differ are compared, after the leaves of the sections before."""
+    leaves = lambda sections: F.array_remove(F.flatten(F.transform(sections, lambda s: F.split(F.substring(s, SECTION_DIGITS + 2, 1 << 30), ","))), "")
+    both = F.struct(_sections(a).alias("x"), _sections(b).alias("y"), edited_sections(a, b).alias("e"))
+
+    def descend(z: Column) -> Column:
+        e = z["e"]
+        inner = _middle(leaves(F.slice(z["x"], e["at"] + 1, e["n"])), leaves(F.slice(z["y"], e["at"] + 1, e["m"])))
+        ahead = F.size(leaves(F.slice(z["x"], F.lit(1), e["at"])))
+        return _let(inner, lambda i: F.struct((ahead + i["at"]).alias("at"), i["n"].alias("n"), i["m"].alias("m")))
+
+    return _let(both, descend)
 
 
 def _limits(df: DataFrame, key: str, rows_per_range: int, max_ranges: int) -> list[int]:
@@ -145,6 +169,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select(*out.columns[:-1], *[F.col(f"edit.{f}").cast("long").alias(f"edit_{f}") for f in ("at", "n", "m")])
 
 
+def middle(of: str) -> str:
+    """SQL that adds what _middle gives for the lists x and y of a table: pre, and behind."""
+    return f"""SELECT *, least(back, least(len(x), len(y)) - pre) AS behind FROM (SELECT *,
+    coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])) - 1, len(x)) AS pre,
+    coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: (CASE WHEN i <= len(x) THEN x[len(x) + 1 - i] END) IS DISTINCT FROM (CASE WHEN i <= len(y) THEN y[len(y) + 1 - i] END))) - 1, len(x)) AS back FROM {of})"""
+
+
+def flat(sections: str) -> str:
+    """SQL for the leaves of a list of sections."""
+    return f"list_filter(flatten(list_transform({sections}, lambda s: string_split(substr(s, {SECTION_DIGITS + 2}), ','))), lambda z: z <> '')"
+
+
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt, length(t) // 3 AS k FROM d),
@@ -152,23 +188,23 @@ e AS (SELECT doc_id, t, nxt, substr(t, 1, length(t) - k) || substr(nxt, 1, k) AS
 f AS (
   SELECT doc_id, which, substr(sha256(regexp_replace(body, ':[0-9a-f,]*', '', 'g')), 1, {ROOT_DIGITS}) || '|' || body AS fp, x FROM (
     SELECT doc_id, which, x, array_to_string(list_transform(list_transform(string_split(x, chr(10)),
-      lambda s: array_to_string(list_transform(regexp_extract_all(s, '[^.!?]{{{SOFT},{HARD - 1}}}?[dnst] |[^.!?]{{1,{HARD}}}[.!?]*|[.!?]+'), lambda y: substr(md5(y), 1, {LEAF_DIGITS})), ',')),
+      lambda s: array_to_string(list_transform(CASE WHEN length(x) <= {SHORT} THEN regexp_extract_all(s, '{WORD}') ELSE regexp_extract_all(s, '{LEAF}') END, lambda y: substr(md5(y), 1, {LEAF_DIGITS})), ',')),
       lambda s: substr(md5(s), 1, {SECTION_DIGITS}) || ':' || s), '|') AS body
     FROM (SELECT doc_id, 't' AS which, t AS x FROM e UNION ALL SELECT doc_id, 'e', ed FROM e UNION ALL SELECT doc_id, 'n', nxt FROM e))),
-v AS (SELECT *, list_filter(string_split(regexp_replace(fp, '^[0-9a-f]{{{ROOT_DIGITS}}}|\|[0-9a-f]{{{SECTION_DIGITS}}}:', ',', 'g'), ','), lambda x: x <> '') AS al FROM f),
+v AS (SELECT *, list_filter(string_split(regexp_replace(fp, '^[0-9a-f]{{{ROOT_DIGITS}}}|\|[0-9a-f]{{{SECTION_DIGITS}}}:', ',', 'g'), ','), lambda x: x <> '') AS al, string_split(fp, '|')[2:] AS sec FROM f),
 l AS (SELECT *, list_distinct(al) AS lv FROM v),
 j AS (
-  SELECT a.doc_id, a.x AS t, b.x AS ed, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.lv AS la, b.lv AS lb, c.lv AS lc, a.al AS x, b.al AS y
+  SELECT a.doc_id, a.x AS t, b.x AS ed, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.lv AS la, b.lv AS lb, c.lv AS lc, a.sec AS x, b.sec AS y
   FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.which = 'e' JOIN l c ON a.doc_id = c.doc_id AND c.which = 'n' WHERE a.which = 't'),
-p AS (
-  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])) - 1, len(x)) AS pre,
-    coalesce(list_min(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: (CASE WHEN i <= len(x) THEN x[len(x) + 1 - i] END) IS DISTINCT FROM (CASE WHEN i <= len(y) THEN y[len(y) + 1 - i] END))) - 1, len(x)) AS back FROM j),
-q AS (SELECT *, least(back, least(len(x), len(y)) - pre) AS behind FROM p)
+p AS ({middle("j")}),
+r AS (
+  SELECT * EXCLUDE (x, y, pre, back, behind), len({flat("x[1:pre]")}) AS ahead, {flat("x[pre + 1:len(x) - behind]")} AS x, {flat("y[pre + 1:len(y) - behind]")} AS y FROM p),
+q AS ({middle("r")})
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
   CASE WHEN substr(fa, 1, {ROOT_DIGITS}) = substr(fb, 1, {ROOT_DIGITS}) THEN 1.0 WHEN len(la) + len(lb) = 0 THEN 0.0
        ELSE CAST(len(list_intersect(la, lb)) AS DOUBLE) / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
   CASE WHEN substr(fa, 1, {ROOT_DIGITS}) = substr(fc, 1, {ROOT_DIGITS}) THEN 1.0 WHEN len(la) + len(lc) = 0 THEN 0.0
        ELSE CAST(len(list_intersect(la, lc)) AS DOUBLE) / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next,
-  CAST(pre AS BIGINT) AS edit_at, CAST(len(x) - pre - behind AS BIGINT) AS edit_n, CAST(len(y) - pre - behind AS BIGINT) AS edit_m
+  CAST(ahead + pre AS BIGINT) AS edit_at, CAST(len(x) - pre - behind AS BIGINT) AS edit_n, CAST(len(y) - pre - behind AS BIGINT) AS edit_m
 FROM q
 """
