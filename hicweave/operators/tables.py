@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,41 @@ def shared_folder(spark) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that were made within each open scratch().
+_SCRATCH: list[dict[int, tuple[DataFrame, str]]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that are settled inside go at the end, but those that are given to the function that this yields. What is
+    derived from the others has to be a table by then."""
+    made: dict[int, tuple[DataFrame, str]] = {}
+    kept: set[int] = set()
+    _SCRATCH.append(made)
+    try:
+        yield lambda *tables: kept.update(map(id, tables))
+    finally:
+        _SCRATCH.remove(made)
+        for k, (df, path) in made.items():
+            if k not in kept:
+                _delete(df.sparkSession, path)
+            elif _SCRATCH:
+                _SCRATCH[-1][k] = (df, path)
+
+
+def _delete(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor loses none of it."""
     path = f"{shared_folder(df.sparkSession)}/hicweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1][id(out)] = (out, path)
+    return out
 
 
 def spent(*tables: DataFrame) -> None:
@@ -35,8 +66,7 @@ def spent(*tables: DataFrame) -> None:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/hicweave-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, folder)
 
 
 def running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contacts as C
 from ..operators import correct, density, graph, layout, score
-from ..operators.tables import spent
+from ..operators.tables import scratch, spent
 from ..sources.text import write_agp
 
 
@@ -122,10 +122,11 @@ def scaffold(contacts: DataFrame, contigs: DataFrame, config: Config = Config(),
             if now is None:  # contacts on the scaffolds that go into this round; others went with an earlier one
                 there = wholes[-1].join(lengths.select(F.col("contig").alias("chrom")), "chrom", "left_semi")
                 now = graph.settled(layout.lift(contacts, layout.place(there, config.gap)), "lifted")
-            blocks = graph.settled(one_round(now, lengths, average, config, triangle, number), "blocks")
-            if config.error_correction:
-                whole, blocks = blocks, graph.settled(corrected(now, blocks, config), "blocks")
-                spent(whole)
+            with scratch() as keep:
+                blocks = graph.settled(one_round(now, lengths, average, config, triangle, number), "blocks")
+                if config.error_correction:
+                    blocks = graph.settled(corrected(now, blocks, config), "blocks")
+                keep(blocks)
             if rounds:
                 rounds.commit(number, blocks, config)
             if now is not contacts:

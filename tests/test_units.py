@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hicweave import plans
 from hicweave.functions import floor_div, half, reverse_complement, transposed
 from hicweave.operators import contacts, correct, density, graph, layout, score, stats
-from hicweave.operators.tables import numbered, quantiles, running, settled
+from hicweave.operators.tables import numbered, quantiles, running, scratch, settled
 from hicweave.plans import Config, scaffold
 from hicweave.sources import text
 
@@ -197,6 +197,21 @@ def test_numbers_and_sums_over_all_rows(spark, n):
     assert sorted(r.number for r in numbered(df, ["k"]).collect()) == list(range(1, n + 1))
 
 
+def test_scratch_tables_go(spark):
+    import os
+
+    there = lambda t: os.path.exists(t.inputFiles()[0].removeprefix("file://"))
+    with scratch() as keep:
+        a, b = settled(spark.range(3)), settled(spark.range(4))
+        with scratch() as inner:
+            c, d = settled(spark.range(5)), settled(spark.range(6))
+            inner(c)
+        keep(b)
+        assert [there(t) for t in (a, b, c, d)] == [True, True, True, False]
+    assert [there(t) for t in (a, b, c)] == [False, True, False]
+    assert there(settled(spark.range(2)))
+
+
 def test_report(spark, tmp_path):
     lengths = spark.createDataFrame([(50,), (30,), (20,)], "len long")
     text.write_report(lengths, str(tmp_path / "r"), (50, 90))
