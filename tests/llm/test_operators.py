@@ -532,6 +532,34 @@ def test_bpe(odd, none, odd_docs):
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode_ordinary(t), hex(ord(every[k]))
 
 
+def test_registered_encoding_and_counts(spark):
+    """The digest columns of op7 and the rows of op4 by the libraries themselves."""
+    import hashlib
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from hicweave.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for d in docs:
+        ids = library.encode_ordinary(d.text or "")
+        want.append((d.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest()))
+    got = QUERIES["op7_bpe_encoding"](spark, small)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted(map(tuple, got.collect())) == sorted(want)
+    plain = ids_of(plain=True)
+    counts = QUERIES["op4_token_counts"](spark, small).collect()
+    assert Counter(r.n_tokens for r in counts) == Counter(len(plain(d.text)) for d in docs)
+    ends = {}
+    for r in sorted(counts, key=lambda r: (r.shard, r.document)):
+        document, start = ends.get(r.shard, (0, 0))
+        assert (r.document, r.start) == (document, start)
+        ends[r.shard] = (document + 1, r.start + r.n_tokens + 1)
+
+
 # 8
 def with_rows(df):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
