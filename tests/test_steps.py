@@ -1,6 +1,9 @@
 """Steps that the scaffolding queries share: what is worked out once stays so, and small tables move instead of contacts."""
 
 import pytest
+
+from hicweave.operators import layout
+from hicweave.operators.tables import settled
 from hicweave.sources import derived
 
 D = "/root/testdata/sf0.001"
@@ -15,3 +18,11 @@ def test_contacts_are_dealt_by_contig_and_conditions_stay_short(spark, make):
     plan = optimized(make.__wrapped__(spark, D))
     assert "RepartitionByExpression [k1" in plan
     assert max(len(x) for x in plan.split("\n") if "Filter" in x) < 1500
+
+
+def test_lift_moves_the_layout_and_not_the_contacts(spark):
+    parts = spark.createDataFrame([("x", 1, "a", 50, 0), ("x", 2, "b", 50, 1)], "chrom string, ord int, contig string, len long, orient int")
+    contacts = settled(spark.createDataFrame([("a", 3, "b", 4), ("b", 1, "c", 2)], "chr1 string, pos1 long, chr2 string, pos2 long"))
+    out = layout.lift(contacts, layout.place(parts))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.select("chr1", "pos1", "chr2", "pos2").collect()] == [("x", 3, "x", 197)]
