@@ -1,8 +1,9 @@
 """Steps that the scaffolding queries share: what is worked out once stays so, and small tables move instead of contacts."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from hicweave.operators import layout
+from hicweave.operators import correct, layout
 from hicweave.operators.tables import settled
 from hicweave.sources import derived
 
@@ -26,3 +27,10 @@ def test_lift_moves_the_layout_and_not_the_contacts(spark):
     out = layout.lift(contacts, layout.place(parts))
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in out.select("chr1", "pos1", "chr2", "pos2").collect()] == [("x", 3, "x", 197)]
+
+
+def test_signal_is_a_table_and_meets_the_contacts_once(spark):
+    counts = spark.createDataFrame([("x", 1, 3), ("x", 1, 1)], "chrom string, bin long, n int").groupBy("chrom", "bin").agg(F.sum("n").alias("down"), F.count("*").alias("up"))
+    out = correct.signal(counts, spark.createDataFrame([("x", 25), ("y", 25)], "chrom string, size long"), 10)
+    assert "Aggregate" not in optimized(out)
+    assert sorted(tuple(r) for r in out.withColumn("s", F.round("s", 6)).collect()) == [("x", 0, 0.0), ("x", 1, 0.221849), ("x", 2, 0.0)]
