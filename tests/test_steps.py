@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hicweave.operators import correct, layout
-from hicweave.operators.tables import settled
+from hicweave.operators.tables import known, settled
 from hicweave.sources import derived
 
 D = "/root/testdata/sf0.001"
@@ -34,3 +34,9 @@ def test_signal_is_a_table_and_meets_the_contacts_once(spark):
     out = correct.signal(counts, spark.createDataFrame([("x", 25), ("y", 25)], "chrom string, size long"), 10)
     assert "Aggregate" not in optimized(out)
     assert sorted(tuple(r) for r in out.withColumn("s", F.round("s", 6)).collect()) == [("x", 0, 0.0), ("x", 1, 0.221849), ("x", 2, 0.0)]
+
+
+def test_tables_are_not_written_twice(spark):
+    t = settled(spark.range(3))
+    assert known(t) is t
+    assert known(t.filter("id > 0")).count() == 2
