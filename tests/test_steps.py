@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hicweave.operators import correct, layout
 from hicweave.operators.tables import known, settled
-from hicweave.sources import derived
+from hicweave.sources import derived, text
 
 D = "/root/testdata/sf0.001"
 
@@ -40,3 +40,12 @@ def test_tables_are_not_written_twice(spark):
     t = settled(spark.range(3))
     assert known(t) is t
     assert known(t.filter("id > 0")).count() == 2
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_lines_are_split_once(spark, strict):
+    lines = spark.createDataFrame([("\t 0  a\t5 0 16 b 7\x0b1 60 \n",), ("0\ta\t5\t0\t16\tb\t7\t1",), ("0 a 5",), ("",), (None,)], "value string")
+    out = text.contact_lines(lines, strict)
+    assert optimized(out).count("split(") == 1
+    want = ("0", "a", 5, "0", "16", "b", 7, "1")
+    assert [tuple(r) for r in out.collect()] == [want] * (1 if strict else 2)
