@@ -80,3 +80,15 @@ def test_pipeline_stages_take_effect(spark):
             assert not any(x.found_spans for x in secrets.scan(docs).collect())
             assert all(r.n_chars == len(r.text) for r in now.values())
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_every_packed_sequence_holds_all_sources(spark):
+    """op2 and the pipeline's last stage: the mixture holds in each sequence, not just over many."""
+    import corpus_pipeline
+    from hicweave.llm import packing
+    from hicweave.llm.common import table
+
+    d = "/root/testdata/sf0.001"
+    for out in (packing.query(spark, d), corpus_pipeline.packed(spark, table(spark, d, "documents"), d)):
+        held = out.groupBy("sequence_id").agg(F.countDistinct("queue").alias("q"), F.sum("length").alias("n")).filter("n = 1024").agg(F.avg("q"), F.max("q")).collect()[0]
+        assert held[0] > 0.9 * held[1] > 1
