@@ -39,6 +39,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--near", type=int, default=d.near, help="least distance of the contacts that tell misjoins")
     p.add_argument("--far", type=int, default=d.far, help="largest distance of the contacts that tell misjoins")
     p.add_argument("--stop", choices=("before", "last", "two_before"), default=d.stop, help="layout to keep when a round leaves too few scaffolds")
+    p.add_argument("--breaks", choices=("part", "contig"), default=d.breaks, help="whether misjoins are cut between the parts of a round or between contigs")
     p.add_argument("--resume", action="store_true", help="go on behind the whole rounds in the folder")
     p = command("review", run_review, "layout and contacts to a review tool's files", agp="final layout", contacts="contacts as text, on contigs", out="folder for the results")
     p = command("reviewed", run_reviewed, "a review tool's .assembly text to a layout", assembly=".assembly text", out="folder for the layout")
@@ -55,7 +56,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def config(a: argparse.Namespace) -> Config:
     return Config(
         clusters=a.clusters, bin_size=a.binsize, cutoff=a.cutoff, triangle=a.triangle, gap=a.gap, error_correction=a.error_correction,
-        least_score=a.least_score, survey_least=a.survey_least, near=a.near, far=a.far, stop=a.stop,
+        least_score=a.least_score, survey_least=a.survey_least, near=a.near, far=a.far, stop=a.stop, breaks=a.breaks,
     )
 
 
