@@ -29,6 +29,16 @@ def test_breaks_at_contigs_do_not_depend_on_the_blocks_of_earlier_rounds(spark,
     assert chromosomes(layout.compose(child, parts)) == [order[0][:2], order[0][2:], order[1]]
 
 
+def test_a_contig_between_two_breaks_lies_forward(spark, monkeypatch):
+    contacts, _, order = planted(spark, [7, 4])
+    monkeypatch.setattr(correct, "break_points", lambda signals: spark.createDataFrame([("X0", 61.0), ("X0", 81.0)], "chrom string, break_bin double"))
+    fine = spark.createDataFrame([(f"X{x}", k + 1, c, 40_000, int(k % 3 == 0)) for x, part in enumerate(order) for k, (c, _) in enumerate(part)], PARTS)
+    turned = [[(c, int(k % 3 == 0)) for k, (c, _) in enumerate(part)] for part in order]
+    got = chromosomes(plans.corrected(contacts, fine, CONFIG, fine))
+    assert got == [turned[0][:3], [(order[0][3][0], 0)], turned[0][4:], turned[1]]
+    assert chromosomes(plans.corrected(contacts, fine, CONFIG)) == [turned[0][:3], turned[0][3:4], turned[0][4:], turned[1]]
+
+
 def test_a_run_that_breaks_at_contigs(spark, tmp_path):
     contacts, contigs, order = planted(spark, [7, 4])
     config = replace(CONFIG, breaks="contig")
